@@ -174,12 +174,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Camera registry with row-major ``c2w`` and ``w2c`` matrices."""
-    zero, one = F.lit(0.0), F.lit(1.0)
-    c2w = F.array(
-        F.col("yaw_c"), zero, F.col("yaw_s"), F.col("cam_x"),
-        zero, one, zero, F.col("cam_y"),
-        -F.col("yaw_s"), zero, F.col("yaw_c"), F.col("cam_z"),
-        zero, zero, zero, one,
+    c2w = F.expr(
+        "array(yaw_c, 0D, yaw_s, cam_x, 0D, 1D, 0D, cam_y, -yaw_s, 0D, yaw_c, cam_z, 0D, 0D, 0D, 1D)"
     )
     base = view(spark, sf_dir, "fx_frames").withColumn("c2w", c2w)
-    return base.withColumn("w2c", invert_affine(F.col("c2w"))).drop("yaw_c", "yaw_s", "cam_x", "cam_y", "cam_z")
+    return base.withColumn("w2c", invert_affine("c2w")).drop("yaw_c", "yaw_s", "cam_x", "cam_y", "cam_z")

@@ -7,45 +7,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from splatlake import config as cfg
 
 
-def invert_affine(m: Column) -> Column:
-    """Inverse of a 4x4 affine matrix by cofactors; null when singular or not 16 long."""
-    a = [[m[4 * r + c] for c in range(3)] for r in range(3)]
-    t = [m[4 * r + 3] for r in range(3)]
+def invert_affine(name: str) -> Column:
+    """Inverse of the 4x4 affine matrix column ``name`` by cofactors; null unless 16 long and regular.
 
-    def minor(r1, r2, c1, c2):
-        return a[r1][c1] * a[r2][c2] - a[r1][c2] * a[r2][c1]
-
-    cof = [
-        [minor(1, 2, 1, 2), -minor(1, 2, 0, 2), minor(1, 2, 0, 1)],
-        [-minor(0, 2, 1, 2), minor(0, 2, 0, 2), -minor(0, 2, 0, 1)],
-        [minor(0, 1, 1, 2), -minor(0, 1, 0, 2), minor(0, 1, 0, 1)],
-    ]
-    det = a[0][0] * cof[0][0] + a[0][1] * cof[0][1] + a[0][2] * cof[0][2]
-    inv = [[cof[c][r] / det for c in range(3)] for r in range(3)]
-    out = []
-    for r in range(3):
-        out += inv[r] + [-(inv[r][0] * t[0] + inv[r][1] * t[1] + inv[r][2] * t[2])]
-    out += [F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
-    return F.when((F.size(m) == 16) & (det != 0), F.array(*out))
-
-
-def camera_point(w2c: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
-    return tuple(
-        w2c[4 * r] * x + w2c[4 * r + 1] * y + w2c[4 * r + 2] * z + w2c[4 * r + 3] for r in range(3)
-    )
+    The expression is SQL text: one parse instead of several hundred column calls.
+    """
+    def m(r, c):
+        return f"{name}[{4 * r + c}]"
 
+    def minor(r1, r2, c1, c2):
+        return f"({m(r1, c1)} * {m(r2, c2)} - {m(r1, c2)} * {m(r2, c1)})"
 
-def image_point(cam, fx, fy, cx, cy, convention: str = "opengl"):
-    """Continuous pixel position and depth of a camera-space point."""
-    if convention not in ("opengl", "opencv"):
-        raise ValueError(f"unknown camera convention {convention}")
-    sign = -1 if convention == "opengl" else 1
-    depth = cam[2] * sign
-    return fx * (cam[0] / depth) + cx, fy * (cam[1] * sign / depth) + cy, depth
+    others = [(1, 2), (0, 2), (0, 1)]
+    cof = [[("-" if (r + c) % 2 else "") + minor(*others[r], *others[c]) for c in range(3)] for r in range(3)]
+    det = "(" + " + ".join(f"{m(0, c)} * {cof[0][c]}" for c in range(3)) + ")"
+    inv = [[f"({cof[c][r]} / {det})" for c in range(3)] for r in range(3)]
+    rows = []
+    for r in range(3):
+        shift = " + ".join(f"{inv[r][c]} * {m(c, 3)}" for c in range(3))
+        rows += [*inv[r], f"-({shift})"]
+    return F.expr(f"CASE WHEN size({name}) = 16 AND {det} <> 0 THEN array({', '.join(rows)}, 0D, 0D, 0D, 1D) END")
 
 
-def in_view(u, v, depth, width, height, near: float, far: float) -> Column:
-    return (depth > near) & (depth < far) & (u >= 0) & (u < width) & (v >= 0) & (v < height)
+def affine_text(matrix: str, x: str, y: str, z: str) -> list[str]:
+    """SQL text of the three coordinates of ``matrix * (x, y, z, 1)``."""
+    return [f"({matrix}[{4 * r}] * {x} + {matrix}[{4 * r + 1}] * {y} + {matrix}[{4 * r + 2}] * {z} + {matrix}[{4 * r + 3}])"
+            for r in range(3)]
 
 
 def intrinsics(frame: dict, scene: dict, width: Column, height: Column, variant: str = "labelling"):

@@ -10,8 +10,8 @@ from splatlake.functions.camera import clip
 
 def literal_map(values: dict, key: Column, default) -> Column:
     """A small fixed table as a literal map lookup."""
-    pairs = [F.lit(v) for item in values.items() for v in item]
-    return F.coalesce(F.create_map(*pairs)[key], F.lit(default))
+    text = ", ".join(f"'{k}', {float(v)!r}D" if isinstance(v, float) else f"'{k}', {v}" for k, v in values.items())
+    return F.coalesce(F.expr(f"map({text})")[key], F.lit(default))
 
 
 def label_frequency_weight(masks: DataFrame, power=cfg.FREQUENCY_POWER, lo=cfg.WEIGHT_MIN,

@@ -1,6 +1,6 @@
 """Mask algebra on run tables ``(keys..., y, x0, x1)`` with half-open runs.
 
-A row of an image holds at most width/2 separate runs, so per-row arrays are bounded by the image.
+Work is keyed by (mask, image row) or (frame, image row), which the image size bounds.
 """
 
 from __future__ import annotations
@@ -12,68 +12,52 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from splatlake import config as cfg
 
 
-def _spans(x0: str = "x0", x1: str = "x1") -> Column:
-    return F.sort_array(F.collect_set(F.struct(F.col(x0).alias("x0"), F.col(x1).alias("x1"))))
-
-
-def _merge(spans: Column) -> Column:
-    """Sorted spans to disjoint, non-touching spans."""
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        joined = F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(last["x0"].alias("x0"), F.greatest(last["x1"], s["x1"]).alias("x1"))),
-        )
-        return F.when((F.size(acc) > 0) & (s["x0"] <= F.try_element_at(acc, F.lit(-1))["x1"]), joined).otherwise(
-            F.concat(acc, F.array(s))
-        )
-
-    empty = F.slice(spans, 1, 0)
-    return F.aggregate(spans, empty, step)
-
-
-def _gaps(merged: Column, lo: Column, hi: Column) -> Column:
-    """Complement of disjoint sorted spans inside ``[lo, hi)``."""
-    starts = F.concat(F.array(lo), F.transform(merged, lambda s: s["x1"]))
-    ends = F.concat(F.transform(merged, lambda s: s["x0"]), F.array(hi))
-    pairs = F.zip_with(starts, ends, lambda a, b: F.struct(F.greatest(a, lo).alias("x0"), F.least(b, hi).alias("x1")))
-    return F.filter(pairs, lambda p: p["x0"] < p["x1"])
-
-
-def _explode(df: DataFrame, keys: list[str], spans: Column) -> DataFrame:
-    return df.select(*keys, "y", F.explode(spans).alias("_s")).select(
-        *keys, "y", F.col("_s.x0").alias("x0"), F.col("_s.x1").alias("x1")
-    )
-
-
-def row_spans(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per (keys, y) with the merged spans of that row."""
-    return runs.groupBy(*keys, "y").agg(_spans().alias("_raw")).select(*keys, "y", _merge(F.col("_raw")).alias("spans"))
+OPEN = 1_000_000  # beyond any image edge
 
 
 def union_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixel union of all runs that share ``keys`` (drop the mask id to unite masks)."""
-    return _explode(row_spans(runs, keys), keys, F.col("spans"))
+    """Pixel union of all runs that share ``keys`` (drop the mask id to unite masks).
+
+    Gaps and islands over the runs of one image row; touching runs merge.
+    """
+    row = W.partitionBy(*keys, "y").orderBy("x0", "x1")
+    reach = F.max("x1").over(row.rowsBetween(W.unboundedPreceding, -1))
+    marked = runs.select(*keys, "y", "x0", "x1", F.when(F.col("x0") <= reach, 0).otherwise(1).alias("_new"))
+    island = marked.withColumn("_island", F.sum("_new").over(row.rowsBetween(W.unboundedPreceding, 0)))
+    return island.groupBy(*keys, "y", "_island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_island")
 
 
-def dilate(runs: DataFrame, keys: list[str], radius: Column | int, width: int | Column, height: int | Column) -> DataFrame:
+def dilate(runs: DataFrame, keys: list[str], radius: Column | int, width: int, height: int) -> DataFrame:
     """Square dilation; ``radius`` may be a column of the run table."""
     r = F.lit(radius) if isinstance(radius, int) else radius
-    w = F.lit(width) if isinstance(width, int) else width
-    h = F.lit(height) if isinstance(height, int) else height
     grown = runs.select(
-        *keys, F.explode(F.sequence(F.greatest(F.col("y") - r, F.lit(0)), F.least(F.col("y") + r, h - 1))).alias("y"),
-        F.greatest(F.col("x0") - r, F.lit(0)).alias("x0"), F.least(F.col("x1") + r, w).alias("x1"),
+        *keys, F.explode(F.sequence(F.greatest(F.col("y") - r, F.lit(0)), F.least(F.col("y") + r, F.lit(height - 1)))).alias("y"),
+        F.greatest(F.col("x0") - r, F.lit(0)).alias("x0"), F.least(F.col("x1") + r, F.lit(width)).alias("x1"),
     )
     return union_runs(grown, keys)
 
 
+def _gaps(merged: DataFrame, keys: list[str], lo: int, hi: int) -> DataFrame:
+    """Spaces between the disjoint runs of each row, as ``g0``/``g1`` inside ``[lo, hi)``."""
+    row = W.partitionBy(*keys, "y").orderBy("x0")
+    before = F.struct(F.lag("x1", 1, lo).over(row).alias("g0"), F.col("x0").alias("g1"))
+    after = F.when(F.lead("x0").over(row).isNull(), F.struct(F.col("x1").alias("g0"), F.lit(hi).alias("g1")))
+    out = merged.select(*keys, "y", before.alias("_b"), after.alias("_a"))
+    return out.select(*keys, "y", F.explode(F.array_compact(F.array("_b", "_a"))).alias("_g")).select(
+        *keys, "y", "_g.g0", "_g.g1"
+    ).where("g0 < g1")
+
+
 def complement(runs: DataFrame, masks: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
-    """Pixels of the frame outside each mask; ``masks`` lists the keys (empty masks included)."""
-    rows = masks.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-    held = rows.join(row_spans(runs, keys), [*keys, "y"], "left")
-    none = F.array().cast("array<struct<x0:int,x1:int>>")
-    return _explode(held, keys, _gaps(F.coalesce("spans", none), F.lit(0), F.lit(width)))
+    """Pixels of the frame outside each mask; ``masks`` lists the keys (empty masks included).
+
+    Every row also gets an empty run past the right edge, so rows without runs need no join.
+    """
+    rows = masks.select(*keys).distinct().select(
+        *keys, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"), F.lit(width).alias("x0"), F.lit(width).alias("x1")
+    )
+    filled = union_runs(runs.select(*keys, "y", "x0", "x1").unionByName(rows), keys)
+    return _gaps(filled, keys, 0, width).select(*keys, "y", F.col("g0").alias("x0"), F.col("g1").alias("x1"))
 
 
 def erode(runs: DataFrame, masks: DataFrame, keys: list[str], radius: int, width: int, height: int) -> DataFrame:
@@ -90,15 +74,14 @@ def close_open(runs, masks, keys, width, height, close=cfg.STRUCTURE_CLOSE, open
 
 
 def subtract_runs(a: DataFrame, b: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
-    """Runs of ``a`` without the pixels of ``b`` that share ``on``; ``keep`` are a's key columns."""
-    spans = row_spans(b, on)
-    held = a.join(spans, [*on, "y"], "left")
-    none = F.array().cast("array<struct<x0:int,x1:int>>")
-    pieces = _gaps(
-        F.filter(F.coalesce("spans", none), lambda s: (s["x1"] > F.col("x0")) & (s["x0"] < F.col("x1"))),
-        F.col("x0"), F.col("x1"),
-    )
-    return _explode(held, keep, pieces)
+    """Runs of ``a`` without the pixels of ``b`` that share ``on``; ``keep`` are a's key columns.
+
+    ``a`` meets the gaps of ``b`` row by row; a row that ``b`` does not touch stays whole.
+    """
+    gaps = _gaps(union_runs(b, on), on, -OPEN, OPEN)
+    x0 = F.greatest("x0", F.coalesce("g0", F.col("x0")))
+    x1 = F.least("x1", F.coalesce("g1", F.col("x1")))
+    return a.join(gaps, [*on, "y"], "left").select(*keep, "y", x0.alias("x0"), x1.alias("x1")).where("x0 < x1")
 
 
 def pixel_count(runs: DataFrame, keys: list[str], name: str = "pixels") -> DataFrame:
@@ -267,10 +250,7 @@ def own_pixels(candidates: DataFrame, runs: DataFrame, width: int, height: int,
     its image and its candidates, so frames are the parallel unit.
     """
     keys = ["scan_id", "frame_index", "mask_id"]
-    merged = row_spans(runs, keys).join(candidates.select(*keys, "rank_score", "ordinal"), keys)
-    packed = merged.select(*keys, "rank_score", "ordinal", "y", F.explode("spans").alias("s")).select(
-        *keys, "rank_score", "ordinal", "y", F.col("s.x0").alias("x0"), F.col("s.x1").alias("x1")
-    )
+    packed = union_runs(runs, keys).join(candidates.select(*keys, "rank_score", "ordinal"), keys)
     mask_type = runs.schema["mask_id"].dataType.simpleString()
     schema = (f"scan_id string, frame_index int, mask_id {mask_type}, y int, x0 int, x1 int, "
               "remaining_after_overlap double, rejection_reason string, " + _INFO)

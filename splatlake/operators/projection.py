@@ -14,47 +14,40 @@ CELL_M = 2.5  # edge of a world cell: a 20 m frustum covers a few hundred of the
 TILE_PX = 64  # horizontal image tile that keeps run lookups short
 
 
-def frustum_cells(frames: DataFrame, far: float, near: float, cell: float = CELL_M, convention="opengl") -> DataFrame:
-    """World cells that each camera's frustum may touch: (frame columns, cx, cy, cz).
+def frustum_cells(frames: DataFrame, occupied: DataFrame, far: float, near: float, cell: float = CELL_M,
+                  convention="opengl") -> DataFrame:
+    """World cells that each camera's frustum may touch, inside the scan's occupied cell range.
 
-    Cells come from the bounding box of the frustum corners and are then tested against the six
-    planes with the cell's bounding sphere, so the list is a superset and bounded per camera.
+    Cells come from the bounding box of the frustum corners, cut to ``occupied`` (one row of cell
+    ranges per scan), and are then tested against the six planes with the cell's bounding sphere.
     """
     sign = -1.0 if convention == "opengl" else 1.0
     # few, small camera rows fan out to many cells: spread them over all tasks first
     tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frames = frames.repartition(tasks, "scan_id", "frame_index")
-    m = F.col("c2w")
-
-    def corner(u, v):
-        xc = (u - F.col("cx")) / F.col("fx") * far
-        yc = (v - F.col("cy")) / F.col("fy") * far * sign
-        zc = F.lit(far * sign)
-        return [m[4 * r] * xc + m[4 * r + 1] * yc + m[4 * r + 2] * zc + m[4 * r + 3] for r in range(3)]
-
-    zero = F.lit(0)
-    corners = [corner(u, v) for u in (zero, F.col("width")) for v in (zero, F.col("height"))]
-    apex = [m[3], m[7], m[11]]
-    ranges = []
-    for axis in range(3):
-        values = [apex[axis]] + [c[axis] for c in corners]
-        ranges.append(F.sequence(F.floor(F.least(*values) / cell).cast("int"), F.floor(F.greatest(*values) / cell).cast("int")))
+    frames = frames.join(occupied, "scan_id").repartition(tasks, "scan_id", "frame_index")
+    corners = [("c2w[3]", "c2w[7]", "c2w[11]")] + [
+        camera.affine_text("c2w", f"(({u} - cx) / fx * {far}D)", f"(({v} - cy) / fy * {far * sign}D)", f"({far * sign}D)")
+        for u in ("0", "width") for v in ("0", "height")
+    ]
     out = frames
-    for name, r in zip(("cell_x", "cell_y", "cell_z"), ranges):
-        out = out.withColumn(name, F.explode(r))
-    centre = [(F.col(n) + 0.5) * cell for n in ("cell_x", "cell_y", "cell_z")]
-    x, y, z = camera.camera_point(F.col("w2c"), *centre)
-    d, py = z * sign, y * sign
+    for axis, name in enumerate(("cell_x", "cell_y", "cell_z")):
+        values = ", ".join(c[axis] for c in corners)
+        lo = f"greatest(int(floor(least({values}) / {cell}D)), _lo_{name})"
+        hi = f"least(int(floor(greatest({values}) / {cell}D)), _hi_{name})"
+        cells = f"explode(CASE WHEN {lo} <= {hi} THEN sequence({lo}, {hi}) END)"
+        out = out.withColumn(name, F.expr(cells)).drop(f"_lo_{name}", f"_hi_{name}")
+    centre = [f"((cell_{a} + 0.5D) * {cell}D)" for a in "xyz"]
+    x, y, z = camera.affine_text("w2c", *centre)
+    d, py = f"({z} * {sign}D)", f"({y} * {sign}D)"
     radius = cell * (3.0 ** 0.5) / 2 * 1.001
 
     def plane(f, p, off):
-        return (f * p + off * d) / F.sqrt(f * f + off * off)
+        return f"(({f} * {p} + ({off}) * {d}) / sqrt({f} * {f} + ({off}) * ({off})))"
 
-    fx, fy, w, h = F.col("fx"), F.col("fy"), F.col("width"), F.col("height")
     return out.where(
-        (d > near - radius) & (d < far + radius)
-        & (plane(fx, x, F.col("cx")) >= -radius) & (plane(fx, x, F.col("cx") - w) <= radius)
-        & (plane(fy, py, F.col("cy")) >= -radius) & (plane(fy, py, F.col("cy") - h) <= radius)
+        f"{d} > {near - radius}D AND {d} < {far + radius}D "
+        f"AND {plane('fx', x, 'cx')} >= {-radius}D AND {plane('fx', x, 'cx - width')} <= {radius}D "
+        f"AND {plane('fy', py, 'cy')} >= {-radius}D AND {plane('fy', py, 'cy - height')} <= {radius}D"
     )
 
 
@@ -65,24 +58,27 @@ def project_points(points: DataFrame, frames: DataFrame, near: float = cfg.NEAR_
     Points meet cameras through shared world cells (an equi-join), never by a cross product.
     """
     frame_cols = ["scan_id", "frame_index", "width", "height", "fx", "fy", "cx", "cy", "c2w", "w2c"]
-    cells = frustum_cells(frames.select(*frame_cols), far, near, cell, convention).drop("c2w")
     located = points
     for axis in "xyz":
         located = located.withColumn(f"cell_{axis}", F.floor(F.col(axis) / cell).cast("int"))
+    occupied = located.groupBy("scan_id").agg(
+        *[fn(f"cell_{a}").alias(f"_{tag}_cell_{a}") for a in "xyz" for tag, fn in (("lo", F.min), ("hi", F.max))]
+    )
+    cells = frustum_cells(frames.select(*frame_cols), occupied, far, near, cell, convention).drop("c2w")
     keys = ["scan_id", "cell_x", "cell_y", "cell_z"]
     pairs = skew_join(located, cells, keys, ["point_id"])
-    cam = camera.camera_point(F.col("w2c"), F.col("x"), F.col("y"), F.col("z"))
-    u, v, depth = camera.image_point(cam, F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"), convention)
-    seen = pairs.withColumns({"_u": u, "_v": v, "depth": depth}).where(
-        camera.in_view(F.col("_u"), F.col("_v"), F.col("depth"), F.col("width"), F.col("height"), near, far)
-    )
+    xc, yc, zc = camera.affine_text("w2c", "x", "y", "z")
+    sign = {"opengl": "-", "opencv": ""}[convention]
     kept = [c for c in points.columns]
-    shape = ["width", "height", "fx", "fy"]
-    out = seen.select(
-        *kept, "frame_index", *shape, "depth", F.col("_u").alias("float_u"), F.col("_v").alias("float_v"),
-        F.floor("_u").cast("int").alias("u"), F.floor("_v").cast("int").alias("v"),
-    )
-    return out.drop("float_u", "float_v") if whole_pixels else out
+    seen = pairs.selectExpr(*kept, "frame_index", "width", "height", "fx", "fy", "cx", "cy",
+                            f"{xc} AS _x", f"{sign}{yc} AS _y", f"{sign}{zc} AS depth")
+    seen = seen.where(f"depth > {near}D AND depth < {far}D").selectExpr(
+        *kept, "frame_index", "width", "height", "fx", "fy", "depth",
+        "fx * (_x / depth) + cx AS float_u", "fy * (_y / depth) + cy AS float_v",
+    ).where("float_u >= 0 AND float_u < width AND float_v >= 0 AND float_v < height")
+    whole = ["int(floor(float_u)) AS u", "int(floor(float_v)) AS v"]
+    floats = [] if whole_pixels else ["float_u", "float_v"]
+    return seen.selectExpr(*kept, "frame_index", "width", "height", "fx", "fy", "depth", *floats, *whole)
 
 
 def zbuffer(projected: DataFrame, radius: int = 0) -> DataFrame:
@@ -125,8 +121,7 @@ def depth_match(projected: DataFrame, depth: DataFrame, size: tuple[int, int], p
     """
     dw, dh = size
     steps = [(a, b) for a in range(-patch, patch + 1) for b in range(-patch, patch + 1)]
-    probes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("dv"), F.lit(b).alias("du"))
-                       for i, (a, b) in enumerate(steps)])
+    probes = F.expr("array(" + ", ".join(f"named_struct('i', {i}, 'dv', {a}, 'du', {b})" for i, (a, b) in enumerate(steps)) + ")")
     du0 = F.floor(F.col("u") * float(dw) / F.col("width"))
     dv0 = F.floor(F.col("v") * float(dh) / F.col("height"))
 
@@ -173,7 +168,8 @@ def footprint_coverage(points: DataFrame, runs: DataFrame, offsets=None, count_o
     """
     offsets = offsets or cfg.FOOTPRINT_OFFSETS
     total = sum(o[2] for o in offsets)
-    samples = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(w / total).alias("w")) for a, b, w in offsets])
+    listed = ", ".join(f"named_struct('dx', {a}D, 'dy', {b}D, 'w', {w / total!r}D)" for a, b, w in offsets)
+    samples = F.expr(f"array({listed})")
     base = points.select("scan_id", "frame_index", "point_id", "u", "v", "radius_px", "width", "height")
     s = base.select("*", F.explode(samples).alias("s")).select(
         "scan_id", "frame_index", "point_id", "width", "height", F.col("s.w").alias("w"),
@@ -186,7 +182,8 @@ def footprint_coverage(points: DataFrame, runs: DataFrame, offsets=None, count_o
     # equal sample pixels of one point add their weights before the join
     packed = s.groupBy(*keys, "y", "su").agg(F.sum("w").alias("w")) if count_outside else s.select(*keys, "y", "su", "w")
     packed = packed.withColumn("tile", F.floor(F.col("su") / TILE_PX).cast("int"))
-    hits = skew_join(packed, tiled_runs(runs), ["scan_id", "frame_index", "y", "tile"], ["point_id"]).where(
+    # image rows are bounded by the frame; AQE splits a row that a large share of the samples hits
+    hits = packed.join(tiled_runs(runs), ["scan_id", "frame_index", "y", "tile"]).where(
         (F.col("su") >= F.col("x0")) & (F.col("su") < F.col("x1"))
     )
     cover = hits.groupBy(*keys, "mask_id").agg(F.sum("w").alias("coverage"))
@@ -207,7 +204,7 @@ def center_in_mask(projected: DataFrame, runs: DataFrame) -> DataFrame:
     p = projected.select("scan_id", "frame_index", "point_id", F.col("v").alias("y"), "u").withColumn(
         "tile", F.floor(F.col("u") / TILE_PX).cast("int")
     )
-    hit = skew_join(p, tiled_runs(runs), ["scan_id", "frame_index", "y", "tile"], ["point_id"]).where(
+    hit = p.join(tiled_runs(runs), ["scan_id", "frame_index", "y", "tile"]).where(
         (F.col("u") >= F.col("x0")) & (F.col("u") < F.col("x1"))
     )
     return hit.select("scan_id", "frame_index", "point_id", "mask_id").distinct()

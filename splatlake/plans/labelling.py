@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from splatlake import config as cfg
@@ -33,13 +34,20 @@ class Labelling:
 
 def label_points(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: DataFrame, width: int, height: int,
                  depth: DataFrame | None = None, depth_size: tuple[int, int] | None = None) -> Labelling:
-    """Plan the whole voting chain.  ``points`` carry ``radius``; ``masks`` carry label and score."""
+    """Plan the whole voting chain.  ``points`` carry ``radius``; ``masks`` carry label and score.
+
+    Tables that several later steps read (projection, depth surface, dilated masks, visible points)
+    are persisted, so that they are computed once; lost blocks are rebuilt from lineage.
+    """
+    def keep(df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
     framed = frames.join(masks.select("scan_id", "frame_index").distinct(), ["scan_id", "frame_index"], "left_semi")
-    projected = pj.project_points(points.select("scan_id", "point_id", "x", "y", "z", "radius"), framed)
-    surface = pj.zbuffer(projected, cfg.ZBUFFER_RADIUS)
+    projected = keep(pj.project_points(points.select("scan_id", "point_id", "radius", "x", "y", "z"), framed).drop("x", "y", "z"))
+    surface = keep(pj.zbuffer(projected, cfg.ZBUFFER_RADIUS))
 
     r = runs.join(masks.select(*MASK, "label"), MASK).select(*MASK, "label", "y", "x0", "x1") if "label" not in runs.columns else runs
-    grown = ma.dilate(r, [*MASK, "label"], weights.mask_dilation(F.col("label")), width, height)
+    grown = keep(ma.dilate(r, [*MASK, "label"], weights.mask_dilation(F.col("label")), width, height))
     prepared = vt.static_weights(masks, ma.pixel_count(grown, MASK), width, height)
     foreground = vt.foreground_support(masks, grown, surface, width, height)
 
@@ -59,7 +67,7 @@ def label_points(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: D
     else:
         visible = pj.visibility(seen, "self_zbuffer")
     radius = camera.footprint_radius(F.col("radius"), F.col("depth"), F.col("fx"), F.col("fy"))
-    visible = visible.withColumn("radius_px", radius)
+    visible = keep(visible.withColumn("radius_px", radius))
     cover = pj.footprint_coverage(visible, usable).join(
         visible.select("scan_id", "frame_index", "point_id", "visibility_weight"), ["scan_id", "frame_index", "point_id"]
     )
