@@ -331,3 +331,29 @@ def overlap_stats(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
         *keys, "before_pixels", (F.col("before_pixels") - kept).alias("suppressed_pixels"),
         (kept / F.greatest(F.col("before_pixels"), F.lit(1))).alias("remaining_ratio"),
     )
+
+
+def agreement(pilot: DataFrame, pilot_runs: DataFrame, primary_runs: DataFrame, min_score: float = cfg.AGREEMENT_SCORE) -> DataFrame:
+    """Best IoU of each pilot mask with primary masks of its label and frame; null when none exists."""
+    on = ["scan_id", "frame_index", "label"]
+    p = primary_runs.withColumnRenamed("mask_id", "primary_id")
+    best = mask_iou(pilot_runs, p, on, "mask_id", "primary_id").groupBy(*on, "mask_id").agg(F.max("iou").alias("_iou"))
+    listed = p.select(*on).distinct().withColumn("_some", F.lit(True))
+    j = pilot.where(F.col("score") >= min_score).join(listed, on, "left").join(best, [*on, "mask_id"], "left")
+    return j.withColumn("agreement", F.when(F.col("_some"), F.coalesce("_iou", F.lit(0.0)))).drop("_some", "_iou")
+
+
+def mask_metrics(logits: DataFrame, kept: DataFrame, keys: list[str], image_pixels: int, threshold: float = 0.0,
+                 offset: float = 1.0) -> DataFrame:
+    """Stability over the raw logits; size and mean sigmoid over the cleaned mask ``kept``."""
+    px = kept.select(*keys, "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"), F.lit(True).alias("_in"))
+    j = logits.join(px, [*keys, "y", "x"], "left")
+    sig = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("logit")))))
+    low = F.count(F.when(F.col("logit") > threshold - offset, 1))
+    high = F.count(F.when(F.col("logit") > threshold + offset, 1))
+    n = F.count(F.when(F.col("_in"), 1))
+    return j.groupBy(*keys).agg(
+        F.when(low > 0, high / low).otherwise(F.lit(0.0)).alias("stability"),
+        F.coalesce(F.avg(F.when(F.col("_in"), sig)), F.lit(0.0)).alias("positive_conf"),
+        n.alias("pixel_count"), (n / F.lit(float(image_pixels))).alias("area_fraction"),
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 def stream_groups(df: DataFrame, keys: list[str], order: list[Column], start: Callable, step: Callable,
                   out: list[str], schema: str) -> DataFrame:
     """Appends the columns ``out``: ``step(state, row)`` returns their values and updates the state."""
-    cols = df.columns
+    cols = df.columns  # key names must not start with an underscore: rows come as named tuples
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None

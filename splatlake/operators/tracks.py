@@ -61,14 +61,14 @@ def associate(detections: DataFrame, max_gap: int = cfg.MAX_ANCHOR_GAP) -> DataF
     seen = detections.select(*KEY, "frame_index").distinct()
     w = W.partitionBy(*KEY).orderBy("frame_index")
     new = (F.col("frame_index") - F.lag("frame_index").over(w) > max_gap).cast("int")
-    pieces = seen.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("_piece", F.sum("_new").over(w)).drop("_new")
+    pieces = seen.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("piece", F.sum("_new").over(w)).drop("_new")
     d = detections.join(pieces, [*KEY, "frame_index"])
 
     def step(state, r):
         return (state.add(r.frame_index, (r.x1, r.y1, r.x2, r.y2), r.detection_id, r.width, r.height, max_gap),)
 
     order = [F.col("frame_index"), F.col("confidence").desc(), F.col("detection_id")]
-    return stream_groups(d, [*KEY, "_piece"], order, OpenTracks, step, ["temp_track"], "temp_track bigint").drop("_piece")
+    return stream_groups(d, [*KEY, "piece"], order, OpenTracks, step, ["temp_track"], "temp_track bigint").drop("piece")
 
 
 def candidate_pairs(detections: DataFrame, max_gap: int = cfg.MAX_ANCHOR_GAP) -> DataFrame:
