@@ -12,3 +12,60 @@ def top_labels(totals: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("scan_id", "point_id").orderBy(F.col("score").desc(), "label")
     ranked = totals.withColumn("label_rank", F.row_number().over(w).cast("bigint"))
     return ranked.where(F.col("label_rank") <= k).select("scan_id", "point_id", "label", "label_rank", "score")
+
+
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """First ``n`` rows of each key; the limit is pushed below the shuffle."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def head_per_frame(masks: DataFrame, n: int) -> DataFrame:
+    return top_rows(masks, ["scan_id", "frame_index"], [F.col("mask_id")], n)
+
+
+def hash_sample(df: DataFrame, keys: list[str], id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """Reproducible uniform sample without replacement: the ``n`` smallest seeded hashes per key."""
+    return top_rows(df, keys, [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)], n)
+
+
+def _picked(df: DataFrame, keys: list[str], order: list[Column], k: int, position: str) -> DataFrame:
+    ranked = ordered_rank(df, keys, order, "_r")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    wanted = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(
+        *keys, (F.expr(position.format(k=k)).cast("bigint") + 1).alias("_r")).distinct()
+    chosen = ranked.where(F.col("_r_total") > k).join(wanted, [*keys, "_r"], "left_semi")
+    return chosen.unionByName(ranked.where(F.col("_r_total") <= k)).drop("_r", "_r_total")
+
+
+def uniform_pick(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """``k`` evenly spread rows per key, first and last included, positions rounded half to even."""
+    if k == 1:
+        return top_rows(df, keys, order, 1)
+    return _picked(df, keys, order, k, "rint(i * (n - 1) / double({k} - 1))")
+
+
+def linspace_pick(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """Evenly spread rows with truncated positions."""
+    return _picked(df, keys, order, k, "floor(i * ((n - 1) / greatest(1D, double({k} - 1))))")
+
+
+def anchor_frames(frames: DataFrame, stride: int = 8) -> DataFrame:
+    """Every ``stride``-th frame plus the last one of the scan."""
+    last = frames.groupBy("scan_id").agg(F.max("frame_index").alias("_last"))
+    return frames.join(last, "scan_id").where((F.col("frame_index") % stride == 0) | (F.col("frame_index") == F.col("_last"))).drop("_last")
+
+
+def label_role(masks: DataFrame) -> DataFrame:
+    """Structural when any mask of the label is structural."""
+    return masks.groupBy("scan_id", "label").agg(F.bool_or(F.col("role") == "structural").alias("_s")).select(
+        "scan_id", "label", F.when(F.col("_s"), F.lit("structural")).otherwise(F.lit("small")).alias("role"))
+
+
+def merge_first(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Distinct rows of several tables; the earliest table wins and is named by ``source_rank``."""
+    union = None
+    for i, p in enumerate(parts):
+        p = p.select(*keys).withColumn("source_rank", F.lit(i))
+        union = p if union is None else union.unionByName(p)
+    return union.groupBy(*keys).agg(F.min("source_rank").alias("source_rank"))

@@ -141,7 +141,7 @@ def f6(spark, sf):
 
 @query("f7_class_ids", """
 WITH n AS (SELECT p_partkey AS id, lower(p_type) AS a, concat(lower(p_type), '_', CAST(p_size AS STRING)) AS b FROM part)
-SELECT t AS label, count(*) AS n, sum(id) AS id_sum FROM (SELECT id, 'first' AS t FROM n WHERE a = 'economy' OR b LIKE 'promo\\_%' ESCAPE '\\'
+SELECT t AS label, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM (SELECT id, 'first' AS t FROM n WHERE a = 'economy' OR b LIKE 'promo\\_%' ESCAPE '\\'
  UNION ALL SELECT id, 'second' FROM n WHERE a = 'small') q GROUP BY t""")
 def f7(spark, sf):
     part = fx.table(spark, sf, "part")

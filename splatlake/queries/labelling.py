@@ -111,7 +111,7 @@ def j1(spark, sf):
 
 
 @query("f16_project_ranges", fx.with_views(*V_PF, sql=PROJ.replace("z < 20.0e0", "z < 3.0e0") + """
-SELECT scan_id, frame_index, count(*) AS n, sum(u) AS sum_u, sum(v) AS sum_v, round(sum(fu), 3) AS sum_fu FROM proj GROUP BY ALL"""))
+SELECT scan_id, frame_index, count(*) AS n, CAST(sum(u) AS BIGINT) AS sum_u, CAST(sum(v) AS BIGINT) AS sum_v, round(sum(fu), 3) AS sum_fu FROM proj GROUP BY ALL"""))
 def f16(spark, sf):
     p = pj.project_points(_points(spark, sf), fx.frames(spark, sf), near=0.05, far=3.0, cell=0.75, whole_pixels=False)
     return p.groupBy("scan_id", "frame_index").agg(
@@ -247,7 +247,7 @@ def a17(spark, sf):
 
 
 @query("u4_structure_suppression", fx.with_views(*V_ALL, sql=PROJ + ZB + MPX + FG + USABLE + """
-SELECT scan_id, frame_index, mask_id, count(*) AS pixels, sum(x) AS sum_x, sum(y) AS sum_y FROM usable GROUP BY ALL"""))
+SELECT scan_id, frame_index, mask_id, count(*) AS pixels, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM usable GROUP BY ALL"""))
 def u4(spark, sf):
     r = _plan(spark, sf).runs
     w = F.col("x1") - F.col("x0")

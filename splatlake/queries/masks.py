@@ -13,7 +13,7 @@ MASK = ["scan_id", "frame_index", "mask_id"]
 FRAME = ["scan_id", "frame_index"]
 PX = """
 px AS (SELECT scan_id, frame_index, mask_id, label, y, unnest(range(x0, x1)) AS x FROM fx_runs)"""
-SUMS = "count(*) AS pixels, sum(x) AS sum_x, sum(y) AS sum_y"
+SUMS = "count(*) AS pixels, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y"
 
 
 def _runs(spark, sf):
