@@ -5,3 +5,10 @@ Every public function takes DataFrames and returns DataFrames.  All tables carry
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions that run inside tasks travel with the plan, so executors need no installed copy.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -71,7 +71,6 @@ def loop_candidates(continuity: DataFrame) -> DataFrame:
     return greedy_spread(continuity, cfg.LOOP_MIN_GAP, cfg.LOOP_MIN_DIFF, cfg.LOOP_MAX)
 
 
-@F.pandas_udf("int")
 def mutual_matches(a: pd.Series, b: pd.Series) -> pd.Series:
     """Mutually nearest descriptor pairs within the Hamming limit, for one frame pair per row."""
     def count(x, y):
@@ -96,7 +95,7 @@ def loop_pairs(pool: DataFrame, gap=cfg.LOOP_PAIR_GAP, min_matches=cfg.LOOP_PAIR
     a = pool.select("scan_id", F.col("frame_id").alias("frame_a"), F.col("descriptors").alias("_a"))
     b = pool.select("scan_id", F.col("frame_id").alias("frame_b"), F.col("descriptors").alias("_b"))
     pairs = a.join(b, "scan_id").where(F.col("frame_b") - F.col("frame_a") >= gap)
-    scored = pairs.select("scan_id", "frame_a", "frame_b", mutual_matches("_a", "_b").alias("matches")).where(F.col("matches") >= min_matches)
+    scored = pairs.select("scan_id", "frame_a", "frame_b", F.pandas_udf(mutual_matches, "int")("_a", "_b").alias("matches")).where(F.col("matches") >= min_matches)
     return top_rows(scored, ["scan_id"], [F.col("matches").desc(), F.col("frame_a"), F.col("frame_b")], limit)
 
 
