@@ -141,8 +141,8 @@ def j4(spark, sf):
 
 # depth rasters at half size, made from the z-buffer with a deterministic error and holes
 DEPTH = """,
-dep AS (SELECT scan_id, frame_index, CAST(floor(v / 2.0e0) AS INT) AS v, CAST(floor(u / 2.0e0) AS INT) AS u, min(z_ref) * (1 + (frame_index % 3) * 0.05e0) AS z
-   FROM zb WHERE (u + v) % 7 <> 0 GROUP BY ALL),
+dep AS (SELECT scan_id, frame_index, v, u, m * (1 + (frame_index % 3) * 0.05e0) AS z FROM (
+   SELECT scan_id, frame_index, CAST(floor(v / 2.0e0) AS INT) AS v, CAST(floor(u / 2.0e0) AS INT) AS u, min(z_ref) AS m FROM zb WHERE (u + v) % 7 <> 0 GROUP BY ALL) q),
 probe AS (SELECT p.scan_id, p.frame_index, p.point_id, p.z AS pz, 3*(dv+1) + (du+1) AS i,
    greatest(0, least(59, CAST(floor(v * 60.0e0 / 120) AS INT) + dv)) AS v, greatest(0, least(79, CAST(floor(u * 80.0e0 / 160) AS INT) + du)) AS u
    FROM proj p, (SELECT unnest(range(-1, 2)) AS dv) a, (SELECT unnest(range(-1, 2)) AS du) b),
