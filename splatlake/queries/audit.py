@@ -107,7 +107,7 @@ def a31(spark, sf):
 
 
 @query("u5_stale_files", """
-SELECT concat('s', CAST(p_partkey % 5 AS STRING)) AS scan_id, p_name AS path FROM part WHERE p_size <= 10 AND p_partkey % 5 <> 3 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size > 10)""")
+SELECT concat('s', CAST(p_partkey % 5 AS STRING)) AS scan_id, p_name AS path FROM part WHERE p_size <= 10 AND p_partkey % 5 <> 3 AND (p_partkey % 5, p_name) NOT IN (SELECT (p_partkey % 5, p_name) FROM part WHERE p_size > 10)""")
 def u5(spark, sf):
     p = fx.table(spark, sf, "part").selectExpr("concat('s', string(p_partkey % 5)) AS scan_id", "p_name AS path", "p_size")
     bad = p.where("scan_id = 's3'").select("scan_id")
@@ -166,12 +166,11 @@ def a34(spark, sf):
 
 @query("a35_select_cleanup", """
 WITH c AS (SELECT p_partkey AS k, r, 100 + (p_partkey * (r + 3) * 37) % 1500 AS n FROM part, (VALUES (0), (1), (2)) v(r))
-SELECT 's' AS scan_id, CAST(k AS STRING) AS object_key, coalesce(concat('candidate_', CAST(min(r) FILTER (WHERE n >= 500 AND n / 1000e0 >= 0.7e0) AS STRING)), 'raw') AS selected FROM c GROUP BY k""")
+SELECT 's' AS scan_id, CAST(k AS STRING) AS object_key, coalesce('candidate_' || CAST(min(r) FILTER (WHERE n >= 500 AND n / 1000e0 >= 0.7e0) AS STRING), 'raw') AS selected FROM c GROUP BY k""")
 def a35(spark, sf):
     c = fx.table(spark, sf, "part").selectExpr("'s' AS scan_id", "string(p_partkey) AS object_key", "p_partkey", "explode(array(0, 1, 2)) AS rank")
     c = c.selectExpr("scan_id", "object_key", "rank", "concat('candidate_', rank) AS name", "100 + (p_partkey * (rank + 3) * 37) % 1500 AS count", "1000 AS alpha_count")
-    out = au.select_cleanup(c)
-    return out.withColumn("selected", F.coalesce("selected", F.lit("raw")))
+    return au.select_cleanup(c)
 
 
 @query("a36_isolation", fx.with_views("fx_frames", "fx_masks", "fx_runs", sql="""

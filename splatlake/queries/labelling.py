@@ -146,7 +146,7 @@ dep AS (SELECT scan_id, frame_index, v, u, m * (1 + (frame_index % 3) * 0.05e0)
 probe AS (SELECT p.scan_id, p.frame_index, p.point_id, p.z AS pz, 3*(dv+1) + (du+1) AS i,
    greatest(0, least(59, CAST(floor(v * 60.0e0 / 120) AS INT) + dv)) AS v, greatest(0, least(79, CAST(floor(u * 80.0e0 / 160) AS INT) + du)) AS u
    FROM proj p, (SELECT unnest(range(-1, 2)) AS dv) a, (SELECT unnest(range(-1, 2)) AS du) b),
-dm AS (SELECT scan_id, frame_index, point_id, min(abs(probe.pz - dep.z)) AS delta, arg_min(dep.z, abs(probe.pz - dep.z)) AS ref FROM probe JOIN dep USING (scan_id, frame_index, v, u)
+dm AS (SELECT scan_id, frame_index, point_id, min(abs(probe.pz - dep.z)) AS delta, arg_min(dep.z, (abs(probe.pz - dep.z), probe.i)) AS ref FROM probe JOIN dep USING (scan_id, frame_index, v, u)
    WHERE dep.z > 0.05e0 AND dep.z < 20.0e0 GROUP BY ALL)"""
 
 
