@@ -15,12 +15,17 @@ from splatlake.sources import ply, scene
 from splatlake.streaming import jobs
 
 
-def _stream(df, name, parts: int = 3, order: str | None = None):
-    """The rows of ``df`` as a file stream of several files in event order."""
+def _stream(df, name, order: str | None = None, cuts: tuple[int, ...] = ()):
+    """The rows of ``df`` as a file stream: one file per value range of ``order``, oldest first."""
     folder = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-in-{uuid.uuid4().hex}")
-    out = df.repartitionByRange(parts, order) if order else df.repartition(parts)
-    for i in range(parts):
-        out.where(F.spark_partition_id() == i).coalesce(1).write.mode("append").parquet(folder)
+    if order is None:
+        df.repartition(3).write.parquet(folder)
+    else:
+        edges = [None, *cuts, None]
+        for lo, hi in zip(edges, edges[1:]):
+            low = F.lit(True) if lo is None else F.col(order) >= lo
+            high = F.lit(True) if hi is None else F.col(order) < hi
+            df.where(low & high).coalesce(1).write.mode("append").parquet(folder)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -118,21 +123,21 @@ def s13(spark, sf):
 @query("t1_continuity_stream")
 def t1_stream(spark, sf):
     v = _video(spark, sf).select("scan_id", "frame_id", "thumb")
-    s = jobs.select_frames(_stream(v, "t1", order="frame_id"))
+    s = jobs.select_frames(_stream(v, "t1", "frame_id", (100, 200)))
     return jobs.run_available(s, jobs.job_folder(v, "t1"), "scan_id string, frame_id int").select("scan_id", "frame_id")
 
 
 @query("t2_associate_stream")
 def t2_stream(spark, sf):
     d = fx.view(spark, sf, "fx_detections")
-    s = jobs.associate(_stream(d, "t2", order="frame_index"))
+    s = jobs.associate(_stream(d, "t2", "frame_index", (56, 112)))
     return jobs.run_available(s, jobs.job_folder(d, "t2"), "scan_id string, label string, detection_id bigint, temp_track bigint").drop("epoch")
 
 
 @query("t3_detect_stream")
 def t3_stream(spark, sf):
     d = fx.view(spark, sf, "fx_detections")
-    s = _stream(d, "t3", order="frame_index")
+    s = _stream(d, "t3", "frame_index", (80,))
     return jobs.run_available(s, jobs.job_folder(d, "t3"), "scan_id string, detection_id bigint, label string", lambda b: jobs.detect(b).select("scan_id", "detection_id", "label")).drop("epoch")
 
 
@@ -167,5 +172,5 @@ def t6_stream(spark, sf):
 SELECT scan_id, CAST(floor(frame_index / 8e0) * 8 AS INT) AS first_frame, label, count(*) AS n FROM fx_detections GROUP BY ALL"""))
 def t7_stream(spark, sf):
     d = fx.view(spark, sf, "fx_detections").select("scan_id", "frame_index", "label")
-    out = jobs.run_available(jobs.counters(_stream(d, "t7", order="frame_index")), jobs.job_folder(d, "t7"), "scan_id string, first_frame int, label string, n bigint", mode="update")
+    out = jobs.run_available(jobs.counters(_stream(d, "t7", "frame_index", (56, 112))), jobs.job_folder(d, "t7"), "scan_id string, first_frame int, label string, n bigint", mode="update")
     return out.groupBy("scan_id", "first_frame", "label").agg(F.max("n").alias("n"))
