@@ -70,8 +70,10 @@ def project_points(points: DataFrame, frames: DataFrame, near: float = cfg.NEAR_
     xc, yc, zc = camera.affine_text("w2c", "x", "y", "z")
     sign = {"opengl": "-", "opencv": ""}[convention]
     kept = [c for c in points.columns]
-    seen = pairs.selectExpr(*kept, "frame_index", "width", "height", "fx", "fy", "cx", "cy",
-                            f"{xc} AS _x", f"{sign}{yc} AS _y", f"{sign}{zc} AS depth")
+    # the one-row generator keeps the range tests above the camera arithmetic: pushed into the join
+    # they would repeat the matrix product once per test and pair
+    camera_row = f"inline(array(named_struct('_x', {xc}, '_y', {sign}{yc}, 'depth', {sign}{zc})))"
+    seen = pairs.selectExpr(*kept, "frame_index", "width", "height", "fx", "fy", "cx", "cy", camera_row)
     seen = seen.where(f"depth > {near}D AND depth < {far}D").selectExpr(
         *kept, "frame_index", "width", "height", "fx", "fy", "depth",
         "fx * (_x / depth) + cx AS float_u", "fy * (_y / depth) + cy AS float_v",

@@ -92,7 +92,9 @@ V_ALL = ("fx_frames", "fx_points", "fx_masks", "fx_runs")
 
 
 def _points(spark, sf):
-    return fx.view(spark, sf, "fx_points").select("scan_id", "point_id", "x", "y", "z", "radius")
+    """Points, spread over all tasks because the source table is one small file."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return fx.view(spark, sf, "fx_points").select("scan_id", "point_id", "x", "y", "z", "radius").repartition(tasks)
 
 
 def _projected(spark, sf):
