@@ -10,28 +10,37 @@ from splatlake import config as cfg
 from splatlake.session import cut
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, key: list[str], max_rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """(key, id, component): the smallest vertex id each vertex can reach.
 
-    Rounds of neighbour minimum followed by a pointer jump; all keys advance together and each
-    round is cut by a reliable checkpoint.  Every step is an aggregation with map-side combining.
+    Edges point from the larger end to the smaller one and are rewritten by the two star steps of
+    Kiveris et al. (2014): first every edge is moved to the smallest neighbour of its lower end,
+    then all lower neighbours of a vertex are tied to the smallest of them.  Roots are hooked as
+    well as leaves, so chains shrink by a constant factor and the number of rounds is logarithmic;
+    there is no round limit, because the sum of the lower ends falls in every round that changes
+    anything.  Ids may be of any orderable type.  Null ends are no edges.
     """
-    both = edges.select(*key, "src", "dst").unionByName(edges.select(*key, F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    both = cut(both)
-    labels = cut(vertices.select(*key, "id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels.select(*key, F.col("id").alias("src"), "component"), [*key, "src"]).groupBy(
-            *key, F.col("dst").alias("id")).agg(F.min("component").alias("_near"))
-        low = labels.join(near, [*key, "id"], "left").select(
-            *key, "id", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", F.col("component"))).alias("_low"))
-        # jump: follow the chosen component to its own component
-        lead = low.select(*key, F.col("id").alias("_low"), F.col("_low").alias("_jump"))
-        step = cut(low.join(lead, [*key, "_low"]).select(*key, "id", "_old", F.least("_low", "_jump").alias("component")))
-        changed = not step.where(F.col("_old") != F.col("component")).isEmpty()
-        labels = step.drop("_old")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    def low(e: DataFrame, end: str) -> DataFrame:
+        return e.groupBy(*key, "hi").agg(F.min("lo").alias("_low")).withColumnRenamed("hi", end)
+
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*key, "hi", "lo").cast("decimal(38,0)"))).first())
+
+    links = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(
+        *key, F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
+    links = cut(links)
+    before = mark(links)
+    while before[0]:
+        large = links.join(low(links, "lo"), [*key, "lo"], "left").select(*key, "hi", F.coalesce("_low", "lo").alias("lo")).distinct()
+        small = large.join(low(large, "hi"), [*key, "hi"])
+        ends = F.expr("CASE WHEN lo = _low THEN array(hi) ELSE array(hi, lo) END")
+        links = cut(small.select(*key, F.explode(ends).alias("hi"), F.col("_low").alias("lo")).distinct())
+        after = mark(links)
+        if after == before:
+            break
+        before = after
+    return vertices.select(*key, "id").join(links.select(*key, F.col("hi").alias("id"), "lo"), [*key, "id"], "left").select(
+        *key, "id", F.coalesce("lo", "id").alias("component"))
 
 
 def offsets(radius: int, include_zero: bool = True) -> Column:
@@ -53,8 +62,7 @@ def near_cells(cells: DataFrame, radius: int = 1) -> DataFrame:
 
 def voxel_components(cells: DataFrame, key: list[str]) -> DataFrame:
     """Adds ``component`` to occupied cells (ci, cj, ck) under 26-neighbour adjacency."""
-    ids = cells.select(*key, "ci", "cj", "ck").distinct().withColumn(
-        "id", (F.col("ci").cast("bigint") + 1048576) * (1 << 42) + (F.col("cj").cast("bigint") + 1048576) * (1 << 21) + F.col("ck") + 1048576)
+    ids = cells.select(*key, "ci", "cj", "ck").distinct().withColumn("id", F.struct("ci", "cj", "ck"))
     near = near_cells(ids.withColumnRenamed("id", "src"))
     edges = near.join(ids.select(*key, F.col("ci").alias("ni"), F.col("cj").alias("nj"), F.col("ck").alias("nk"), F.col("id").alias("dst")),
                       [*key, "ni", "nj", "nk"]).where("src < dst")

@@ -205,11 +205,11 @@ def seed_components(points: DataFrame, hits: DataFrame, key: list[str], size: fl
     rows = m.groupBy(*key, "component").agg(F.count("*").alias("point_count"), F.avg("visible_hits").alias("mean_hits"), *[(F.max(a) - F.min(a)).alias(f"span_{a}") for a in "xyz"])
     rows = rows.join(frames, [*key, "component"], "left").join(totals, key).na.fill(0, ["support_frames"])
     rows = rows.withColumns({"point_fraction": F.col("point_count") / F.col("_total"), "score": F.col("point_count") * F.greatest("mean_hits", F.lit(1e-6))}).drop("_total")
-    top = rows.groupBy(*key).agg(F.max(F.struct("score", -F.col("component"))).alias("_t"))
+    top = rows.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("low"), "component")).alias("_t"))
     j = rows.join(top, key)
-    primary = F.col("component") == -F.col("_t")["col2"]
+    primary = F.col("component") == F.col("_t.component")
     other = (F.col("point_count") >= COMPONENT_POINTS) & (F.col("point_fraction") >= COMPONENT_FRACTION) & (F.col("support_frames") >= COMPONENT_FRAMES) & (
-        F.col("score") >= COMPONENT_SCORE * F.col("_t.score"))
+        F.col("score") >= -COMPONENT_SCORE * F.col("_t.low"))
     return j.withColumn("kept", primary | other).drop("_t")
 
 
