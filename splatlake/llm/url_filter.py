@@ -4,7 +4,7 @@ Segments are reduced to their shape first (numbers and long hexadecimal runs bec
 with one host and shape are counted together, so the tree works on counts.  It is built level by
 level over all hosts at once: where a node has many different children for its rows, the segment is
 variable and becomes a wildcard; otherwise a branch joins the wildcard when its statistics (share of
-bad labels, share of rows that end there) do not differ significantly from its siblings'.  Branches
+bad labels, share of labelled rows, share of rows that end there) do not differ significantly from its siblings'.  Branches
 are compared with the sum of their siblings, never in pairs.  A template is rejected by the smoothed
 share of bad labels among its rows.  Rows that a rule decides are the labels, unless others are given.
 """
@@ -62,8 +62,8 @@ def templates(counts: DataFrame) -> DataFrame:
         rest = {c: F.col(f"all_{c}") - F.col(c) for c in ("n", "bad", "good", "last")}
         variable = (F.col("children") > MANY_CHILDREN) | ((F.col("children") >= LEAST_CHILDREN) & (F.col("children") > VARIABLE_SHARE * F.col("all_n")))
         told, told_rest = F.col("bad") + F.col("good"), rest["bad"] + rest["good"]
-        alike = differs(F.col("bad"), told, rest["bad"], told_rest) & differs(F.col("last"), F.col("n"), rest["last"], rest["n"])
-        alike = alike & ((told > 0) == (told_rest > 0)) & (F.col("children") > 1)
+        alike = comparable(F.col("bad"), told, rest["bad"], told_rest) & comparable(F.col("last"), F.col("n"), rest["last"], rest["n"])
+        alike = alike & comparable(told, F.col("n"), told_rest, rest["n"]) & (F.col("children") > 1)
         named = cut(both.select("host", "template", "seg", F.when(variable | alike, "*").otherwise(F.col("seg")).alias("_to")))
         rows = rows.join(named, ["host", "template", "seg"], "left")
         rows = cut(rows.withColumn("template", F.when(F.col("_to").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_to"))).drop("_to", "seg"))
@@ -71,8 +71,8 @@ def templates(counts: DataFrame) -> DataFrame:
     return rows.select("host", "shape", "n", "bad", "good", tail.alias("template"))
 
 
-def differs(a: Column, n: Column, b: Column, m: Column) -> Column:
-    """False where two shares a / n and b / m differ significantly; true also where one side is empty."""
+def comparable(a: Column, n: Column, b: Column, m: Column) -> Column:
+    """Whether two shares a / n and b / m do not differ significantly; true also where one side is empty."""
     pooled = (a + b) / F.greatest(n + m, F.lit(1))
     gap = F.abs(a / F.greatest(n, F.lit(1)) - b / F.greatest(m, F.lit(1)))
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(m, F.lit(1))))

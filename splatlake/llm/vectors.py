@@ -118,8 +118,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.998
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and
     are their own component, as are vectors of a length no other row has.  Equal vectors are one
-    vertex with a number of copies.  Rows with a null id count as links of others but never name a
-    component.  An empty table gives an empty result; other columns are ignored.
+    vertex with a number of copies.  A row with a null id counts among the copies of its vector, but
+    a vector that only such rows hold links with nothing.  An empty table gives an empty result; other columns are ignored.
     """
     spark = rows.sparkSession
     v = F.col("embedding").cast("array<double>")
