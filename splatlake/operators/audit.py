@@ -83,51 +83,103 @@ def dataset_report(frames: DataFrame, runs: DataFrame, image_pixels: int, min_fr
     return frames.select("scan_id", "frame_index").join(px, ["scan_id", "frame_index"], "left").select("scan_id", "frame_index", frac.alias("area_fraction"), status.alias("status"))
 
 
-def audit_errors(records: DataFrame, runs: DataFrame, image_height: int, image_width: int, min_frames: int = 3) -> DataFrame:
-    """Problems of published masks: (scan_id, frame_index, error, item).
-
-    ``records``: scan_id, frame_index, mask_id, label, track_id, role, source, accepted, fingerprint.
+def audit_parts(frames: DataFrame, records: DataFrame, masks: DataFrame) -> dict[str, DataFrame]:
+    """Published records by how far the audit gets with them.
+
+    ``frames``: scan_id, frame_index, has_json, width, height (null for an unreadable image),
+    fingerprint, layout_fingerprint; ``records``: scan_id, frame_index, mask_id, label, track_id,
+    role, source, accepted, state; ``masks``: scan_id, frame_index, mask_id, width, height of the
+    readable ones.  ``told`` are all records of frames that can be checked, ``live`` the accepted and
+    visible ones, ``good`` those with a mask of the frame's shape; a record that fails goes no further.
     """
+    key, ids = ["scan_id", "frame_index"], ["scan_id", "frame_index", "mask_id"]
+    readable = frames.where("has_json AND width IS NOT NULL AND height IS NOT NULL").select(*key, F.col("width").alias("_w"), F.col("height").alias("_h"))
+    told = records.join(readable, key).withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("role", "source")})
+    passed = F.col("accepted").eqNullSafe(True) & F.col("state").eqNullSafe("visible")
+    told = told.withColumn("_live", passed)
+    live = told.where("_live")
+    seen = live.join(masks.select(*ids, F.col("width").alias("_mw"), F.col("height").alias("_mh")), ids, "left")
+    right = (F.col("_mw") == F.col("_w")) & (F.col("_mh") == F.col("_h"))
+    return {"told": told, "live": live, "seen": seen, "good": seen.where(right)}
+
+
+def overlaps(good: DataFrame, runs: DataFrame, frames: DataFrame) -> DataFrame:
+    """Share of a frame's pixels that more than one published mask covers, where there are any."""
+    from pyspark.sql import Window as W
+
     key = ["scan_id", "frame_index"]
-    surface = F.col("label").isin(SURFACE)
+    cover = runs.select(*key, "mask_id", "y", "x0", "x1").join(good.select(*key, "mask_id"), [*key, "mask_id"], "left_semi")
+    ends = F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")))
+    row = W.partitionBy(*key, "y").orderBy("e.x", "e.d")  # one image row: bounded by the masks of a frame
+    sweep = cover.select(*key, "y", F.explode(ends).alias("e")).withColumns({
+        "_n": F.sum("e.d").over(row.rowsBetween(W.unboundedPreceding, 0)), "_len": F.lead("e.x").over(row) - F.col("e.x")})
+    twice = sweep.where("_n > 1").groupBy(*key).agg(F.sum("_len").alias("_px")).where("_px > 0")
+    return twice.join(frames.select(*key, "width", "height"), key).select(*key, (F.col("_px") / (F.col("width") * F.col("height"))).alias("overlap_fraction"))
 
-    def rows(df, error, item):
-        return df.select(*key, F.lit(error).alias("error"), F.col(item).cast("string").alias("item"))
 
-    top = records.groupBy("scan_id", "fingerprint").agg(F.count("*").alias("c")).groupBy("scan_id").agg(F.max_by("fingerprint", F.struct("c", "fingerprint")).alias("_f"))
-    ids = ["scan_id", "frame_index", "mask_id"]
-    have = runs.select(*ids).distinct()
-    cover = runs.select(*key, "y", "x0", "x1", "mask_id").join(records.where(~surface).select(*ids), ids, "left_semi")
-    sweep = cover.select(*key, "y", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")))).alias("e"))
-    from pyspark.sql import Window as W
+def audit_errors(frames: DataFrame, records: DataFrame, masks: DataFrame, runs: DataFrame, manifests: DataFrame, min_frames: int = 3) -> DataFrame:
+    """Problems of published masks: (scan_id, frame_index, error, item), one row per finding.
+
+    Inputs as in :func:`audit_parts`; ``manifests``: scan_id, fingerprint, layout_fingerprint.
+    ``frame_index`` is -1 for a track; ``item`` is the mask, the track, or empty for a frame.
+    """
+    key = ["scan_id", "frame_index"]
+    p = audit_parts(frames, records, masks)
+    surface, role, source = F.col("label").isin(SURFACE), F.col("role"), F.col("source")
+
+    def rows(df: DataFrame, error: str, item: str | None = "mask_id") -> DataFrame:
+        return df.select(*key, F.lit(error).alias("error"), (F.col(item).cast("string") if item else F.lit("")).alias("item"))
 
-    w = W.partitionBy(*key, "y").orderBy(F.col("e.x"), F.col("e.d")).rowsBetween(W.unboundedPreceding, 0)
-    over = sweep.withColumn("_n", F.sum("e.d").over(w)).where("_n > 1").select(*key).distinct().withColumn("item", F.lit("frame"))
-    short = records.where(~surface).groupBy("scan_id", "track_id").agg(F.countDistinct("frame_index").alias("c")).where(F.col("c") < min_frames).withColumn("frame_index", F.lit(-1))
-    dup = records.where(~surface).groupBy(*key, "track_id").agg(F.count("*").alias("c")).where("c > 1")
-    shape = runs.where((F.col("y") >= image_height) | (F.col("x1") > image_width)).select(*ids).distinct()
+    known = frames.where("has_json").join(manifests.select("scan_id", F.col("fingerprint").alias("_f"), F.col("layout_fingerprint").alias("_l")), "scan_id", "left")
+    tracked = p["live"].where("track_id IS NOT NULL AND track_id <> ''")
+    again = tracked.groupBy(*key, "track_id").agg(F.count("*").alias("_c")).where("_c > 1").withColumn("_k", F.explode(F.sequence(F.lit(2), F.col("_c").cast("int"))))
+    short = tracked.groupBy("scan_id", "track_id").agg(F.countDistinct("frame_index").alias("_c")).where(F.col("_c") < min_frames).withColumn("frame_index", F.lit(-1))
+    live, seen = p["live"], p["seen"]
     parts = [
-        rows(records.join(top, "scan_id").where(F.col("fingerprint") != F.col("_f")), "tracking_fingerprint_mismatch", "mask_id"),
-        rows(records.where(~F.col("accepted")), "non_accepted_record", "mask_id"),
-        rows(records.where(~surface & ~F.col("role").eqNullSafe(OBJECT_ROLE)), "unexpected_object_role", "mask_id"),
-        rows(records.where(surface & ~F.col("role").eqNullSafe(STRUCTURE_ROLE)), "unexpected_structural_role", "mask_id"),
-        rows(records.where(~surface & ~F.col("source").eqNullSafe(OBJECT_SOURCE)), "unexpected_object_source", "mask_id"),
-        rows(records.where(surface & ~F.col("source").eqNullSafe(STRUCTURE_SOURCE)), "unexpected_structural_source", "mask_id"),
-        rows(dup, "duplicate_track_in_frame", "track_id"), rows(records.join(have, ids, "left_anti"), "unreadable_mask", "mask_id"),
-        rows(shape, "mask_shape_mismatch", "mask_id"), rows(over, "object_masks_overlap", "item"), rows(short, "short_track", "track_id"),
+        rows(frames.where("NOT has_json"), "missing_detection_json", None),
+        rows(known.where(~F.col("fingerprint").eqNullSafe(F.col("_f"))), "tracking_fingerprint_mismatch", None),
+        rows(known.where(~F.col("layout_fingerprint").eqNullSafe(F.col("_l"))), "layout_fingerprint_mismatch", None),
+        rows(frames.where("has_json AND (width IS NULL OR height IS NULL)"), "unreadable_source_image", None),
+        rows(p["told"].where("NOT _live"), "nonaccepted_record_in_canonical_detections"),
+        rows(live.where((role == OBJECT_ROLE) & (source != OBJECT_SOURCE)), "object_source_violation"),
+        rows(live.where((role == STRUCTURE_ROLE) & (source != STRUCTURE_SOURCE)), "structural_source_violation"),
+        rows(live.where(surface & (role != STRUCTURE_ROLE)), "structural_role_violation"),
+        rows(live.where(~surface & (role != OBJECT_ROLE)), "object_role_violation"),
+        rows(again, "duplicate_track", "track_id"),
+        rows(seen.where("_mw IS NULL"), "missing_or_unreadable_mask"),
+        rows(seen.where("_mw <> _w OR _mh <> _h"), "mask_shape_mismatch"),
+        rows(overlaps(p["good"], runs, frames), "canonical_masks_overlap", None),
+        rows(short, "published_track_below_minimum_visible_frames", "track_id"),
     ]
     out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def audit_summary(records: DataFrame, errors: DataFrame) -> DataFrame:
-    """Records, labels, tracks and errors per scan with the audit status."""
-    r = records.groupBy("scan_id").agg(F.count("*").alias("records"), F.countDistinct("label").alias("labels"), F.countDistinct("track_id").alias("tracks"))
-    e = errors.groupBy("scan_id").agg(F.count("*").alias("errors"))
-    j = r.join(e, "scan_id", "left").na.fill(0, ["errors"])
-    return j.withColumn("status", F.when(F.col("errors") > 0, F.lit("failed")).otherwise(F.lit("passed")))
+def audit_warnings(frames: DataFrame, good: DataFrame, labels: list[str]) -> DataFrame:
+    """Labels of the prompt list without an accepted mask in a scan."""
+    asked = frames.select("scan_id").distinct().withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
+    return asked.join(good.select("scan_id", "label").distinct(), ["scan_id", "label"], "left_anti").withColumn("warning", F.lit("no_accepted_masks"))
+
+
+def audit_counts(good: DataFrame, states: DataFrame) -> DataFrame:
+    """(scan_id, kind, name, n): published masks by label, source and role, and label states."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in ("label", "source", "role")])).alias("_k")
+    masks = good.select("scan_id", kinds).select("scan_id", "_k.*")
+    state = states.select("scan_id", F.lit("state").alias("kind"), F.col("state").alias("name"))
+    return masks.unionByName(state).groupBy("scan_id", "kind", "name").agg(F.count("*").alias("n"))
+
+
+def audit_summary(frames: DataFrame, good: DataFrame, overlap: DataFrame, errors: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row per scan: frames, accepted masks, errors, warnings, largest overlap and the status."""
+    count = lambda df, name: df.groupBy("scan_id").agg(F.count("*").alias(name))
+    most = overlap.groupBy("scan_id").agg(F.max("overlap_fraction").alias("maximum_overlap_fraction"))
+    j = count(frames, "frame_count")
+    for part in (count(good, "accepted_mask_count"), count(errors, "error_count"), count(warnings, "warning_count"), most):
+        j = j.join(part, "scan_id", "left")
+    j = j.na.fill(0, ["accepted_mask_count", "error_count", "warning_count"]).na.fill(0.0, ["maximum_overlap_fraction"])
+    return j.withColumn("status", F.when(F.col("error_count") == 0, "success").otherwise("failed"))
 
 
 def stale_files(listing: DataFrame, referenced: DataFrame, errors: DataFrame) -> DataFrame:

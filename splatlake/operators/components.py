@@ -107,23 +107,29 @@ def dbscan(points: DataFrame, key: list[str], eps: float = cfg.DBSCAN_EPS, min_s
     return named.select(*key, "point_id", "x", "y", "z", F.lit(True).alias("is_core"), "cluster").unionByName(out)
 
 
-def nearest_occupied(cells: DataFrame, sources: DataFrame, key: list[str], max_rounds: int = 400) -> DataFrame:
+def nearest_occupied(cells: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
     """Six-neighbour breadth-first distance from every grid cell to its nearest source cell.
 
     ``cells``: all cells (ci, cj, ck) that may be walked; ``sources``: occupied cells.  Equal
-    distances keep the source that comes first in row-major order.
+    distances keep the source that comes first in row-major order.  Distances of neighbours differ by
+    one at most, so a new front can only run back into the last two; nothing older is read or
+    written again, and the walk ends when a front is empty.
     """
     pos = ["ci", "cj", "ck"]
     src = F.struct(*[F.col(c).alias(f"s{c[1]}") for c in pos])
-    done = cut(sources.select(*key, *pos).distinct().withColumn("source", src).withColumn("dist", F.lit(0)))
-    front = done
+    front = cut(sources.select(*key, *pos).distinct().withColumn("source", src).withColumn("dist", F.lit(0)))
+    done, older = [front], None
     steps = F.expr("array(" + ", ".join(f"named_struct('i', {a}, 'j', {b}, 'k', {c})" for a, b, c in
                                         [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]) + ")")
-    for d in range(1, max_rounds + 1):
+    walkable = cells.select(*key, *pos)
+    while not front.isEmpty():
         moved = front.withColumn("_s", F.explode(steps)).select(*key, *[(F.col(c) + F.col(f"_s.{c[1]}")).alias(c) for c in pos], "source")
-        fresh = moved.groupBy(*key, *pos).agg(F.min("source").alias("source")).join(cells.select(*key, *pos), [*key, *pos], "left_semi")
-        front = cut(fresh.join(done.select(*key, *pos), [*key, *pos], "left_anti").withColumn("dist", F.lit(d)))
-        if front.isEmpty():
-            return done
-        done = cut(done.unionByName(front))
-    raise RuntimeError("grid is wider than the allowed number of rounds")
+        fresh = moved.groupBy(*key, *pos).agg(F.min("source").alias("source")).join(walkable, [*key, *pos], "left_semi")
+        for known in [front] if older is None else [front, older]:
+            fresh = fresh.join(known.select(*key, *pos), [*key, *pos], "left_anti")
+        older, front = front, cut(fresh.withColumn("dist", F.lit(len(done))))
+        done.append(front)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out

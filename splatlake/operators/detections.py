@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from splatlake import config as cfg
@@ -10,7 +12,6 @@ from splatlake.functions.weights import literal_map
 from splatlake.session import cut
 
 FRAME = ["scan_id", "frame_index"]
-MAX_FOLD = 2_000  # detections of one (frame, label) that a single array fold may hold
 
 
 def iou_text(a: str, b: str) -> str:
@@ -44,49 +45,34 @@ def gate(detections: DataFrame, thresholds=None, max_fraction=None) -> DataFrame
     }).drop("_c")
 
 
-def nms(detections: DataFrame, iou: float = cfg.NMS_IOU, max_fold: int = MAX_FOLD) -> DataFrame:
+def nms(detections: DataFrame, iou: float = cfg.NMS_IOU) -> DataFrame:
     """Greedy same-label suppression per frame: adds ``suppressed_by`` (null = kept).
 
-    Order: prompt kind rank, then confidence, then detection id.  Groups up to ``max_fold`` are
-    folded in one array; larger ones go through rounds that are linear in their rows.
+    Order: prompt kind rank, then confidence, then detection id.  Groups of every size take the same
+    rounds, which are linear in their rows; any threshold above 0 and up to 1 is accepted.
     """
-    keys = [*FRAME, "label"]
+    if not 0 < iou <= 1:
+        raise ValueError("the IoU threshold must lie above 0 and not above 1")
     rank = literal_map(cfg.PROMPT_KIND_RANK, F.col("prompt_kind"), 0)
     d = detections.withColumn("_rank", -rank).withColumn("_conf", -F.col("confidence"))
-    hot = d.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_fold).select(*keys)
-    kept_cols = [c for c in detections.columns if c not in keys]
-    small = d.join(hot, keys, "left_anti")
-    item = F.struct("_rank", "_conf", "detection_id", *[c for c in kept_cols if c != "detection_id"])
-    grouped = small.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    fold = (f"aggregate(items, slice(items, 1, 0), (acc, x) -> "
-            f"IF(exists(acc, k -> {iou_text('k', 'x')} >= {iou}D), acc, concat(acc, array(x))))")
-    first = f"try_element_at(filter(kept, k -> {iou_text('k', 'item')} >= {iou}D), 1).detection_id"
-    folded = grouped.withColumn("kept", F.expr(fold)).select(*keys, "kept", F.explode("items").alias("item"))
-    folded = folded.select(*keys, "item.*", F.expr(first).alias("_by"))
-    out = folded.select(
-        *detections.columns, F.when(F.col("_by") != F.col("detection_id"), F.col("_by")).alias("suppressed_by")
-    )
-    if hot.isEmpty():
-        return out
-    return out.unionByName(_nms_rounds(d.join(hot, keys, "left_semi"), keys, iou).select(*out.columns))
+    return _nms_rounds(d, [*FRAME, "label"], iou).select(*detections.columns, "suppressed_by")
 
 
 def _nms_rounds(d: DataFrame, keys: list[str], iou: float) -> DataFrame:
-    """The same greedy result for groups of any size.
+    """The greedy result in rounds.
 
-    Boxes that can reach the threshold have similar sides and near centres, so they share a
-    (level, cell) bucket.  A box that leads all its buckets cannot be suppressed any more: it is
+    Boxes that reach the threshold t have sides within a factor of 1 / t and centres within 1 - t of
+    the longer side, so they share a (level, cell) bucket.  A box that leads all its buckets cannot be suppressed any more: it is
     kept, and what it overlaps is dropped by joining each bucket with its single leader.
     """
-    if iou < 0.5:
-        raise ValueError("bucket sizes assume an IoU threshold of at least 0.5")
     order = "struct(_rank, _conf, detection_id)"
     levels = {s: f"int(floor(log2(greatest({s}2 - {s}1, 1e-9D))))" for s in "xy"}
+    above, reach = math.ceil(math.log2(1 / iou)), (1 - iou) / 2 + 1e-4
     cells = {}
     for s in "xy":
         c, size = f"(({s}1 + {s}2) / 2)", "pow(2D, l + 1)"
-        cells[s] = (f"flatten(transform(array({levels[s]}, {levels[s]} + 1), l -> transform(sequence("
-                    f"bigint(floor(({c} - {size} * 0.2501D) / {size})), bigint(floor(({c} + {size} * 0.2501D) / {size}))), "
+        cells[s] = (f"flatten(transform(sequence({levels[s]}, {levels[s]} + {above}), l -> transform(sequence("
+                    f"bigint(floor(({c} - {size} * {reach}D) / {size})), bigint(floor(({c} + {size} * {reach}D) / {size}))), "
                     "i -> struct(l, i))))")
     keyed = cut(d.where("x2 > x1 AND y2 > y1").selectExpr("*", f"{order} AS _o", f"{cells['x']} AS _cx", f"{cells['y']} AS _cy"))
     flat = d.where("x2 <= x1 OR y2 <= y1").withColumn("suppressed_by", F.lit(None).cast("bigint"))
@@ -95,7 +81,7 @@ def _nms_rounds(d: DataFrame, keys: list[str], iou: float) -> DataFrame:
     def buckets(df):
         return df.withColumn("_bx", F.explode("_cx")).withColumn("_by", F.explode("_cy"))
 
-    alive, kept = keyed, None
+    alive, winners = keyed, []
     while not alive.isEmpty():
         b = buckets(alive.select(*keys, "_o", "detection_id", "x1", "y1", "x2", "y2", "_cx", "_cy"))
         leaders = b.groupBy(*bucket).agg(F.min(F.struct("_o", "detection_id", "x1", "y1", "x2", "y2")).alias("top"))
@@ -105,12 +91,14 @@ def _nms_rounds(d: DataFrame, keys: list[str], iou: float) -> DataFrame:
         dead = met.where(iou_text("top", "self").replace("self.", "") + f" >= {iou}D").join(
             won, [met[k] == won[k] for k in keys] + [F.col("top.detection_id") == F.col("_w")], "left_semi"
         ).select("detection_id", *keys).distinct()
-        step = keyed.join(won.withColumnRenamed("_w", "detection_id"), [*keys, "detection_id"], "left_semi")
-        kept = step if kept is None else kept.unionByName(step)
-        kept = cut(kept)
+        winners.append(won)
         alive = cut(alive.join(dead, [*keys, "detection_id"], "left_anti"))
-    if kept is None:
+    if not winners:
         return flat
+    every = winners[0]
+    for won in winners[1:]:
+        every = every.unionByName(won)
+    kept = cut(keyed.join(every.withColumnRenamed("_w", "detection_id"), [*keys, "detection_id"], "left_semi"))
     lost = keyed.join(kept.select(*keys, "detection_id"), [*keys, "detection_id"], "left_anti")
     k = buckets(kept).select(*bucket, F.col("_o").alias("_ko"), F.expr("struct(x1, y1, x2, y2)").alias("_kb"))
     overlap = iou_text("_kb", "self").replace("self.", "")

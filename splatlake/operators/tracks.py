@@ -74,19 +74,20 @@ def associate(detections: DataFrame, max_gap: int = cfg.MAX_ANCHOR_GAP) -> DataF
 def candidate_pairs(detections: DataFrame, max_gap: int = cfg.MAX_ANCHOR_GAP) -> DataFrame:
     """Scored pairs of consecutive-anchor detections of one label that pass the association test.
 
-    Pairs meet on (scan, label, frame gap step) and on coarse image tiles of the centres.
+    A pair is a gap of 1 to ``max_gap`` frames apart, whatever the anchor stride: frames are cut into
+    spans of ``max_gap``, and a detection meets those of its own span and of the one before.
     """
-    stride = cfg.ANCHOR_STRIDE
-    steps = F.explode(F.sequence(F.lit(stride), F.lit(max_gap), F.lit(stride)))
     b = boxes.box("x1", "y1", "x2", "y2")
-    a = detections.select(*KEY, "width", "height", "frame_index", "detection_id", b.alias("a")).withColumn("gap", steps)
-    a = a.withColumn("_prev", F.col("frame_index") - F.col("gap"))
-    p = detections.select(*KEY, F.col("frame_index").alias("_prev"), F.col("detection_id").alias("previous_id"), b.alias("p"))
+    span = F.floor(F.col("frame_index") / max_gap)
+    a = detections.select(*KEY, "width", "height", "frame_index", "detection_id", b.alias("a"), F.explode(F.array(span, span - 1)).alias("_span"))
+    p = detections.select(*KEY, F.col("frame_index").alias("_prev"), F.col("detection_id").alias("previous_id"), b.alias("p"), span.alias("_span"))
+    gap = F.col("frame_index") - F.col("_prev")
     iou, dist = boxes.iou(F.col("a"), F.col("p")), boxes.center_distance(F.col("a"), F.col("p"), F.col("width"), F.col("height"))
     ratio = boxes.area_ratio(F.col("a"), F.col("p"))
     score = 0.60 * iou + 0.25 * F.greatest(F.lit(0.0), 1.0 - dist) + 0.15 * ratio
     passes = (iou >= cfg.TRACK_IOU) | ((dist <= cfg.TRACK_DISTANCE) & (ratio >= cfg.TRACK_AREA_RATIO))
-    return a.join(p, [*KEY, "_prev"]).where(passes).select(*KEY, "detection_id", "previous_id", "gap", score.alias("score"))
+    met = a.join(p, [*KEY, "_span"]).where((gap > 0) & (gap <= max_gap) & passes)
+    return met.select(*KEY, "detection_id", "previous_id", gap.alias("gap"), score.alias("score"))
 
 
 def track_summary(associated: DataFrame) -> DataFrame:

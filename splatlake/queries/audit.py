@@ -77,33 +77,63 @@ def a26(spark, sf):
     return out.withColumn("area_fraction", F.round("area_fraction", 6))
 
 
-ERR = REC + """,
-px AS (SELECT DISTINCT r.scan_id, r.frame_index, r.mask_id, r.y, unnest(range(r.x0, r.x1)) AS x FROM fx_runs r WHERE label NOT IN ('wall', 'floor')),
-err AS (SELECT scan_id, frame_index, 'tracking_fingerprint_mismatch' AS error, CAST(mask_id AS STRING) AS item FROM rec WHERE fingerprint = 'old'
- UNION ALL SELECT scan_id, frame_index, 'non_accepted_record', CAST(mask_id AS STRING) FROM rec WHERE NOT accepted
- UNION ALL SELECT scan_id, frame_index, CASE WHEN label IN ('wall', 'floor') THEN 'unexpected_structural_role' ELSE 'unexpected_object_role' END, CAST(mask_id AS STRING) FROM rec WHERE role IS NULL
- UNION ALL SELECT scan_id, frame_index, CASE WHEN label IN ('wall', 'floor') THEN 'unexpected_structural_source' ELSE 'unexpected_object_source' END, CAST(mask_id AS STRING) FROM rec WHERE source = 'other'
- UNION ALL SELECT scan_id, frame_index, 'duplicate_track_in_frame', track_id FROM rec WHERE label NOT IN ('wall', 'floor') GROUP BY scan_id, frame_index, track_id HAVING count(*) > 1
- UNION ALL SELECT scan_id, frame_index, 'unreadable_mask', CAST(mask_id AS STRING) FROM rec WHERE mask_id NOT IN (SELECT mask_id FROM fx_runs)
- UNION ALL SELECT DISTINCT scan_id, frame_index, 'mask_shape_mismatch', CAST(mask_id AS STRING) FROM fx_runs WHERE y >= 118 OR x1 > 158
- UNION ALL SELECT DISTINCT scan_id, frame_index, 'object_masks_overlap', 'frame' FROM (SELECT scan_id, frame_index, y, x FROM px GROUP BY ALL HAVING count(*) > 1) q
- UNION ALL SELECT scan_id, -1, 'short_track', track_id FROM rec WHERE label NOT IN ('wall', 'floor') GROUP BY scan_id, track_id HAVING count(DISTINCT frame_index) < 10)"""
-
-
-def _errors(spark, sf):
-    return au.audit_errors(_rec(spark, sf), fx.view(spark, sf, "fx_runs"), 118, 158, 10)
-
-
-@query("a30_audit_errors", fx.with_views("fx_masks", "fx_runs", sql=ERR + "SELECT * FROM err"))
+AUDIT = REC + """,
+fr AS (SELECT scan_id, frame_index, frame_index <> 7 AS has_json, CASE WHEN frame_index <> 11 THEN 160 END AS w, CASE WHEN frame_index % 9 = 4 THEN 'old' ELSE 'new' END AS f,
+  CASE WHEN frame_index = 6 THEN NULL ELSE 'lay' END AS lf FROM fx_frames),
+told AS (SELECT r.*, r.accepted AND r.state = 'visible' AS live FROM rec r JOIN fr ON r.scan_id = fr.scan_id AND r.frame_index = fr.frame_index AND has_json AND w IS NOT NULL),
+lv AS (SELECT *, coalesce(role, 'unknown') AS ro FROM told WHERE live),
+good AS (SELECT * FROM lv WHERE mask_id % 43 <> 0 AND mask_id % 47 <> 0),
+px AS (SELECT scan_id, frame_index, y, x FROM (SELECT DISTINCT r.scan_id, r.frame_index, r.mask_id, r.y, unnest(range(r.x0, r.x1)) AS x FROM fx_runs r WHERE mask_id IN (SELECT mask_id FROM good)) q GROUP BY ALL HAVING count(*) > 1),
+ov AS (SELECT scan_id, frame_index, count(*) / 19200e0 AS o FROM px GROUP BY ALL),
+err AS (SELECT scan_id, frame_index, 'missing_detection_json' AS error, '' AS item FROM fr WHERE NOT has_json
+ UNION ALL SELECT scan_id, frame_index, 'tracking_fingerprint_mismatch', '' FROM fr WHERE has_json AND f = 'old'
+ UNION ALL SELECT scan_id, frame_index, 'layout_fingerprint_mismatch', '' FROM fr WHERE has_json AND lf IS NULL
+ UNION ALL SELECT scan_id, frame_index, 'unreadable_source_image', '' FROM fr WHERE has_json AND w IS NULL
+ UNION ALL SELECT scan_id, frame_index, 'nonaccepted_record_in_canonical_detections', CAST(mask_id AS STRING) FROM told WHERE NOT live
+ UNION ALL SELECT scan_id, frame_index, CASE WHEN ro = 'tracked_object' THEN 'object_source_violation' ELSE 'structural_source_violation' END, CAST(mask_id AS STRING) FROM lv WHERE ro <> 'unknown' AND source = 'other'
+ UNION ALL SELECT scan_id, frame_index, CASE WHEN label IN ('wall', 'floor') THEN 'structural_role_violation' ELSE 'object_role_violation' END, CAST(mask_id AS STRING) FROM lv WHERE ro = 'unknown'
+ UNION ALL SELECT scan_id, frame_index, 'duplicate_track', track_id FROM lv QUALIFY row_number() OVER (PARTITION BY scan_id, frame_index, track_id ORDER BY mask_id) > 1
+ UNION ALL SELECT scan_id, frame_index, 'missing_or_unreadable_mask', CAST(mask_id AS STRING) FROM lv WHERE mask_id % 43 = 0
+ UNION ALL SELECT scan_id, frame_index, 'mask_shape_mismatch', CAST(mask_id AS STRING) FROM lv WHERE mask_id % 43 <> 0 AND mask_id % 47 = 0
+ UNION ALL SELECT scan_id, frame_index, 'canonical_masks_overlap', '' FROM ov
+ UNION ALL SELECT scan_id, -1, 'published_track_below_minimum_visible_frames', track_id FROM lv GROUP BY scan_id, track_id HAVING count(DISTINCT frame_index) < 10)"""
+PROMPTS = ["wall", "floor", "bed", "desk", "pillow", "sofa"]
+
+
+def _audit(spark, sf):
+    frames = fx.view(spark, sf, "fx_frames").selectExpr(
+        "scan_id", "frame_index", "frame_index <> 7 AS has_json", "CASE WHEN frame_index <> 11 THEN 160 END AS width", "CASE WHEN frame_index <> 11 THEN 120 END AS height",
+        "CASE WHEN frame_index % 9 = 4 THEN 'old' ELSE 'new' END AS fingerprint", "CASE WHEN frame_index = 6 THEN NULL ELSE 'lay' END AS layout_fingerprint")
+    masks = fx.view(spark, sf, "fx_masks").where("mask_id % 43 <> 0").selectExpr(*MASK, "CASE WHEN mask_id % 47 = 0 THEN 161 ELSE 160 END AS width", "120 AS height")
+    manifests = frames.select("scan_id").distinct().selectExpr("scan_id", "'new' AS fingerprint", "'lay' AS layout_fingerprint")
+    return frames, _rec(spark, sf), masks, fx.view(spark, sf, "fx_runs"), manifests
+
+
+@query("a30_audit_errors", fx.with_views("fx_frames", "fx_masks", "fx_runs", sql=AUDIT + "SELECT * FROM err"))
 def a30(spark, sf):
-    return _errors(spark, sf)
+    return au.audit_errors(*_audit(spark, sf), 10)
 
 
-@query("a31_audit_summary", fx.with_views("fx_masks", "fx_runs", sql=ERR + """
-SELECT r.scan_id, r.records, r.labels, r.tracks, coalesce(e.n, 0) AS errors, CASE WHEN e.n > 0 THEN 'failed' ELSE 'passed' END AS status
-FROM (SELECT scan_id, count(*) AS records, count(DISTINCT label) AS labels, count(DISTINCT track_id) AS tracks FROM rec GROUP BY scan_id) r LEFT JOIN (SELECT scan_id, count(*) AS n FROM err GROUP BY scan_id) e USING (scan_id)"""))
+@query("a31_audit_summary", fx.with_views("fx_frames", "fx_masks", "fx_runs", sql=AUDIT + """,
+wn AS (SELECT scan_id, count(*) AS n FROM (SELECT DISTINCT scan_id FROM fr) s, (VALUES ('wall'), ('floor'), ('bed'), ('desk'), ('pillow'), ('sofa')) l(label)
+  WHERE (scan_id, label) NOT IN (SELECT (scan_id, label) FROM good) GROUP BY scan_id)
+SELECT f.scan_id, f.n AS frame_count, coalesce(g.n, 0) AS accepted_mask_count, coalesce(e.n, 0) AS error_count, coalesce(wn.n, 0) AS warning_count,
+  round(coalesce(o.m, 0), 6) AS maximum_overlap_fraction, CASE WHEN e.n > 0 THEN 'failed' ELSE 'success' END AS status
+FROM (SELECT scan_id, count(*) AS n FROM fr GROUP BY scan_id) f LEFT JOIN (SELECT scan_id, count(*) AS n FROM good GROUP BY scan_id) g USING (scan_id)
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM err GROUP BY scan_id) e USING (scan_id) LEFT JOIN wn USING (scan_id) LEFT JOIN (SELECT scan_id, max(o) AS m FROM ov GROUP BY scan_id) o USING (scan_id)"""))
 def a31(spark, sf):
-    return au.audit_summary(_rec(spark, sf), _errors(spark, sf))
+    frames, records, masks, runs, manifests = _audit(spark, sf)
+    good = au.audit_parts(frames, records, masks)["good"]
+    out = au.audit_summary(frames, good, au.overlaps(good, runs, frames), au.audit_errors(frames, records, masks, runs, manifests, 10), au.audit_warnings(frames, good, PROMPTS))
+    return out.withColumn("maximum_overlap_fraction", F.round("maximum_overlap_fraction", 6))
+
+
+@query("a31_audit_counts", fx.with_views("fx_frames", "fx_masks", "fx_runs", sql=AUDIT + """
+SELECT scan_id, 'label' AS kind, label AS name, count(*) AS n FROM good GROUP BY ALL UNION ALL SELECT scan_id, 'source', source, count(*) FROM good GROUP BY ALL
+UNION ALL SELECT scan_id, 'role', ro, count(*) FROM good GROUP BY ALL UNION ALL SELECT scan_id, 'state', state, count(*) FROM rec GROUP BY ALL"""))
+def a31_counts(spark, sf):
+    frames, records, masks, _, _ = _audit(spark, sf)
+    return au.audit_counts(au.audit_parts(frames, records, masks)["good"], records)
 
 
 @query("u5_stale_files", """

@@ -57,10 +57,11 @@ def k3(spark, sf):
 
 
 @query("k5_report_order", fx.with_views("fx_detections", sql="""
-SELECT detection_id, confidence FROM fx_detections WHERE confidence < 0.5e0 ORDER BY confidence DESC, detection_id LIMIT 400"""))
+SELECT scan_id, detection_id, confidence FROM fx_detections WHERE confidence < 0.5e0
+QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY confidence DESC, detection_id) <= 400"""))
 def k5(spark, sf):
     d = fx.view(spark, sf, "fx_detections").where("confidence < 0.5D")
-    return d.select("detection_id", "confidence").orderBy(F.col("confidence").desc(), "detection_id").limit(400)
+    return rk.top_rows(d.select("scan_id", "detection_id", "confidence"), ["scan_id"], [F.col("confidence").desc(), F.col("detection_id")], 400)
 
 
 @query("w9_label_role", fx.with_views("fx_masks", sql="""

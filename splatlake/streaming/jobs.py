@@ -78,11 +78,14 @@ def detect(batch: DataFrame) -> DataFrame:
     return de.drop_conflicts(kept).where("conflict_reason IS NULL").drop("conflict_reason", "conflict_with")
 
 
-def counters(detections: DataFrame, seconds: int = cfg.ANCHOR_STRIDE, late: str = "1 hour") -> DataFrame:
-    """Detections per label in tumbling blocks of the anchor stride (one second per frame)."""
-    timed = detections.withColumn("at", F.timestamp_seconds("frame_index")).withWatermark("at", late)
-    return timed.groupBy("scan_id", F.window("at", f"{seconds} seconds").alias("w"), "label").agg(F.count("*").alias("n")).select(
-        "scan_id", F.unix_timestamp("w.start").cast("int").alias("first_frame"), "label", "n")
+def counters(detections: DataFrame, frames: int = cfg.ANCHOR_STRIDE) -> DataFrame:
+    """Detections per scan, block of ``frames`` frames and label.
+
+    A frame index is a clock of its own scan; a watermark is one clock for all scans and would drop
+    scans that start late, so there is none, and the state holds one counter per block.
+    """
+    first = (F.floor(F.col("frame_index") / frames) * frames).cast("int")
+    return detections.groupBy("scan_id", first.alias("first_frame"), "label").agg(F.count("*").alias("n"))
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:

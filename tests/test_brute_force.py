@@ -15,12 +15,76 @@ def detections(spark, sf):
     return fx.view(spark, sf, "fx_detections")
 
 
-def test_nms_rounds_equal_fold(detections):
+@pytest.mark.parametrize("threshold", [0.3, cfg.NMS_IOU])
+def test_nms_matches_loop(detections, threshold):
     few = detections.where("detection_id < 250")
     crowd = few.withColumns({"frame_index": F.lit(0), "label": F.lit("bed"), "scan_id": F.lit("s")})
-    a = {r.detection_id: r.suppressed_by for r in de.nms(crowd).collect()}
-    b = {r.detection_id: r.suppressed_by for r in de.nms(crowd, max_fold=0).collect()}
-    assert len(a) == few.count() and a == b and any(v is not None for v in a.values())
+    rank = cfg.PROMPT_KIND_RANK
+    want, kept = {}, []
+    for r in sorted(crowd.collect(), key=lambda r: (-rank.get(r.prompt_kind, 0), -r.confidence, r.detection_id)):
+        by = next((k.detection_id for k in kept if iou(k, r) >= threshold), None)
+        want[r.detection_id] = by
+        if by is None:
+            kept.append(r)
+    got = {r.detection_id: r.suppressed_by for r in de.nms(crowd, threshold).collect()}
+    assert got == want and any(v is not None for v in got.values())
+
+
+def iou(a, b):
+    inter = max(0.0, min(a.x2, b.x2) - max(a.x1, b.x1)) * max(0.0, min(a.y2, b.y2) - max(a.y1, b.y1))
+    return inter / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - inter)
+
+
+@pytest.mark.parametrize("order", ["descending", "shuffled"])
+def test_components_of_long_chains(spark, order):
+    names = list(range(2000))[::-1]
+    if order == "shuffled":
+        random.Random(5).shuffle(names)
+    v = spark.createDataFrame([("s", n) for n in names], "scan_id string, id bigint")
+    e = spark.createDataFrame([("s", a, b) for a, b in zip(names, names[1:]) if names.index(a) % 1000 != 999], "scan_id string, src bigint, dst bigint")
+    got = {r.id: r.component for r in co.connected_components(v, e, ["scan_id"]).collect()}
+    assert got == {n: min(part) for part in (names[:1000], names[1000:]) for n in part}
+
+
+def test_voxel_spiral_far_from_the_origin(spark):
+    far = 3_000_000
+    spiral, x, y, step, left = [], 0, 0, 2, (1, 0)
+    for side in range(24):
+        for _ in range(step):
+            spiral.append((x, y))
+            x, y = x + left[0], y + left[1]
+        left = (-left[1], left[0])
+        step += 2 * (side % 2)
+    cells = spark.createDataFrame([("s", far + a, -far + b, 0) for a, b in spiral] + [("s", far + 1_000, 0, 0), ("s", far + 1_001, 1, 1)],
+                                  "scan_id string, ci int, cj int, ck int")
+    rows = co.voxel_components(cells, ["scan_id"]).collect()
+    assert len({r.component for r in rows}) == 2 and len(rows) == len(set(spiral)) + 2
+
+
+def test_nearest_occupied_on_a_long_corridor(spark):
+    cells = spark.createDataFrame([("s", i, 0, 0) for i in range(60)] + [("s", 0, 5, 5)], "scan_id string, ci int, cj int, ck int")
+    src = cells.where("ci IN (0, 1, 40)")
+    got = {(r.ci, r.cj): (r.dist, r.source.si) for r in co.nearest_occupied(cells, src, ["scan_id"]).collect()}
+    want = {(i, 0): min((abs(i - s), s) for s in (0, 1, 40)) for i in range(60)}
+    assert {k: v for k, v in got.items() if k[1] == 0} == want and got[(0, 5)] == (0, 0)
+
+
+def test_pairs_of_the_last_anchor(spark):
+    rows = [("s", "bed", f, f, 10.0, 10.0, 60.0, 60.0, 640, 480) for f in (0, 8, 11, 40)]
+    d = spark.createDataFrame(rows, "scan_id string, label string, frame_index int, detection_id bigint, x1 double, y1 double, x2 double, y2 double, width int, height int")
+    assert {(r.detection_id, r.previous_id) for r in tr.candidate_pairs(d).collect()} == {(8, 0), (11, 8), (11, 0)}
+
+
+def test_counters_keep_scans_that_start_late(spark):
+    from splatlake.streaming import jobs
+
+    d = spark.createDataFrame([("a", f, "bed") for f in range(0, 9008, 8)] + [("b", f, "bed") for f in range(0, 80, 4)], "scan_id string, frame_index int, label string")
+    folder = jobs.job_folder(d, "late")
+    for scan in ("a", "b"):
+        d.where(F.col("scan_id") == scan).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = jobs.run_available(jobs.counters(stream), folder, "scan_id string, first_frame int, label string, n bigint", mode="update")
+    assert out.where("scan_id = 'b'").groupBy("first_frame").agg(F.max("n").alias("n")).where("n = 2").count() == 10
 
 
 def test_associate_matches_loop(detections):
