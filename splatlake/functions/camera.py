@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from splatlake.operators.quantiles import attach, exact_quantiles
 from splatlake import config as cfg
 
 
@@ -80,12 +81,8 @@ def world_radius(gaussians: DataFrame, fallback: float = cfg.FOOTPRINT_FALLBACK_
     """Adds ``radius``: largest axis, with the scan's median where it is not finite and positive."""
     raw = sigma_max(F.col("scale"))
     valid = F.when((raw > 0) & ~F.isnan(raw) & (raw < float("inf")), raw)
-    medians = gaussians.groupBy("scan_id").agg(F.median(valid).alias("_median"))
-    return (
-        gaussians.join(medians, "scan_id")
-        .withColumn("radius", F.coalesce(valid, F.col("_median"), F.lit(fallback)))
-        .drop("_median")
-    )
+    medians = exact_quantiles(gaussians.select("scan_id", valid.alias("r")), ["scan_id"], {"r": [0.5]})
+    return attach(gaussians, medians, ["scan_id"]).withColumn("radius", F.coalesce(valid, F.col("q_r")[0], F.lit(fallback))).drop("q_r")
 
 
 def sigma_alpha(gaussians: DataFrame) -> DataFrame:

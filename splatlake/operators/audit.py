@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from splatlake.operators import masks as ma
+from splatlake.operators.quantiles import attach, exact_quantiles
 from splatlake.operators.skew import ordered_rank
 
 SURFACE = ["wall", "floor", "ceiling"]
@@ -21,12 +22,11 @@ def summarize(df: DataFrame, value: str, by: list[str], with_std: bool = False)
     """Count, min, quartiles, max and mean per group; non-numeric and non-finite values drop out."""
     v = F.col(value).try_cast("double")
     v = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    aggs = [F.count(v).alias("count"), F.min(v).alias("min"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_p"),
-            F.max(v).alias("max"), F.avg(v).alias("mean")]
+    aggs = [F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean")]
     if with_std:
         aggs.append(F.stddev_pop(v).alias("std"))
-    g = df.groupBy(*by).agg(*aggs)
-    return g.withColumns({"p25": F.col("_p")[0], "median": F.col("_p")[1], "p75": F.col("_p")[2]}).drop("_p")
+    g = attach(df.groupBy(*by).agg(*aggs), exact_quantiles(df.select(*by, v.alias("v")), by, {"v": [0.25, 0.5, 0.75]}), by)
+    return g.withColumns({"p25": F.col("q_v")[0], "median": F.col("q_v")[1], "p75": F.col("q_v")[2]}).drop("q_v")
 
 
 def is_structural(role: Column, source: Column) -> Column:
@@ -223,10 +223,9 @@ def batch_status(variants: DataFrame, expected: DataFrame) -> DataFrame:
 
 def inspect_exports(gaussians: DataFrame, by: list[str]) -> DataFrame:
     """Count, centre, span and quantiles of sigma and alpha per export."""
-    q = F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))
-    g = gaussians.groupBy(*by).agg(F.count("*").alias("count"), *[F.avg(a).alias(f"center_{a}") for a in "xyz"], *[(F.max(a) - F.min(a)).alias(f"span_{a}") for a in "xyz"],
-                                   F.percentile("sigma", q).alias("_s"), F.percentile("alpha", q).alias("_a"))
-    return g.withColumns({f"{n}_p{p}": F.col(c)[i] for n, c in (("sigma", "_s"), ("alpha", "_a")) for i, p in enumerate((50, 90, 99))}).drop("_s", "_a")
+    g = gaussians.groupBy(*by).agg(F.count("*").alias("count"), *[F.avg(a).alias(f"center_{a}") for a in "xyz"], *[(F.max(a) - F.min(a)).alias(f"span_{a}") for a in "xyz"])
+    g = attach(g, exact_quantiles(gaussians, by, {n: [0.5, 0.9, 0.99] for n in ("sigma", "alpha")}), by)
+    return g.withColumns({f"{n}_p{p}": F.col(f"q_{n}")[i] for n in ("sigma", "alpha") for i, p in enumerate((50, 90, 99))}).drop("q_sigma", "q_alpha")
 
 
 def select_cleanup(candidates: DataFrame) -> DataFrame:

@@ -46,7 +46,11 @@ def ordered_rank(df: DataFrame, keys: list[str], order: list[Column], name: str
     offsets = held.select(*keys, "_slice", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"),
                           F.sum("_held").over(W.partitionBy(*keys)).alias("_total"))
     local = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order))
-    out = ranged.withColumn("_local", local).join(offsets, [*keys, "_slice"])
+    offsets = offsets.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_slice").alias("_at"), "_before", "_total")
+    same = F.col("_slice") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    out = ranged.withColumn("_local", local).join(offsets, same).drop("_at", *[f"_key_{k}" for k in keys])
     return out.withColumn(name, (F.col("_before") + F.col("_local")).cast("bigint")).withColumn(
         f"{name}_total", F.col("_total")
     ).drop("_local", "_before", "_slice", "_total")

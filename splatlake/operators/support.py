@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from splatlake.operators.components import near_cells, voxel_components
+from splatlake.operators.quantiles import exact_quantiles
 from splatlake.operators.ranking import linspace_pick
 from splatlake.session import cut
 
@@ -218,7 +219,7 @@ def principal_axes(points: DataFrame, key: list[str]) -> DataFrame:
 
     Sums of nine values per object are all that leaves Spark's aggregation; the 3x3 solve is tiny.
     """
-    med = points.groupBy(*key).agg(*[F.median(a).alias(f"m{a}") for a in "xyz"])
+    med = exact_quantiles(points, key, {a: [0.5] for a in "xyz"}).select(*key, *[F.col(f"q_{a}")[0].alias(f"m{a}") for a in "xyz"])
     d = points.join(med, key)
     pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
     s = d.groupBy(*key).agg(*[F.first(f"m{a}").alias(f"m{a}") for a in "xyz"],

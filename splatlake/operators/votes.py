@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from splatlake.operators.quantiles import attach, exact_quantiles
 from splatlake import config as cfg
 from splatlake.functions import weights
 from splatlake.operators import masks as ma
@@ -36,9 +37,7 @@ def point_heights(points: DataFrame, up: DataFrame) -> DataFrame:
 
 def height_limits(points: DataFrame) -> DataFrame:
     """Floor and ceiling limits per scan from exact height percentiles."""
-    p = points.groupBy("scan_id").agg(
-        F.percentile("height", F.array(*[F.lit(q) for q in (cfg.HEIGHT_LOW, 0.15, 0.85, cfg.HEIGHT_HIGH)])).alias("p")
-    )
+    p = exact_quantiles(points, ["scan_id"], {"height": [cfg.HEIGHT_LOW, 0.15, 0.85, cfg.HEIGHT_HIGH]}).withColumnRenamed("q_height", "p")
     lo, hi = F.col("p")[0] + cfg.HEIGHT_MARGIN, F.col("p")[3] - cfg.HEIGHT_MARGIN
     crossed = lo >= hi
     return p.select(
@@ -55,12 +54,13 @@ def height_gate(label: Column, height: Column, floor: Column, ceiling: Column) -
 
 
 def cloud_bounds(points: DataFrame) -> DataFrame:
-    """Bounds, size and radius statistics per scan in one pass."""
+    """Bounds, size and radius statistics per scan."""
     aggs = [F.count("*").alias("point_count")]
     for a in "xyz":
         aggs += [F.min(a).alias(f"min_{a}"), F.max(a).alias(f"max_{a}"), (F.max(a) - F.min(a)).alias(f"size_{a}")]
-    aggs += [F.min("radius").alias("radius_min"), F.median("radius").alias("radius_median"), F.max("radius").alias("radius_max")]
-    return points.groupBy("scan_id").agg(*aggs)
+    aggs += [F.min("radius").alias("radius_min"), F.max("radius").alias("radius_max")]
+    middle = exact_quantiles(points, ["scan_id"], {"radius": [0.5]})
+    return attach(points.groupBy("scan_id").agg(*aggs), middle, ["scan_id"]).withColumn("radius_median", F.col("q_radius")[0]).drop("q_radius")
 
 
 def finite_points(points: DataFrame, cols: list[str]) -> DataFrame:
