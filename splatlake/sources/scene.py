@@ -23,9 +23,23 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         "path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def read_frames(spark: SparkSession, path: str, scan_id: str, max_frames: int | None = None) -> DataFrame:
-    """Registered frames with dense index and key = file stem; a duplicate key raises."""
+def scan_of(rows: DataFrame, scan_id: str | None):
+    """The given name, a partition column of that name, or the folder that holds the file."""
+    if scan_id is not None:
+        return F.lit(scan_id)
+    return F.col("scan_id").cast("string") if "scan_id" in rows.columns else F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]*$", 1)
+
+
+def read_frames(spark: SparkSession, path: str, scan_id: str | None = None, max_frames: int | None = None) -> DataFrame:
+    """Registered frames with dense index and key = file stem; a duplicate key or an empty list raises.
+
+    ``path`` may hold the registries of any number of scans; without ``scan_id`` a scan is named by
+    its partition value ``scan_id=...`` or its folder.
+    """
     j = spark.read.schema(SCENE).option("multiLine", True).json(path)
+    j = j.withColumn("scan_id", scan_of(j, scan_id))
+    empty = F.coalesce(F.size("frames"), F.lit(0)) < 1
+    j = j.withColumn("frames", F.when(empty, F.raise_error(F.concat(F.lit("no frames in scan "), F.col("scan_id"))).cast(j.schema["frames"].dataType)).otherwise(F.col("frames")))
     f = j.select("*", F.posexplode("frames").alias("source_index", "f")).drop("frames")
     if max_frames is not None:
         f = f.where(F.col("source_index") < max_frames)
@@ -33,18 +47,19 @@ def read_frames(spark: SparkSession, path: str, scan_id: str, max_frames: int |
     m = F.flatten("f.transform_matrix")
     fx = camera.intrinsics({k: F.col(f"f.{k}") for k in ("fl_x", "fl_y", "camera_angle_x", "cx", "cy")},
                            {k: F.col(k) for k in ("fl_x", "fl_y", "camera_angle_x", "cx", "cy")}, F.col("w"), F.col("h"))
-    out = f.select(F.lit(scan_id).alias("scan_id"), F.col("source_index").alias("frame_index"), "source_index", text.stem(name).alias("frame_key"), name.alias("image_path"),
+    out = f.select("scan_id", F.col("source_index").alias("frame_index"), "source_index", text.stem(name).alias("frame_key"), name.alias("image_path"),
                    F.col("w").alias("width"), F.col("h").alias("height"), *[c.alias(n) for c, n in zip(fx, ("fx", "fy", "cx", "cy"))], m.alias("c2w"))
     n = F.count("*").over(W.partitionBy("scan_id", "frame_key"))
     checked = F.when(n > 1, F.raise_error(F.concat(F.lit("duplicate frame key "), F.col("frame_key"))).cast("string")).otherwise(F.col("frame_key"))
     return out.withColumn("frame_key", checked).withColumn("w2c", camera.invert_affine("c2w"))
 
 
-def read_frames_tolerant(spark: SparkSession, path: str, scan_id: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(frames whose image is listed, frames whose image is missing)."""
+def read_frames_tolerant(spark: SparkSession, path: str, files: DataFrame, scan_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frames whose image is listed and whose matrix is 4 x 4, frames whose image is missing)."""
     f = read_frames(spark, path, scan_id).withColumn("name", F.regexp_extract("image_path", "([^/]+)$", 1))
     names = files.select("name").distinct()
-    return f.join(names, "name", "left_semi").drop("name"), f.join(names, "name", "left_anti").drop("name")
+    whole = (F.size("c2w") == 16) & F.forall("c2w", lambda x: x.isNotNull())
+    return f.where(whole).join(names, "name", "left_semi").drop("name"), f.join(names, "name", "left_anti").drop("name")
 
 
 def frame_aliases(frames: DataFrame) -> DataFrame:
@@ -70,12 +85,13 @@ def match_frames(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     return j.withColumn("frame_key", F.coalesce("_image_alias", "_stem_alias")).where("frame_key IS NOT NULL").drop("_image_alias", "_stem_alias", "image_alias", "stem_alias")
 
 
-def read_detections(spark: SparkSession, path: str, scan_id: str, aliases: DataFrame) -> DataFrame:
+def read_detections(spark: SparkSession, path: str, scan_id: str | None, aliases: DataFrame) -> DataFrame:
     """Masks listed in per-frame JSON files; unreadable files leave no rows."""
-    j = spark.read.schema(DETECTION_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("_file", F.input_file_name())
+    j = spark.read.schema(DETECTION_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("_file", F.col("_metadata.file_path"))
+    j = j.withColumn("scan_id", scan_of(j, scan_id))
     tagged = F.concat(*[F.coalesce(F.transform(g, lambda d, g=g: F.struct(F.lit(g).alias("group"), d.alias("d"))), F.array()) for g in GROUPS])
     ref = F.coalesce("image_path", "file_path", "frame_path", "_file")
-    r = j.select(F.lit(scan_id).alias("scan_id"), text.normalize_key(ref).alias("image_alias"), text.normalize_key(F.col("_file")).alias("stem_alias"),
+    r = j.select("scan_id", text.normalize_key(ref).alias("image_alias"), text.normalize_key(F.col("_file")).alias("stem_alias"),
                  text.stem(F.col("_file")).alias("_stem"), F.posexplode(tagged).alias("ordinal", "t"))
     label = text.detection_label(*[F.col(f"t.d.{n}") for n in ("label", "class_name", "name", "category", "class")])
     score = text.detection_score(*[F.col(f"t.d.{n}") for n in ("score", "confidence", "probability")])
@@ -86,13 +102,14 @@ def read_detections(spark: SparkSession, path: str, scan_id: str, aliases: DataF
     return match_frames(m, aliases)
 
 
-def check_strict(spark: SparkSession, path: str, schema: str = "tracked_semantic_frame.v2") -> DataFrame:
-    """One row with fingerprint counts; raises unless schema and both fingerprints are unique."""
+def read_detections_strict(spark: SparkSession, path: str, aliases: DataFrame, schema: str = "tracked_semantic_frame.v2", scan_id: str | None = None) -> DataFrame:
+    """Masks of :func:`read_detections`; raises unless a scan has one schema and one of each fingerprint."""
     j = spark.read.schema(DETECTION_FILE).option("multiLine", True).json(path)
-    g = j.agg(F.count("*").alias("files"), F.count(F.when(~F.col("schema").eqNullSafe(schema), 1)).alias("wrong_schema"),
-              F.countDistinct("segmentation_fingerprint").alias("segmentations"), F.countDistinct("layout_fingerprint").alias("layouts"))
-    bad = (F.col("wrong_schema") > 0) | (F.col("segmentations") != 1) | (F.col("layouts") != 1)
-    return g.withColumn("ok", F.when(bad, F.raise_error(F.lit("mixed or unsupported detection files")).cast("boolean")).otherwise(F.lit(True)))
+    g = j.withColumn("scan_id", scan_of(j, scan_id)).groupBy("scan_id").agg(
+        F.count(F.when(~F.col("schema").eqNullSafe(schema), 1)).alias("_wrong"), F.countDistinct("segmentation_fingerprint").alias("_s"), F.countDistinct("layout_fingerprint").alias("_l"))
+    bad = (F.col("_wrong") > 0) | (F.col("_s") != 1) | (F.col("_l") != 1)
+    g = g.select("scan_id", F.when(bad, F.raise_error(F.concat(F.lit("mixed or unsupported detection files in scan "), F.col("scan_id"))).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
+    return read_detections(spark, path, scan_id, aliases).join(g, "scan_id").where("_ok").drop("_ok")
 
 
 def masks_from_filenames(files: DataFrame, frames: DataFrame, label: str) -> DataFrame:
