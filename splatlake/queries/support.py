@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from splatlake import fixtures as fx
-from splatlake.operators import components as co, projection as pj, support as su
+from splatlake.operators import cleanup as cu, components as co, projection as pj, support as su
 from splatlake.queries import labelling as lab, query
 
 KEY = ["scan_id", "point_id"]
@@ -249,3 +249,56 @@ SELECT view, count(*) FILTER (WHERE inside) AS positive_pixels, round(avg(-ln(gr
 def g12(spark, sf):
     a = fx.table(spark, sf, "orders").selectExpr("o_custkey AS view", "(o_orderkey % 100) / 100D AS alpha", "o_orderkey % 3 <> 0 AS inside", "o_orderkey % 3 <> 0 AS allowed")
     return su.silhouette_scores(a, ["view"]).select("view", "positive_pixels", F.round("positive_loss", 5).alias("positive_loss"))
+
+
+@query("j22_calibration_pairs", """
+WITH r AS (SELECT l_suppkey % 5 AS s, l_suppkey % 20 AS f, l_orderkey % 120 AS v, l_partkey % 160 AS u, min(CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity / 2.0e0 END) AS depth FROM lineitem GROUP BY ALL),
+z AS (SELECT o_custkey % 5 AS s, o_custkey % 20 AS f, o_orderkey % 120 AS v, o_orderkey % 160 AS u, min(o_totalprice / 20000.0e0) AS z_ref FROM orders GROUP BY ALL)
+SELECT concat('s', CAST(r.s AS STRING)) AS scan_id, CAST(r.f AS INT) AS frame_index, CAST(r.v AS INT) AS v, CAST(r.u AS INT) AS u, depth, z_ref FROM r JOIN z ON r.s = z.s AND r.f = z.f AND r.v = z.v AND r.u = z.u
+WHERE depth > 0.05e0 AND depth < 20e0""")
+def j22(spark, sf):
+    pixel = lambda scan, f, v, u: [f"concat('s', string({scan} % 5)) AS scan_id", f"int({f} % 20) AS frame_index", f"int({v} % 120) AS v", f"int({u} % 160) AS u"]
+    key = ["scan_id", "frame_index", "v", "u"]
+    r = fx.table(spark, sf, "lineitem").selectExpr(*pixel("l_suppkey", "l_suppkey", "l_orderkey", "l_partkey"), "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity / 2.0D END AS depth")
+    z = fx.table(spark, sf, "orders").selectExpr(*pixel("o_custkey", "o_custkey", "o_orderkey", "o_orderkey"), "o_totalprice / 20000.0D AS z_ref")
+    return cu.calibration_pairs(r.groupBy(*key).agg(F.min("depth").alias("depth")), z.groupBy(*key).agg(F.min("z_ref").alias("z_ref")))
+
+
+@query("c3_supported_components", fx.with_views("fx_object_points", recursive=True, sql="""
+c AS (SELECT scan_id, point_id, support_views >= 4 AS strong, CAST(floor(x / 0.1e0) AS INT) AS i, CAST(floor(y / 0.1e0) AS INT) AS j, CAST(floor(z / 0.1e0) AS INT) AS k FROM fx_object_points),
+v AS (SELECT scan_id, i, j, k, count(*) AS n, count(*) FILTER (strong) AS s, row_number() OVER (ORDER BY scan_id, i, j, k) AS id FROM c GROUP BY scan_id, i, j, k),
+e AS (SELECT a.id AS s, b.id AS t FROM v a JOIN v b ON a.scan_id = b.scan_id AND b.i BETWEEN a.i - 1 AND a.i + 1 AND b.j BETWEEN a.j - 1 AND a.j + 1 AND b.k BETWEEN a.k - 1 AND a.k + 1 AND a.id <> b.id),
+r AS (SELECT id, id AS c FROM v UNION SELECT e.t, r.c FROM r JOIN e ON e.s = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+w AS (SELECT scan_id, c, sum(n) >= 6 OR sum(s) >= 3 AS ok FROM v JOIN m USING (id) GROUP BY scan_id, c)
+SELECT c.scan_id, c.point_id, w.ok AS keep FROM c JOIN v USING (scan_id, i, j, k) JOIN m ON m.id = v.id JOIN w ON w.scan_id = c.scan_id AND w.c = m.c"""))
+def c3(spark, sf):
+    p = _pts(spark, sf).select("scan_id", "point_id", "x", "y", "z", F.lit(0.01).alias("sigma"), (F.col("support_views") >= 4).alias("strong"))
+    spacing = p.select("scan_id").distinct().withColumn("spacing", F.lit(0.05))
+    return cu.supported_components(p, spacing, ["scan_id"], min_points=6, min_strong=3)[0]
+
+
+@query("g8_project_to_support", fx.with_views("fx_object_points", sql=OCC + """,
+bx AS (SELECT scan_id, min(ci) AS a, max(ci) AS b, min(cj) AS c, max(cj) AS d, min(ck) AS e, max(ck) AS f FROM occ GROUP BY scan_id),
+p AS (SELECT scan_id, point_id, x / 0.2e0 + 1.5e0 AS gx, y / 0.2e0 AS gy, z / 0.2e0 - 0.7e0 AS gz FROM fx_object_points),
+q AS (SELECT p.*, round_even(gx, 0) AS ri, round_even(gy, 0) AS rj, round_even(gz, 0) AS rk, least(greatest(round_even(gx, 0), a), b) AS i, least(greatest(round_even(gy, 0), c), d) AS j, least(greatest(round_even(gz, 0), e), f) AS k FROM p JOIN bx USING (scan_id)),
+n AS (SELECT q.scan_id, q.point_id, arg_min([o.ci, o.cj, o.ck], (abs(o.ci - q.i) + abs(o.cj - q.j) + abs(o.ck - q.k)) * 1000000000 + (o.ci + 400) * 1000000 + (o.cj + 400) * 1000 + o.ck + 400) AS s FROM q JOIN occ o USING (scan_id) GROUP BY ALL)
+SELECT q.scan_id, q.point_id, round(CASE WHEN h THEN gx ELSE s[1] + least(greatest(gx - ri, -0.4e0), 0.4e0) END, 6) AS gx, round(CASE WHEN h THEN gy ELSE s[2] + least(greatest(gy - rj, -0.4e0), 0.4e0) END, 6) AS gy,
+  round(CASE WHEN h THEN gz ELSE s[3] + least(greatest(gz - rk, -0.4e0), 0.4e0) END, 6) AS gz, NOT h AS moved
+FROM (SELECT q.*, s, s[1] = ri AND s[2] = rj AND s[3] = rk AS h FROM q JOIN n USING (scan_id, point_id)) q"""))
+def g8(spark, sf):
+    occ = _occ(spark, sf)
+    b = occ.groupBy("scan_id").agg(*[fn(c).alias(f"{n}_{c}") for c in ("ci", "cj", "ck") for n, fn in (("lo", F.min), ("hi", F.max))])
+    for c in ("ci", "cj", "ck"):
+        b = b.withColumn(c, F.explode(F.sequence(F.col(f"lo_{c}"), F.col(f"hi_{c}"))))
+    near = co.nearest_occupied(b.select("scan_id", "ci", "cj", "ck"), occ, ["scan_id"])
+    p = _pts(spark, sf).selectExpr("scan_id", "point_id", "x / 0.2D + 1.5D AS gx", "y / 0.2D AS gy", "z / 0.2D - 0.7D AS gz")
+    return cu.project_to_support(p, near, ["scan_id"]).withColumns({g: F.round(g, 6) for g in ("gx", "gy", "gz")})
+
+
+@query("c6_robust_plane")
+def c6(spark, sf):
+    p = _pts(spark, sf).withColumn("sigma", F.lit(0.02))
+    seeds = p.where("support_views >= 2").select("scan_id", "label", F.col("point_id").alias("seed_id"), "x", "y", "z")
+    spacing = p.select("scan_id", "label").distinct().withColumn("spacing", F.lit(0.04))
+    return cu.robust_plane(p, seeds, spacing, ["scan_id", "label"])[0]

@@ -229,3 +229,37 @@ def test_streams_equal_batch(spark):
         a, b = queries.QUERIES[batch](spark, sf), queries.QUERIES[stream](spark, sf)
         cols = sorted(a.columns)
         assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect())), batch
+
+
+def test_robust_plane(spark):
+    from splatlake.operators import cleanup as cu
+
+    rng = np.random.default_rng(8)
+    flat = np.column_stack([rng.random((80, 2)) * 2, 0.3 + 0.002 * rng.standard_normal(80)])
+    cloud = np.concatenate([flat, rng.random((25, 3)) * 2])
+    seeds = spark.createDataFrame([("s", i, *map(float, r)) for i, r in enumerate(cloud)] + [("t", i, float(i), 0.0, 0.0) for i in range(5)], "scan_id string, seed_id bigint, x double, y double, z double")
+    points = seeds.withColumnRenamed("seed_id", "point_id").withColumn("sigma", F.lit(0.001))
+    spacing = spark.createDataFrame([("s", 0.01), ("t", 0.01)], "scan_id string, spacing double")
+    keep, plane = cu.robust_plane(points, seeds, spacing, ["scan_id"])
+    best, top = None, 0
+    for t in cu.triples(len(cloud)):
+        a, b, c = cloud[t]
+        n = np.cross(b - a, c - a)
+        n /= np.linalg.norm(n)
+        hit = np.abs((cloud - a) @ n) <= 0.025
+        if hit.sum() > top:
+            best, top = hit, hit.sum()
+    mine = cloud[best]
+    n = np.linalg.svd(mine - mine.mean(axis=0))[2][-1]
+    want = np.abs((cloud - mine.mean(axis=0)) @ n) <= 0.025 + 0.003
+    got = {r.point_id: r.keep for r in keep.where("scan_id = 's'").collect()}
+    assert [got[i] for i in range(len(cloud))] == want.tolist()
+    assert plane.collect()[0].sparse_inliers == top and keep.where("scan_id = 't' AND keep").count() == 5
+
+
+def test_pick_calibration(spark):
+    from splatlake.operators import cleanup as cu
+
+    rows = [("s", 0, 0, 1.0, 30, 0.3, "depth_alignment_residual_too_large"), ("s", 0, 1, 1.1, 30, 0.2, "ok"), ("s", 1, 0, 1.0, 30, 0.1, "ok"), ("s", 1, 1, 1.0, 30, 0.1, "ok")]
+    t = spark.createDataFrame(rows, "scan_id string, frame_index int, trial int, scale double, overlap_pixels bigint, median_relative_error double, reason string")
+    assert {(r.frame_index, r.trial) for r in cu.pick_calibration(t, ["scan_id", "frame_index"]).collect()} == {(0, 1), (1, 0)}
