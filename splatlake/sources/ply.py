@@ -1,20 +1,23 @@
 """PLY point files as a Spark data source: ``spark.read.format("ply")`` and ``df.write.format("ply")``.
 
-Binary little-endian vertices have a fixed width, so a file splits into byte ranges that tasks read
-independently.  Writing makes one complete file per task; a commit only renames.
+Paths may name any file system that Arrow opens (local, hdfs, object stores); tasks and driver use
+the same one.  Binary little-endian vertices have a fixed width, so a file splits into byte ranges
+that tasks read independently.  A task writes complete files of bounded size, one value of the
+``by`` column at a time if that option is set; a commit only moves them.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import io
 import uuid
 from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # --- fixed values: PLY scalar names -------------------------------------------------------
 TYPES = {
@@ -25,6 +28,15 @@ SQL = {"i1": "tinyint", "u1": "int", "i2": "smallint", "u2": "int", "i4": "int",
 WRITE = {"tinyint": "char", "smallint": "short", "int": "int", "float": "float", "double": "double"}
 GAUSSIAN_FIELDS = {"f_dc_0", "f_rest_0", "opacity", "scale_0", "rot_0"}
 CHUNK_ROWS = 250_000
+FILE_ROWS = 1_000_000  # a larger scan is written as several files
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    uri = urlparse(path)
+    if uri.scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(uri.path) if uri.scheme else path
+    return fs.FileSystem.from_uri(path)
 
 
 @dataclass
@@ -35,26 +47,33 @@ class Header:
     offset: int
 
 
+    @property
+    def is_gaussian(self) -> bool:
+        return bool(GAUSSIAN_FIELDS & {n for n, _ in self.fields})
+
+
 def read_header(path: str) -> Header:
+    store, where = opened(path)
+    head = b""
+    with store.open_input_file(where) as f:
+        while b"end_header\n" not in head:
+            more = f.read(1 << 16)
+            if not more or not (head + more).startswith(b"ply"):
+                raise ValueError(f"not a PLY file: {path}")
+            head += more
+    offset = head.index(b"end_header\n") + len(b"end_header\n")
     fields, count, fmt, inside = [], 0, None, False
-    with open(path, "rb") as f:
-        if f.readline().strip() != b"ply":
-            raise ValueError(f"not a PLY file: {path}")
-        for raw in iter(f.readline, b""):
-            word = raw.decode("ascii").split()
-            if word[:1] == ["end_header"]:
-                break
-            if word[:1] == ["format"]:
-                fmt = word[1]
-            elif word[:1] == ["element"]:
-                inside = word[1] == "vertex"
-                if inside:
-                    count = int(word[2])
-                elif not fields:
-                    raise ValueError("vertex must be the first element")
-            elif word[:1] == ["property"] and inside:
-                fields.append((word[2], TYPES[word[1]]))
-        offset = f.tell()
+    for word in (line.split() for line in head[:offset].decode("ascii").splitlines()):
+        if word[:1] == ["format"]:
+            fmt = word[1]
+        elif word[:1] == ["element"]:
+            inside = word[1] == "vertex"
+            if inside:
+                count = int(word[2])
+            elif not fields:
+                raise ValueError("vertex must be the first element")
+        elif word[:1] == ["property"] and inside:
+            fields.append((word[2], TYPES[word[1]]))
     if fmt not in ("binary_little_endian", "ascii"):
         raise ValueError(f"unsupported PLY format {fmt}")
     if not {"x", "y", "z"} <= {n for n, _ in fields}:
@@ -85,20 +104,20 @@ class PlyReader(DataSourceReader):
     def read(self, part):
         h = read_header(part.path)
         dtype = np.dtype([(n, "<" + t) for n, t in h.fields])
-        if h.binary:
-            with open(part.path, "rb") as f:
+        store, where = opened(part.path)
+        with store.open_input_file(where) as f:
+            if h.binary:
                 f.seek(h.offset + part.first * dtype.itemsize)
                 rows = np.frombuffer(f.read(part.rows * dtype.itemsize), dtype=dtype)
-        else:
-            with open(part.path, "rb") as f:
+            else:
                 f.seek(h.offset)
-                rows = np.loadtxt(f, dtype=dtype, max_rows=part.rows, ndmin=1)
+                rows = np.loadtxt(io.BytesIO(f.read()), dtype=dtype, max_rows=part.rows, ndmin=1)
         cols = []
         for n in self.names:
             if n == "point_id":
                 cols.append(pa.array(np.arange(part.first, part.first + part.rows, dtype=np.int64)))
             elif n == "file":
-                cols.append(pa.array([os.path.basename(part.path)] * part.rows))
+                cols.append(pa.array([part.path.rsplit("/", 1)[-1]] * part.rows))
             else:
                 kind = dict(h.fields)[n]
                 cols.append(pa.array(rows[n].astype({"u1": "i4", "u2": "i4", "u4": "i8"}.get(kind, kind))))
@@ -107,62 +126,74 @@ class PlyReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    temporary: str | None
-    final: str | None
+    names: list[str]
 
 
-class PlyWriter(DataSourceWriter):
+class PlyWriter(DataSourceArrowWriter):
     def __init__(self, options, schema):
-        self.path = options["path"]
-        self.fields = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+        self.path, self.by, self.order = options["path"], options.get("by"), options.get("order")
+        self.fields = [(f.name, f.dataType.simpleString()) for f in schema.fields if f.name not in (self.by, self.order)]
         for n, t in self.fields:
             if t not in WRITE:
                 raise ValueError(f"PLY cannot hold column {n} of type {t}")
-        os.makedirs(self.path, exist_ok=True)
 
     def write(self, iterator):
-        # rows stream to the file; the vertex count has a fixed width and is filled in at the end
+        """Rows come sorted by the ``by`` column; Arrow batches are cut where its value changes."""
         dtype = np.dtype([(n, "<" + TYPES[WRITE[t]]) for n, t in self.fields])
-        head = "ply\nformat binary_little_endian 1.0\nelement vertex ".encode()
-        body = ("\n" + "".join(f"property {WRITE[t]} {n}\n" for n, t in self.fields) + "end_header\n").encode()
-        name = f"part-{uuid.uuid4().hex}.ply"
-        temporary = os.path.join(self.path, f".{name}.tmp")
-        total, block = 0, []
-        with open(temporary, "wb") as f:
-            f.write(head + b"0" * 12 + body)
-            for row in iterator:
-                block.append(tuple(row))
-                if len(block) == 10_000:
-                    f.write(np.array(block, dtype=dtype).tobytes())
-                    total, block = total + len(block), []
-            f.write(np.array(block, dtype=dtype).tobytes())
-            total += len(block)
-            f.seek(len(head))
-            f.write(f"{total:012d}".encode())
-        if total == 0:
-            os.remove(temporary)
-            return Written(None, None)
-        return Written(temporary, os.path.join(self.path, name))
+        store, folder = opened(self.path)
+        store.create_dir(folder, recursive=True)
+        done, blocks, held, value = [], [], 0, None
+
+        def flush():
+            nonlocal blocks, held
+            if held:
+                name = f"{'part' if self.by is None else value}-{len(done):05d}-{uuid.uuid4().hex}.ply"
+                head = "".join(["ply\nformat binary_little_endian 1.0\n", f"element vertex {held}\n", *[f"property {WRITE[t]} {n}\n" for n, t in self.fields], "end_header\n"])
+                with store.open_output_stream(f"{folder}/.{name}.tmp") as f:
+                    f.write(head.encode())
+                    for block in blocks:
+                        f.write(block.tobytes())
+                done.append(name)
+            blocks, held = [], 0
+
+        for batch in iterator:
+            keys = batch.column(self.by).to_pylist() if self.by else [None] * batch.num_rows
+            edges = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+            rows = np.empty(batch.num_rows, dtype)
+            for n, _ in self.fields:
+                rows[n] = batch.column(n).to_numpy(zero_copy_only=False)
+            for begin, end in zip(edges, edges[1:]):
+                if held and (keys[begin] != value or held >= FILE_ROWS):
+                    flush()
+                if end > begin:
+                    value = keys[begin]
+                    blocks.append(rows[begin:end])
+                    held += end - begin
+        flush()
+        return Written(done)
 
     def commit(self, messages):
-        for m in messages:
-            if m is not None and m.temporary:
-                os.replace(m.temporary, m.final)
+        store, folder = opened(self.path)
+        for name in (n for m in messages if m is not None for n in m.names):
+            store.move(f"{folder}/.{name}.tmp", f"{folder}/{name}")
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and m.temporary and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+        store, folder = opened(self.path)
+        for name in (n for m in messages if m is not None for n in m.names):
+            store.delete_file(f"{folder}/.{name}.tmp")
 
 
 def list_files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        found = sorted(glob.glob(os.path.join(path, "*.ply")))
-    else:
-        found = sorted(glob.glob(path))
-    if not found:
+    """PLY files at a path: one file, or the visible ones of a folder."""
+    store, where = opened(path)
+    info = store.get_file_info(where)
+    if info.type == fs.FileType.File:
+        return [path]
+    found = store.get_file_info(fs.FileSelector(where)) if info.type == fs.FileType.Directory else []
+    names = sorted(i.base_name for i in found if i.base_name.endswith(".ply") and not i.base_name.startswith("."))
+    if not names:
         raise FileNotFoundError(f"no PLY file at {path}")
-    return found
+    return [f"{path.rstrip('/')}/{n}" for n in names]
 
 
 class PlySource(DataSource):
@@ -187,21 +218,24 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PlySource)
 
 
+def write_rows(rows: DataFrame, path: str) -> None:
+    """One file per scan in ``point_id`` order with every column but these two."""
+    register(rows.sparkSession)
+    spread = rows.repartition("scan_id").sortWithinPartitions("scan_id", "point_id")
+    spread.write.format("ply").option("by", "scan_id").option("order", "point_id").mode("append").save(path)
+
+
 def write_points(points: DataFrame, path: str) -> None:
-    """x, y, z and colour vertices."""
-    register(points.sparkSession)
-    p = points.selectExpr("float(x) AS x", "float(y) AS y", "float(z) AS z", "int(r) AS red", "int(g) AS green", "int(b) AS blue")
-    p.write.format("ply").mode("append").save(path)
+    """x, y, z and colour vertices, one file per scan."""
+    write_rows(points.selectExpr("scan_id", "point_id", "float(x) AS x", "float(y) AS y", "float(z) AS z", "int(r) AS red", "int(g) AS green", "int(b) AS blue"), path)
 
 
 def labeled(gaussians: DataFrame, labels: DataFrame) -> DataFrame:
-    """All source properties plus label id, confidence and support views; counts must agree."""
+    """All source properties plus label id, confidence and support views; scans whose counts differ are skipped."""
     n = labels.select("scan_id", "point_id", "semantic_label_id", "semantic_confidence", "semantic_support_views")
-    out = gaussians.join(n, ["scan_id", "point_id"], "left")
-    from pyspark.sql import functions as F
-
-    missing = F.col("semantic_label_id").isNull()
-    return out.withColumn("semantic_label_id", F.when(missing, F.raise_error(F.lit("label counts differ")).cast("int")).otherwise(F.col("semantic_label_id")))
+    out = gaussians.join(n.withColumn("_has", F.lit(True)), ["scan_id", "point_id"], "left")
+    short = out.where("_has IS NULL").select("scan_id").distinct()
+    return out.join(short, "scan_id", "left_anti").drop("_has")
 
 
 def subset(gaussians: DataFrame, keys: DataFrame) -> DataFrame:

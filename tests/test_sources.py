@@ -43,3 +43,20 @@ def test_manifest_and_listing(spark, tmp_path):
     scene.write_manifest(spark.range(3).select("id", F.lit("a").alias("k")), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 3
     assert scene.listing(spark, str(tmp_path / "m"), "part-*").count() >= 1
+
+
+def test_ply_is_written_per_scan_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([("b", i, float(i), 0.0, 1.0, 1, 2, 3) for i in range(50)] + [("a", 7, 5.0, 5.0, 5.0, 0, 0, 0)],
+                                 "scan_id string, point_id bigint, x double, y double, z double, r int, g int, b int").orderBy(F.col("x").desc())
+    ply.write_points(rows, f"file:{tmp_path}/out")
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert [n[0] for n in names] == ["a", "b"] and not any(n.startswith(".") for n in names)
+    back = spark.read.format("ply").load(f"file://{tmp_path}/out").where("file LIKE 'b%'").orderBy("point_id").collect()
+    assert [r.x for r in back] == [float(i) for i in range(50)] and back[0].red == 1
+    assert not ply.read_header(str(tmp_path / "out" / names[0])).is_gaussian
+
+
+def test_labeled_skips_incomplete_scans(spark):
+    g = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.5), ("b", 1, 0.5)], "scan_id string, point_id bigint, x double")
+    n = spark.createDataFrame([("a", 1, 1, 0.5, 2), ("b", 1, 2, 0.5, 2)], "scan_id string, point_id bigint, semantic_label_id int, semantic_confidence double, semantic_support_views int")
+    assert [(r.scan_id, r.semantic_label_id) for r in ply.labeled(g, n).collect()] == [("b", 2)]
