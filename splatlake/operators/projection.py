@@ -161,29 +161,28 @@ def visibility(matched: DataFrame, mode: str = "hybrid") -> DataFrame:
     return matched.withColumn("visibility_weight", weight).where(F.col("visibility_weight").isNotNull())
 
 
-def footprint_coverage(points: DataFrame, runs: DataFrame, offsets=None, count_outside: bool = True) -> DataFrame:
+def footprint_coverage(points: DataFrame, runs: DataFrame, offsets=None, count_outside: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Share of each point's screen footprint inside each mask.
 
     ``points``: scan_id, frame_index, point_id, u, v, radius_px, width, height; ``runs`` are disjoint
     per mask.  Samples outside the image miss (``count_outside``) or leave the denominator.
-    Returns (scan_id, frame_index, point_id, mask_id, coverage) with coverage > 0.
+    Returns (scan_id, frame_index, point_id, mask_id, coverage) with coverage > 0, and the columns of
+    a point that ``carry`` names.
     """
     offsets = offsets or cfg.FOOTPRINT_OFFSETS
     total = sum(o[2] for o in offsets)
     listed = ", ".join(f"named_struct('dx', {a}D, 'dy', {b}D, 'w', {w / total!r}D)" for a, b, w in offsets)
     samples = F.expr(f"array({listed})")
-    base = points.select("scan_id", "frame_index", "point_id", "u", "v", "radius_px", "width", "height")
+    keys = ["scan_id", "frame_index", "point_id", *carry]
+    base = points.select(*keys, "u", "v", "radius_px", "width", "height")
     s = base.select("*", F.explode(samples).alias("s")).select(
-        "scan_id", "frame_index", "point_id", "width", "height", F.col("s.w").alias("w"),
+        *keys, "width", "height", F.col("s.w").alias("w"),
         F.rint(F.col("u") + F.col("s.dx") * F.col("radius_px")).cast("int").alias("su"),
         F.rint(F.col("v") + F.col("s.dy") * F.col("radius_px")).cast("int").alias("y"),
     )
     inside = (F.col("su") >= 0) & (F.col("su") < F.col("width")) & (F.col("y") >= 0) & (F.col("y") < F.col("height"))
-    keys = ["scan_id", "frame_index", "point_id"]
     s = s.where(inside)
-    # equal sample pixels of one point add their weights before the join
-    packed = s.groupBy(*keys, "y", "su").agg(F.sum("w").alias("w")) if count_outside else s.select(*keys, "y", "su", "w")
-    packed = packed.withColumn("tile", F.floor(F.col("su") / TILE_PX).cast("int"))
+    packed = s.select(*keys, "y", "su", "w").withColumn("tile", F.floor(F.col("su") / TILE_PX).cast("int"))
     # image rows are bounded by the frame; AQE splits a row that a large share of the samples hits
     hits = packed.join(tiled_runs(runs), ["scan_id", "frame_index", "y", "tile"]).where(
         (F.col("su") >= F.col("x0")) & (F.col("su") < F.col("x1"))

@@ -68,9 +68,7 @@ def label_points(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: D
         visible = pj.visibility(seen, "self_zbuffer")
     radius = camera.footprint_radius(F.col("radius"), F.col("depth"), F.col("fx"), F.col("fy"))
     visible = keep(visible.withColumn("radius_px", radius))
-    cover = pj.footprint_coverage(visible, usable).join(
-        visible.select("scan_id", "frame_index", "point_id", "visibility_weight"), ["scan_id", "frame_index", "point_id"]
-    )
+    cover = pj.footprint_coverage(visible, usable, carry=("visibility_weight",))
     heights = vt.point_heights(points, vt.world_up(frames))
     limits = vt.height_limits(heights)
     votes = vt.first_claim(cover, prepared, heights, limits)
