@@ -121,6 +121,12 @@ def to_grid(x, y, z, origin: Column, axes: Column, voxel: Column):
     )
 
 
+def in_grid(cell: tuple, counts: Column) -> Column:
+    """Whether a grid cell lies within ``counts`` cells per axis."""
+    inside = [(c >= 0) & (c < counts[i]) for i, c in enumerate(cell)]
+    return inside[0] & inside[1] & inside[2]
+
+
 def color_to_sh(c: Column) -> Column:
     """8-bit colour to the constant spherical-harmonic coefficient."""
     return (c / 255.0 - 0.5) / 0.28209479177387814

@@ -45,11 +45,11 @@ def authoritative(label: Column, accepted: Column, state: Column, role: Column,
     return accepted.eqNullSafe(True) & state.eqNullSafe("visible") & right
 
 
-def discover_targets(accepted: DataFrame, allow: list[str], excluded: dict[str, str], explicit: list[str]) -> DataFrame:
-    """Decision and reason for every accepted or requested label of a scan."""
+def discover_targets(accepted: DataFrame, allow: list[str], excluded: dict[str, str], explicit: list[str], scans: DataFrame | None = None) -> DataFrame:
+    """Decision and reason for every accepted or requested label of a scan; ``scans`` adds those without any accepted label."""
     asked = F.array(*[F.lit(e) for e in explicit]).cast("array<string>")
     every = accepted.select("scan_id", "label").distinct().withColumn("accepted_label", F.lit(True))
-    extra = every.select("scan_id").distinct().select("scan_id", F.explode(asked).alias("label"))
+    extra = (every if scans is None else scans).select("scan_id").distinct().select("scan_id", F.explode(asked).alias("label"))
     j = every.join(extra.withColumn("_x", F.lit(True)), ["scan_id", "label"], "full_outer")
     has = F.coalesce("accepted_label", F.lit(False))
     lab = F.col("label")
@@ -68,6 +68,12 @@ def instance_audit(records: DataFrame, min_frames: int = MIN_INSTANCE_FRAMES) ->
     return j.select("scan_id", "label", "track_id", "frames", "records", (F.col("track_id") == F.col("_b.track_id")).alias("best"), status.alias("status"))
 
 
+def key_collisions(keyed: DataFrame) -> DataFrame:
+    """Object keys that more than one (label, instance) of a scan produces: (scan_id, object_key, objects)."""
+    g = keyed.groupBy("scan_id", "object_key").agg(F.countDistinct("label", "instance_id").alias("objects"))
+    return g.where("objects > 1")
+
+
 def eligible_objects(audit: DataFrame, limit: int | None = None) -> DataFrame:
     """Objects to process in (label, frames desc, key) order; the limit applies per scan."""
     ok = audit.where(F.col("status") == "eligible")
@@ -238,6 +244,18 @@ def select_cleanup(candidates: DataFrame) -> DataFrame:
     return g.select("scan_id", "object_key", F.coalesce("_c.name", F.lit("raw")).alias("selected"))
 
 
+def cap_sigma(gaussians: DataFrame, by: list[str], q: float = 0.97) -> DataFrame:
+    """Sigma cut off at its quantile within the export."""
+    limit = exact_quantiles(gaussians, by, {"sigma": [q]})
+    return attach(gaussians, limit, by).withColumn("sigma", F.least("sigma", F.col("q_sigma")[0])).drop("q_sigma")
+
+
+def isolation_delta(raw: DataFrame, cleaned: DataFrame, keys: list[str]) -> DataFrame:
+    """Change of leakage and recall from the raw to the cleaned export, per view."""
+    b = cleaned.select(*keys, F.col("leakage").alias("_l"), F.col("recall").alias("_r"))
+    return raw.join(b, keys).select(*keys, (F.col("_l") - F.col("leakage")).alias("delta_leakage"), (F.col("_r") - F.col("recall")).alias("delta_recall"))
+
+
 def isolation(rendered: DataFrame, target: DataFrame, views: DataFrame, keys: list[str]) -> DataFrame:
     """IoU, precision, recall and leakage of rendered against target masks per view."""
     r, t = ma.union_runs(rendered, keys), ma.union_runs(target, keys)

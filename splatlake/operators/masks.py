@@ -333,6 +333,13 @@ def overlap_stats(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
     )
 
 
+def suppressed_by_label(stats: DataFrame, masks: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels lost and share kept per scan and label, from :func:`overlap_stats`."""
+    j = stats.join(masks.select(*keys, "label").distinct(), keys)
+    g = j.groupBy("scan_id", "label").agg(F.count("*").alias("masks"), F.sum("suppressed_pixels").alias("suppressed_pixels"), F.sum("before_pixels").alias("_b"))
+    return g.withColumn("remaining_ratio", 1 - F.col("suppressed_pixels") / F.greatest(F.col("_b"), F.lit(1))).drop("_b")
+
+
 def agreement(pilot: DataFrame, pilot_runs: DataFrame, primary_runs: DataFrame, min_score: float = cfg.AGREEMENT_SCORE) -> DataFrame:
     """Best IoU of each pilot mask with primary masks of its label and frame; null when none exists."""
     on = ["scan_id", "frame_index", "label"]

@@ -114,6 +114,13 @@ def zbuffer_visible(projected: DataFrame, surface: DataFrame, abs_tol=cfg.ZBUFFE
     return joined.withColumn("self_visible", F.coalesce(near, F.lit(False)))
 
 
+def cleanup_visible(projected: DataFrame, surface: DataFrame, sigma: str = "sigma", abs_tol: float = 0.08, sigmas: float = 2.0) -> DataFrame:
+    """The one-sided form of clean-up: adds ``z_ref`` and ``cleanup_visible``, depth not behind the surface by more than the tolerance."""
+    joined = projected.join(surface, ["scan_id", "frame_index", "v", "u"], "left")
+    near = F.col("depth") <= F.col("z_ref") + abs_tol + sigmas * F.col(sigma)
+    return joined.withColumn("cleanup_visible", F.coalesce(near, F.lit(False)))
+
+
 def depth_match(projected: DataFrame, depth: DataFrame, size: tuple[int, int], patch: int = 1,
                 near=cfg.NEAR_M, far=cfg.FAR_M, abs_tol=cfg.DEPTH_ABS, rel_tol=cfg.DEPTH_REL) -> DataFrame:
     """Adds ``depth_ref``, ``depth_delta`` and ``rendered_visible`` from depth rasters of ``size``.

@@ -39,11 +39,12 @@ def p7(spark, sf):
 
 
 @query("p6_discover_targets", fx.with_views("fx_masks", sql="""
-l AS (SELECT DISTINCT scan_id, label, TRUE AS a FROM fx_masks), x AS (SELECT scan_id, label, bool_or(a) AS a FROM (SELECT * FROM l UNION ALL SELECT DISTINCT scan_id, v, FALSE FROM l, (VALUES ('bed'), ('sofa')) q(v)) z GROUP BY ALL)
+l AS (SELECT DISTINCT scan_id, label, TRUE AS a FROM fx_masks WHERE scan_id <> 'scan_1'), x AS (SELECT scan_id, label, bool_or(a) AS a FROM (SELECT * FROM l UNION ALL SELECT DISTINCT scan_id, v, FALSE FROM fx_masks, (VALUES ('bed'), ('sofa')) q(v)) z GROUP BY ALL)
 SELECT scan_id, label, a AS accepted_label, CASE WHEN label IN ('wall', 'floor') THEN 'excluded_geometry_policy' WHEN label NOT IN ('bed', 'desk', 'sofa') THEN 'excluded_not_allowlisted'
  WHEN label NOT IN ('bed', 'sofa') THEN 'excluded_by_explicit_filter' WHEN NOT a THEN 'unavailable' ELSE 'selected_volumetric_class' END AS decision FROM x"""))
 def p6(spark, sf):
-    return au.discover_targets(fx.view(spark, sf, "fx_masks"), ["bed", "desk", "sofa"], {"wall": "surface", "floor": "surface"}, ["bed", "sofa"])
+    m = fx.view(spark, sf, "fx_masks")
+    return au.discover_targets(m.where("scan_id <> 'scan_1'"), ["bed", "desk", "sofa"], {"wall": "surface", "floor": "surface"}, ["bed", "sofa"], m)
 
 
 @query("a7_summaries", fx.with_views("fx_detections", sql="""
@@ -215,6 +216,38 @@ def a36(spark, sf):
     return out.select("scan_id", "frame_index", *[F.round(c, 6).alias(c) for c in ("iou", "precision", "recall", "leakage")], "empty_view_false_positive")
 
 
+@query("a36_isolation_delta", fx.with_views("fx_frames", "fx_masks", "fx_runs", sql="""
+px AS (SELECT DISTINCT scan_id, frame_index, label, y, unnest(range(x0, x1)) AS x FROM fx_runs WHERE label IN ('bed', 'desk', 'pillow')),
+r AS (SELECT DISTINCT scan_id, frame_index, y, x FROM px WHERE label <> 'desk'), c AS (SELECT scan_id, frame_index, y, x FROM px WHERE label = 'bed'), t AS (SELECT scan_id, frame_index, y, x FROM px WHERE label = 'desk'),
+n AS (SELECT scan_id, frame_index, (SELECT count(*) FROM r WHERE r.scan_id = f.scan_id AND r.frame_index = f.frame_index) AS nr, (SELECT count(*) FROM c WHERE c.scan_id = f.scan_id AND c.frame_index = f.frame_index) AS nc,
+  (SELECT count(*) FROM t WHERE t.scan_id = f.scan_id AND t.frame_index = f.frame_index) AS nt, (SELECT count(*) FROM r JOIN t USING (scan_id, frame_index, y, x) WHERE scan_id = f.scan_id AND frame_index = f.frame_index) AS ir,
+  (SELECT count(*) FROM c JOIN t USING (scan_id, frame_index, y, x) WHERE scan_id = f.scan_id AND frame_index = f.frame_index) AS ic FROM fx_frames f)
+SELECT scan_id, frame_index, round((nc - ic) / nullif(nc, 0) - (nr - ir) / nullif(nr, 0), 6) AS delta_leakage, round(ic / nullif(nt, 0) - ir / nullif(nt, 0), 6) AS delta_recall FROM n"""))
+def a36_delta(spark, sf):
+    r, keys = fx.view(spark, sf, "fx_runs"), ["scan_id", "frame_index"]
+    frames, target = fx.view(spark, sf, "fx_frames"), r.where("label = 'desk'")
+    raw, clean = (au.isolation(r.where(c), target, frames, keys) for c in ("label IN ('bed', 'pillow')", "label = 'bed'"))
+    return au.isolation_delta(raw, clean, keys).select(*keys, *[F.round(c, 6).alias(c) for c in ("delta_leakage", "delta_recall")])
+
+
+@query("a35_cap_sigma", fx.with_views("fx_object_points", sql="""
+g AS (SELECT scan_id, label, point_id, support_views * 0.01e0 + point_id % 97 / 1000.0e0 AS s FROM fx_object_points), q AS (SELECT scan_id, label, quantile_cont(s, 0.97) AS q FROM g GROUP BY ALL)
+SELECT scan_id, point_id, round(least(s, q), 8) AS sigma FROM g JOIN q USING (scan_id, label)"""))
+def a35_cap(spark, sf):
+    g = fx.view(spark, sf, "fx_object_points").selectExpr("scan_id", "label", "point_id", "support_views * 0.01D + point_id % 97 / 1000.0D AS sigma")
+    return au.cap_sigma(g, ["scan_id", "label"]).select("scan_id", "point_id", F.round("sigma", 8).alias("sigma"))
+
+
+@query("f8_key_collisions", """
+WITH k AS (SELECT concat('s', CAST(p_size % 3 AS STRING)) AS scan_id, CASE WHEN p_partkey % 2 = 0 THEN 'bed' ELSE 'bed_lamp' END AS label, concat('bed_lamp_', CAST(p_size AS STRING)) AS instance_id FROM part)
+SELECT scan_id, instance_id AS object_key, count(DISTINCT label) AS objects FROM k GROUP BY ALL HAVING count(DISTINCT label) > 1""")
+def f8_collisions(spark, sf):
+    from splatlake.functions import text
+
+    k = fx.table(spark, sf, "part").selectExpr("concat('s', string(p_size % 3)) AS scan_id", "CASE WHEN p_partkey % 2 = 0 THEN 'bed' ELSE 'bed_lamp' END AS label", "concat('bed lamp ', p_size) AS instance_id")
+    return au.key_collisions(k.withColumn("object_key", text.object_key(F.col("label"), F.col("instance_id"))))
+
+
 @query("a37_macro_average", """
 SELECT l_returnflag, round(avg(m), 5) AS macro_mean, count(*) AS items FROM (SELECT l_returnflag, l_suppkey, avg(l_discount) AS m FROM lineitem GROUP BY ALL) q GROUP BY l_returnflag""")
 def a37(spark, sf):

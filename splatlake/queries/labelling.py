@@ -141,6 +141,14 @@ def j4(spark, sf):
     return out.select("scan_id", "frame_index", "point_id", "u", "v", F.round("z_ref", 5).alias("z_ref"))
 
 
+@query("j4_cleanup_visible", fx.with_views(*V_PF, sql=PROJ + ZB + """
+SELECT scan_id, frame_index, point_id, u, v FROM proj p JOIN zb5 r USING (scan_id, frame_index, v, u) WHERE z <= z_ref + 0.08e0 + 2.0e0 * radius"""))
+def j4_cleanup(spark, sf):
+    p = _projected(spark, sf)
+    out = pj.cleanup_visible(p, pj.zbuffer(p, 2), "radius").where("cleanup_visible")
+    return out.select("scan_id", "frame_index", "point_id", "u", "v")
+
+
 # depth rasters at half size, made from the z-buffer with a deterministic error and holes
 DEPTH = """,
 dep AS (SELECT scan_id, frame_index, v, u, m * (1 + (frame_index % 3) * 0.05e0) AS z FROM (

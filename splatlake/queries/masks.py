@@ -152,6 +152,17 @@ def a39(spark, sf):
     return out.withColumn("remaining_ratio", F.round("remaining_ratio", 6))
 
 
+@query("a39_suppressed_by_label", fx.with_views("fx_runs", sql=PX + """,
+b AS (SELECT scan_id, label, count(*) AS n, count(DISTINCT mask_id) AS m FROM px WHERE label <> 'bed' GROUP BY ALL),
+k AS (SELECT scan_id, label, count(*) AS n FROM (SELECT p.* FROM px p ANTI JOIN (SELECT * FROM px WHERE label = 'bed') q USING (scan_id, frame_index, y, x) WHERE p.label <> 'bed') z GROUP BY ALL)
+SELECT b.scan_id, b.label, b.m AS masks, b.n - coalesce(k.n, 0) AS suppressed_pixels, round(1 - (b.n - coalesce(k.n, 0)) / b.n, 6) AS remaining_ratio FROM b LEFT JOIN k USING (scan_id, label)"""))
+def a39_labels(spark, sf):
+    r = _runs(spark, sf)
+    rest = r.where("label <> 'bed'")
+    stats = ma.overlap_stats(rest, ma.subtract_runs(rest, r.where("label = 'bed'"), FRAME, MASK), MASK)
+    return ma.suppressed_by_label(stats, rest, MASK).withColumn("remaining_ratio", F.round("remaining_ratio", 6))
+
+
 def _scores(spark, sf):
     """Class probabilities on a 40 x 30 image, one per order row and label."""
     o = fx.table(spark, sf, "orders").selectExpr(

@@ -328,6 +328,15 @@ def f30(spark, sf):
     )
 
 
+@query("f32_in_grid", fx.with_views("fx_points", sql="""
+SELECT scan_id, point_id, round_even((x + 3.1e0) / 0.25e0, 0) BETWEEN 0 AND 19 AND round_even((y - 0.1e0) / 0.25e0, 0) BETWEEN 0 AND 7 AND round_even((z + 2.1e0) / 0.25e0, 0) BETWEEN 0 AND 11 AS inside FROM fx_points"""))
+def f32_in_grid(spark, sf):
+    origin = F.array(F.lit(-3.1), F.lit(0.1), F.lit(-2.1))
+    axes = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)])
+    cell = camera.to_grid(F.col("x"), F.col("y"), F.col("z"), origin, axes, F.lit(0.25))
+    return fx.view(spark, sf, "fx_points").select("scan_id", "point_id", camera.in_grid(cell, F.array(F.lit(20), F.lit(8), F.lit(12))).alias("inside"))
+
+
 @query("f32_to_grid", fx.with_views("fx_points", sql="""
 SELECT scan_id, point_id, CAST(round_even(((x + 3.1e0) * 0.8e0 + (z + 2.1e0) * 0.6e0) / 0.25e0, 0) AS INT) AS i,
   CAST(round_even((y - 0.1e0) / 0.25e0, 0) AS INT) AS j,

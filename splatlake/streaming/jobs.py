@@ -59,15 +59,14 @@ def associate(detections: DataFrame) -> DataFrame:
     def step(key, batches, state: GroupState):
         t = OpenTracks()
         if state.exists:
-            (packed,) = state.get
-            t.tracks = [[int(p[0]), int(p[1]), tuple(p[2:6])] for p in packed]
+            t.tracks = [[int(i), int(f), tuple(b)] for i, f, b in zip(*state.get)]
         rows = pd.concat(list(batches)).sort_values(["frame_index", "confidence", "detection_id"], ascending=[True, False, True])
         ids = [t.add(r.frame_index, (r.x1, r.y1, r.x2, r.y2), r.detection_id, r.width, r.height) for r in rows.itertuples(index=False)]
-        state.update(([[float(i), float(f), *map(float, b)] for i, f, b in t.tracks],))
+        state.update(([int(i) for i, _, _ in t.tracks], [int(f) for _, f, _ in t.tracks], [[float(x) for x in b] for _, _, b in t.tracks]))
         yield rows.assign(temp_track=ids)[["scan_id", "label", "detection_id", "temp_track"]]
 
     return detections.groupBy("scan_id", "label").applyInPandasWithState(
-        step, "scan_id string, label string, detection_id bigint, temp_track bigint", "open array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+        step, "scan_id string, label string, detection_id bigint, temp_track bigint", "ids array<bigint>, frames array<bigint>, boxes array<array<double>>", "append", GroupStateTimeout.NoTimeout)
 
 
 def detect(batch: DataFrame) -> DataFrame:
