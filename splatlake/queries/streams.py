@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from splatlake import fixtures as fx
-from splatlake.queries import query
+from splatlake.queries import ORACLES, query
 from splatlake.queries.selection import _video
 from splatlake.session import checkpoint_dir
 from splatlake.sources import ply, scene
@@ -120,7 +120,7 @@ def s13(spark, sf):
     return scene.read_report(spark, folder, {"size": "bigint"})
 
 
-@query("t1_continuity_stream")
+@query("t1_continuity_stream", ORACLES["t1_continuity_frames"])
 def t1_stream(spark, sf):
     v = _video(spark, sf).select("scan_id", "frame_id", "thumb")
     s = jobs.select_frames(_stream(v, "t1", "frame_id", (100, 200)))

@@ -61,7 +61,7 @@ def a29(spark, sf):
 # rendered depth and sparse depth of the same pixel, from line items
 PAIRS = """
 pr AS (SELECT 's' AS scan_id, CAST(l_suppkey AS INT) AS frame_index, 1.0e0 + l_quantity / 10e0 AS depth,
- (1.0e0 + l_quantity / 10e0) * (1.2e0 + (l_suppkey % 5) / 10e0 + l_discount * CASE WHEN l_suppkey % 7 = 0 THEN 20 ELSE 1 END) AS z_ref FROM lineitem WHERE l_tax < 0.08e0),
+ (1.0e0 + l_quantity / 10e0) * (1.2e0 + (l_suppkey % 5) / 10e0 + l_discount * CASE WHEN l_suppkey % 7 = 0 THEN 20 ELSE 1 END) AS z_ref FROM lineitem),
 lg AS (SELECT *, ln(z_ref / depth) AS l FROM pr), md AS (SELECT scan_id, frame_index, count(*) AS n, median(l) AS m FROM lg GROUP BY ALL),
 mm AS (SELECT lg.scan_id, lg.frame_index, median(abs(l - m)) AS mad FROM lg JOIN md USING (scan_id, frame_index) GROUP BY ALL),
 sc AS (SELECT lg.scan_id, lg.frame_index, exp(CASE WHEN max(mad) > 1e-8 AND count(*) FILTER (WHERE abs(l - m) <= 5.1891e0 * mad) >= 24 THEN median(l) FILTER (WHERE abs(l - m) <= 5.1891e0 * mad) ELSE max(m) END) AS scale
@@ -70,7 +70,7 @@ er AS (SELECT pr.scan_id, pr.frame_index, median(abs(z_ref - depth * scale) / z_
 
 
 def _pairs(spark, sf):
-    return fx.table(spark, sf, "lineitem").where("l_tax < 0.08D").selectExpr(
+    return fx.table(spark, sf, "lineitem").selectExpr(
         "'s' AS scan_id", "int(l_suppkey) AS frame_index", "1D + l_quantity / 10D AS depth",
         "(1D + l_quantity / 10D) * (1.2D + (l_suppkey % 5) / 10D + l_discount * CASE WHEN l_suppkey % 7 = 0 THEN 20 ELSE 1 END) AS z_ref")
 
@@ -146,12 +146,20 @@ def a24(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("contradiction_ratio", "mean_coverage")})
 
 
-@query("c4_a40_seed_components")
+@query("c4_a40_seed_components", fx.with_views("fx_object_points", recursive=True, sql="""
+c AS (SELECT scan_id, label, point_id, support_views AS h, x, y, z, CAST(floor(x / 0.2e0) AS INT) AS i, CAST(floor(y / 0.2e0) AS INT) AS j, CAST(floor(z / 0.2e0) AS INT) AS k FROM fx_object_points),
+v AS (SELECT *, row_number() OVER (ORDER BY scan_id, label, i, j, k) AS id FROM (SELECT DISTINCT scan_id, label, i, j, k FROM c) q),
+e AS (SELECT a.id AS s, b.id AS t FROM v a JOIN v b ON a.scan_id = b.scan_id AND a.label = b.label AND b.i BETWEEN a.i - 1 AND a.i + 1 AND b.j BETWEEN a.j - 1 AND a.j + 1 AND b.k BETWEEN a.k - 1 AND a.k + 1 AND a.id <> b.id),
+r AS (SELECT id, id AS c FROM v UNION SELECT e.t, r.c FROM r JOIN e ON e.s = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+g AS (SELECT c.scan_id, c.label, m.c AS comp, count(*) AS n, count(DISTINCT c.point_id % 6) AS f, count(*) * greatest(avg(h), 1e-6) AS s, max(x) - min(x) AS sx FROM c JOIN v USING (scan_id, label, i, j, k) JOIN m ON m.id = v.id GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER (PARTITION BY scan_id, label) AS al, max(s) OVER (PARTITION BY scan_id, label) AS top, row_number() OVER (PARTITION BY scan_id, label ORDER BY s DESC, comp) AS rk FROM g)
+SELECT t.scan_id, t.label, v.i AS ci, v.j AS cj, v.k AS ck, t.n AS point_count, t.f AS support_frames, round(t.s, 4) AS score, round(t.sx, 6) AS span_x, rk = 1 OR (n >= 24 AND n / al >= 0.01e0 AND f >= 2 AND s >= 0.08e0 * top) AS kept FROM t JOIN v ON v.id = t.comp"""))
 def c4(spark, sf):
-    p = _pts(spark, sf).where("label = 'pillow'").select("scan_id", "point_id", "x", "y", "z", F.col("support_views").alias("visible_hits"))
-    hits = p.select("scan_id", "point_id", (F.col("point_id") % 6).cast("int").alias("frame_index"))
-    out = su.seed_components(p, hits, ["scan_id"], 0.2)
-    return out.select("scan_id", "component", "point_count", "support_frames", F.round("score", 4).alias("score"), "kept")
+    p = _pts(spark, sf).select("scan_id", "label", "point_id", "x", "y", "z", F.col("support_views").alias("visible_hits"))
+    hits = p.select("scan_id", "label", "point_id", (F.col("point_id") % 6).cast("int").alias("frame_index"))
+    out = su.seed_components(p, hits, ["scan_id", "label"], 0.2)
+    return out.select("scan_id", "label", "component.*", "point_count", "support_frames", F.round("score", 4).alias("score"), F.round("span_x", 6).alias("span_x"), "kept")
 
 
 @query("g1_principal_axes")
