@@ -13,7 +13,6 @@ from splatlake.session import checkpoint_dir, cut  # noqa: F401  (cut is used by
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE32 = LETTERS + "234567"
-MASK64 = (1 << 64) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +24,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keeps Arrow batches small: they are bounded by rows alone, and rows here hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept out of any learning: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -6,10 +6,11 @@ less than with independent hashes.  A set is done as soon as every place holds a
 next rank; sets much larger than the signature are done after one rank, so a long text costs about
 one number per word.  All documents of a batch advance one rank at a time in numpy.
 
-Bands give buckets.  In the first round every member of a bucket meets its smallest member; then,
-where a bucket still holds several groups, three more members; then all members of different groups
-whose signatures do not rule the pair out.  Pairs are confirmed on the full shingle sets, groups by
-union-find.  A bucket of copies that agree is never expanded into all its pairs.
+Bands give buckets.  First every member of a bucket meets its smallest member; a bucket of copies
+that agree is done with that.  Buckets that still hold several groups are cut into blocks of bounded
+size: a task that holds two blocks counts the shared shingles of all their pairs with one matrix
+product and passes on one line per document, the smallest id that its links reach.  Pairs are
+never emitted, every link is confirmed on the full shingle sets, and groups come from union-find.
 """
 
 from __future__ import annotations
@@ -21,13 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from splatlake.llm import query
-from splatlake.llm.common import byte_classes, cut, hashed_runs, mix, slices, table
+from splatlake.llm.common import bound_batches, byte_classes, cut, hashed_runs, mix, slices, table
 from splatlake.operators.components import connected_components
 
 PLACES, BANDS, BAND_ROWS = 125, 25, 5
-SLICE_CHARS = 1_000_000
-# A pair at similarity 0.8 agrees in 100 of 125 places with deviation 4.5 at most; 72 is six deviations lower.
-LEAST_AGREEMENT = 72
+SLICE_CHARS = 300_000
+BLOCK = 500
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -104,13 +104,11 @@ def signature_pass(width: int):
             bands = np.zeros((n, BANDS), np.uint64)
             for r in range(BAND_ROWS):
                 bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::BAND_ROWS])
-            short = mix(sig).astype(np.uint8).view(np.int8)  # one byte a place: chance adds agreement, never takes it
             none = count == 0
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "n": count.astype(np.int64),
                 "key": [None if z else a.tobytes() for z, a in zip(none, np.column_stack([order, words.astype(np.uint64)]))],
-                "bands": [None if z else b for z, b in zip(none, bands.view(np.int64))],
-                "sig": [None if z else s for z, s in zip(none, short)]})
+                "bands": [None if z else b for z, b in zip(none, bands.view(np.int64))]})
 
     return run
 
@@ -138,6 +136,61 @@ def confirm(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFra
         yield pdf.loc[good, ["src", "dst"]]
 
 
+def confirm_blocks(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """(src, dst): per document the smallest id its confirmed links inside its blocks reach."""
+    held, at = [], None
+    for pdf in frames:
+        keys = list(zip(pdf["band"], pdf["code"], pdf["a"], pdf["b"]))
+        starts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
+        for begin, end in zip(starts, [*starts[1:], len(keys)]):
+            if keys[begin] != at and held:  # the last block pair may go on in the next batch
+                yield linked_in_block(pd.concat(held), percent)
+                held = []
+            at = keys[begin]
+            held.append(pdf.iloc[begin:end])
+    if held:
+        yield linked_in_block(pd.concat(held), percent)
+
+
+def linked_in_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    ids, group, side = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["side"].to_numpy()
+    bands, band = np.stack(rows["bands"].to_numpy()), int(rows["band"].iloc[0])
+    sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+    size = np.array([len(x) for x in sets])
+    ask = np.triu(group[:, None] != group[None, :], 1)
+    if rows["a"].iloc[0] != rows["b"].iloc[0]:
+        ask &= side[:, None] != side[None, :]
+    ask &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+    i, j = np.nonzero(ask)
+    for k in range(band):  # else an earlier band has checked the pair
+        fresh = bands[i, k] != bands[j, k]
+        i, j = i[fresh], j[fresh]
+    if not len(i):
+        return pd.DataFrame({"src": ids[:0], "dst": ids[:0]})
+    used = np.unique(np.concatenate((i, j)))
+    item, column, count = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(used)), size[used])
+    common = count[column] > 1
+    compact = np.cumsum(count > 1) - 1
+    shared = np.zeros((len(used), len(used)), np.float32)
+    width = int((count > 1).sum())
+    for first in range(0, width, 4096):  # a bounded slab of shingles at a time; float32 counts these exactly
+        here = common & (compact[column] >= first) & (compact[column] < first + 4096)
+        slab = np.zeros((len(used), min(4096, width - first)), np.float32)
+        slab[row[here], compact[column[here]] - first] = 1
+        shared += slab @ slab.T
+    both = shared[np.searchsorted(used, i), np.searchsorted(used, j)].astype(np.int64)
+    close = 100 * both >= percent * (size[i] + size[j] - both)
+    low = ids.copy()
+    while True:
+        before = low.copy()
+        np.minimum.at(low, i[close], before[j[close]])
+        np.minimum.at(low, j[close], before[i[close]])
+        if (low == before).all():
+            break
+    return pd.DataFrame({"src": ids, "dst": low})[low != ids]
+
+
 def near_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text).
 
@@ -147,12 +200,13 @@ def near_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     vertex named by their smallest id.  Null ids get the id of their copies, or stay null and are
     kept.  Repeated rows all appear.  An empty table gives an empty result; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(
-        signature_pass(width), "doc_id bigint, n bigint, key binary, bands array<bigint>, sig array<tinyint>"))
+        signature_pass(width), "doc_id bigint, n bigint, key binary, bands array<bigint>"))
     classes = rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"))
     # one row per class: that of the id which names it
-    vertices = cut(rows.select("doc_id", F.col("key").alias("_key"), "n", "bands", "sig").join(
-        classes, (F.col("_key") == F.col("key")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["_key", "doc_id"]).select("id", "key", "n", "bands", "sig"))
+    vertices = cut(rows.select("doc_id", F.col("key").alias("_key"), "n", "bands").join(
+        classes, (F.col("_key") == F.col("key")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["_key", "doc_id"]).select("id", "key", "n", "bands"))
     members = vertices.select("id", "n", F.posexplode("bands").alias("band", "code"))
     bucket = ["band", "code"]
     crowded = members.groupBy(*bucket).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
@@ -160,36 +214,22 @@ def near_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     meeting = members.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(meeting, "id").dropDuplicates(["id"])
     sets = cut(texts.select("id", "text").mapInPandas(set_pass(width), "id bigint, items binary"))
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent  # noqa: E731  the shorter set bounds the overlap
-    done = links = None
-    group = vertices.select("id", F.col("id").alias("component"))
-    for pivots in (1, 3, None):
-        mixed = members if done is None else members.join(group, "id")
-        if done is not None:
-            spread = mixed.groupBy(*bucket).agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select(*bucket)
-            mixed = cut(mixed.join(spread, bucket))
-        else:
-            mixed = mixed.withColumn("component", F.col("id"))
-        apart = (F.col("_component") != F.col("component")) & fits(F.col("n"), F.col("_n"))
-        if pivots:
-            ranks = [F.col("id")] if pivots == 1 else [F.xxhash64("id", F.lit(salt)) for salt in range(pivots)]
-            lead = mixed.groupBy(*bucket).agg(F.array(*[F.min(F.struct(r.alias("r"), "id", "n", "component")) for r in ranks]).alias("_l"))
-            pairs = mixed.join(lead, bucket).select("id", "n", "component", F.explode("_l").alias("_p")).select(
-                "id", "n", "component", F.col("_p.id").alias("_id"), F.col("_p.n").alias("_n"), F.col("_p.component").alias("_component")).where(apart)
-        else:
-            mixed = mixed.join(vertices.select("id", "sig"), "id")
-            other = mixed.select(*bucket, *[F.col(c).alias(f"_{c}") for c in ("id", "n", "component", "sig")])
-            equal = F.size(F.filter(F.zip_with("sig", "_sig", lambda x, y: x == y), lambda t: t))
-            pairs = mixed.join(other, [*bucket]).where((F.col("id") < F.col("_id")) & apart & (equal >= LEAST_AGREEMENT))
-        pairs = pairs.select(F.greatest("id", "_id").alias("src"), F.least("id", "_id").alias("dst")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["src", "dst"], "left_anti")
-        pairs = cut(pairs)
-        left, right = sets.select(F.col("id").alias("src"), F.col("items").alias("x")), sets.select(F.col("id").alias("dst"), F.col("items").alias("y"))
-        fresh = cut(pairs.join(left, "src").join(right, "dst").mapInPandas(lambda f: confirm(f, percent), "src bigint, dst bigint"))
-        done = pairs if done is None else done.unionByName(pairs)
-        links = fresh if links is None else links.unionByName(fresh)
-        group = cut(connected_components(vertices.select("id"), links, []))
+    lead = members.groupBy(*bucket).agg(F.min(F.struct("id", "n")).alias("_p")).select(*bucket, F.col("_p.id").alias("dst"), F.col("_p.n").alias("_n"))
+    fits = F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent  # the shorter set bounds the overlap
+    pairs = cut(members.join(lead, bucket).where((F.col("id") != F.col("dst")) & fits).select(F.col("id").alias("src"), "dst").distinct())
+    left, right = sets.select(F.col("id").alias("src"), F.col("items").alias("x")), sets.select(F.col("id").alias("dst"), F.col("items").alias("y"))
+    links = cut(pairs.join(left, "src").join(right, "dst").mapInPandas(lambda f: confirm(f, percent), "src bigint, dst bigint"))
+    group = cut(connected_components(vertices.select("id"), links, []))
+    # buckets that still hold several groups, in blocks
+    mixed = cut(members.join(group, "id"))
+    several = mixed.groupBy(*bucket).agg(F.count("*").alias("_m"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b")
+    mixed = mixed.join(several.select(*bucket, F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks")), bucket)
+    mixed = mixed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = [*bucket, "a", "b"]
+    mixed = mixed.select("id", "component", *bucket, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("side"))
+    sent = mixed.join(sets, "id").join(vertices.select("id", "bands"), "id").repartition(*place).sortWithinPartitions(*place)
+    more = cut(sent.mapInPandas(lambda f: confirm_blocks(f, percent), "src bigint, dst bigint"))
+    group = cut(connected_components(vertices.select("id"), links.unionByName(more), []))
     named = cut(vertices.select("id", "key").join(group, "id").select("key", "component"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
