@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from splatlake.llm import query
-from splatlake.llm.common import byte_classes, cut, hashed_runs, held_out, labelled, mix, slices, table
+from splatlake.llm.common import bound_batches, byte_classes, cut, hashed_runs, held_out, labelled, mix, slices, table
 
 BUCKETS, WIDTH, NONZEROS, WINDOW = 1 << 14, 32, 2, 2  # the word table has BUCKETS x WIDTH numbers, whatever the corpus
 SAMPLE_ROWS = 20_000  # labelled rows that learning may take
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 FEATURES = WIDTH + 2
 
 
@@ -138,6 +138,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label 1, or 0.5 without labels.  Null, empty and blank texts get the score of the zero vector;
     null ids are scored and not held out; repeated rows are scored each.  Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     vectors, weights = word_table(docs)
     x = cut(pooled(docs, vectors, weights))
     known = labelled(labels, "quality").where(~held_out(F.col("doc_id")))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from splatlake.llm import query
-from splatlake.llm.common import cut, table
+from splatlake.llm.common import bound_batches, cut, table
 from splatlake.operators.components import connected_components
 
 BLOCK = 256
@@ -121,7 +121,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.998
     vertex with a number of copies.  A row with a null id counts among the copies of its vector, but
     a vector that only such rows hold links with nothing.  An empty table gives an empty result; other columns are ignored.
     """
-    spark = rows.sparkSession
+    bound_batches(rows.sparkSession)
     v = F.col("embedding").cast("array<double>")
     whole = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     usable = F.coalesce(whole & F.exists(v, lambda x: x != 0), F.lit(False))
