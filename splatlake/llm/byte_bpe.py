@@ -18,12 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from splatlake.llm import query
-from splatlake.llm.common import slices, table
+from splatlake.llm.common import bound_batches, slices, table
 
 LETTER, NUMBER, OTHER, MARK1, MARK2, BLANKS, SPACE, BLANK, RESET = range(9)
 # states: nothing open, in letters, in numbers, in other signs, in blanks, after a leading space, one or two letters of a suffix to come
 NONE, LET, NUM, OTH, BLK, LEAD, ONE, TWO = range(8)
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 CACHE_SLICES = 400_000
 BLOCK = 128
 
@@ -215,6 +215,7 @@ def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     between boundaries begin, in the same form.  Null texts count as empty and have no ids; null ids
     and repeated rows are encoded like others; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     path = ranks or default_ranks()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
