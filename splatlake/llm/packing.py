@@ -19,11 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T, Window as W
 
 from splatlake.llm import query
-from splatlake.llm.common import cut, slices, table
+from splatlake.llm.common import bound_batches, cut, slices, table
 
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS = 400_000
+CACHE_RUNS = 700_000
 SLICE_CHARS = 2_000_000
+MARKS = '.,!?;:&*$%#|"()-'  # no apostrophe: it opens suffixes
 
 
 def default_vocabulary() -> str:
@@ -33,38 +34,80 @@ def default_vocabulary() -> str:
 
 
 class WordIds:
-    """Ids of a text, looked up by runs between ASCII blanks: no token of this vocabulary spans one."""
+    """Ids of a text, looked up by runs between ASCII blanks: no token of this vocabulary spans one.
+
+    New runs that are a Latin word, or one followed by marks, are put together from the lower-case
+    word, which the vocabulary gives the same ids, and the marks, which are a token group of their
+    own; new words are encoded many at a time
+    and told apart by their word-end tokens.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        # lower-case Latin words need none of the tokenizer's normalizers and no splitting but at blanks
+        from tokenizers import pre_tokenizers
+
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = list(words)
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k: k + 4096]
+    def learn(self, fresh: set[str]) -> None:
+        known, words, tails, made, others = self.known, set(), set(), [], []
+        for run in fresh:
+            core = run.rstrip(MARKS)
+            if core.isalpha():
+                low = core.lower()
+                if low.isascii() or (low.isalpha() and max(low) < "\u0370"):
+                    if low not in known:
+                        words.add(low)
+                    if low != run:
+                        tail = run[len(core):]
+                        tails.add(tail)
+                        made.append((run, low, tail))
+                    continue
+            others.append(run)
+        self.learn_words(list(words))
+        self.learn_others([*tails, *others])
+        for run, low, tail in made:
+            known[run] = known[low] + known[tail]
+
+    def learn_words(self, words: list[str]) -> None:
+        for k in range(0, len(words), 2048):
+            part = words[k: k + 2048]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(part):
+                raise ValueError("a word of letters is more than one token group in this vocabulary")
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist()):
+                self.known[word] = raw[begin:end]
+                begin = end
+
+    def learn_others(self, runs: list[str]) -> None:
+        for k in range(0, len(runs), 4096):
+            part = runs[k: k + 4096]
             made = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(made.ids, "<u4")
             owner = np.array([-1 if w is None else w for w in made.word_ids], np.int64)
-            ends = np.searchsorted(owner, np.arange(len(part)), side="right")
             begin = 0
-            for word, end in zip(part, ends):
-                self.known[word] = ids[begin:end].tobytes()
+            for run, end in zip(part, np.searchsorted(owner, np.arange(len(part)), side="right")):
+                self.known[run] = ids[begin:end].tobytes()
                 begin = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*words) - self.known.keys() if words else set()
-        if fresh:
-            if len(self.known) > CACHE_WORDS:
-                fresh = set().union(*words)
-            self.learn(fresh)
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        # the vocabulary is lower case; lowering plain ASCII first makes more runs alike
+        runs = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        every = set().union(*runs)
+        if len(self.known) > CACHE_RUNS:
+            self.known.clear()
+        self.learn(every - self.known.keys())
+        return [b"".join(map(self.known.__getitem__, r)) for r in runs]
 
 
 MODELS: dict[str, WordIds] = {}
@@ -182,6 +225,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     A null or empty text is the single end id.  Null ids and repeated rows are packed like others.
     An empty table gives an empty result; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     pieces = cut(tokenized_pieces(docs, vocabulary or default_vocabulary(), capacity, keep_ids))
     per_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
