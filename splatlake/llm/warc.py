@@ -1,22 +1,39 @@
 """Content-addressed WARC archive: payload bytes once, record headers apart, records by joins.
 
-An archive is a folder with two Parquet tables.  ``payloads`` holds each distinct payload once under
-its SHA-256; ``headers`` holds the exact header block of every record and the key of its payload.
+An archive is a folder with two Parquet tables.  ``payloads`` holds each distinct payload once,
+compressed, under the SHA-256 of its bytes; ``headers`` holds the exact header block of every record
+and the key of its payload.
 Writing checks that rows of one key agree in length and SHA-1; reading recomputes the SHA-256 of
 every stored payload and fails on a difference.  Reading a record back is a join of both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+import pandas as pd
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window as W
 
 from splatlake.llm import query
-from splatlake.llm.common import base32, scratch_path, table
+from splatlake.llm.common import base32, bound_batches, scratch_path, table
 
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n"
 
 
+def compressed(payload: str) -> Column:
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(zstandard.ZstdCompressor(level=3).compress)
+
+    return F.pandas_udf(run, T.BinaryType())(payload)
+
+
+def expanded(stored: str) -> Column:
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(zstandard.ZstdDecompressor().decompress)
+
+    return F.pandas_udf(run, T.BinaryType())(stored)
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, key, sha1, payload_bytes); a null html is an empty payload."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -32,6 +49,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     capture, so each is a response.  A null page_id never is the largest unless all are null; null
     urls become empty; an empty table gives an empty archive.
     """
+    bound_batches(pages.sparkSession)
     rows = captures(pages)
     slim = rows.select("page_id", "url", "key", "sha1", "payload_bytes")
     kept = slim.groupBy("key").agg(
@@ -40,9 +58,10 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     kept = kept.select("key", F.when((F.col("_a") == F.col("_b")) & (F.col("_c") == F.col("_d")), F.col("response_id")).otherwise(
         F.raise_error(F.concat(F.lit("two payloads share the digest "), "key")).cast("bigint")).alias("response_id"))
     first = W.partitionBy("key", "page_id").orderBy("page_id")
-    chosen = rows.select("page_id", "key", "payload").join(
+    # payloads are packed before they travel, which halves the shuffle
+    chosen = rows.select("page_id", "key", compressed("payload").alias("payload")).join(
         kept.select(F.col("key").alias("_k"), "response_id"), (F.col("key") == F.col("_k")) & F.col("page_id").eqNullSafe(F.col("response_id")))
-    chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("key", "payload").write.option("compression", "zstd").parquet(
+    chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("key", "payload").write.option("compression", "none").parquet(
         f"{path}/payloads")
     long = F.col("payload_bytes") >= min_revisit_bytes
     revisit = long & ~F.col("page_id").eqNullSafe(F.col("response_id"))
@@ -63,13 +82,14 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(key, payload) with every payload checked against its key."""
-    stored = spark.read.parquet(f"{path}/payloads")
+    bound_batches(spark)
+    stored = spark.read.parquet(f"{path}/payloads").select("key", expanded("payload").alias("payload"))
     right = F.sha2("payload", 256) == F.col("key")
     return stored.select("key", F.when(right, F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("damaged payload "), "key")).cast("binary")).alias("payload"))
 
 
-def header_field(name: str) -> F.Column:
+def header_field(name: str) -> Column:
     found = F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1)
     return F.when(found != "", found)
 
