@@ -163,6 +163,16 @@ def test_url_templates_reject_by_labels(spark):
     assert got[200] == ("block", "/shop/*/buy") and got[201][0] == "allow"
 
 
+def test_url_templates_decide_pages_without_labels(spark):
+    """Label-free templates follow their host and the same shape elsewhere."""
+    urls = [f"http://h{i}.net/{s}/{j}" for i in range(6) for s in ("es", "en") for j in range(20)]
+    urls += [f"http://a.example.com/{s}/{j}" for s in ("de", "es", "en") for j in range(20)] + [f"http://b.org/{s}/{j}" for s in ("fr", "es") for j in range(20)]
+    rules = [("block", "net", "/es/"), ("allow", "net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules)
+    free = {(r.host, r.path.split("/")[1], r.verdict) for r in got.where("rule IS NULL").collect()}
+    assert free == {("a.example.com", "es", "block"), ("a.example.com", "en", "allow"), ("b.org", "es", "allow")}
+
+
 def test_secrets(docs, none):
     rows = secret_scan.secret_spans(docs).select("row.doc_id", secret_scan.told(F.col("spans")).alias("spans")).collect()
     assert {r.spans for r in rows if r.doc_id is not None} == {""} and {"assign:0:21"} <= {r.spans for r in rows}
