@@ -173,6 +173,24 @@ def test_url_templates_decide_pages_without_labels(spark):
     assert free == {("a.example.com", "es", "block"), ("a.example.com", "en", "allow"), ("b.org", "es", "allow")}
 
 
+@pytest.mark.parametrize("segments", [20, 33, 200])
+def test_url_templates_keep_labelled_branches_of_large_hosts(spark, segments):
+    first = [chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(segments)]
+    urls = [f"http://www.example.com/{s}/x" for s in first] + [f"http://www.example.com/de/{c}" for c in "xyz"]
+    got = {r.path.split("/")[1]: (r.verdict, r.template) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), url_filter.RULES).collect()}
+    assert got["de"][1].startswith("/de/") and {got[s] for s in first} == {("allow", "/*/x")}
+
+
+def test_url_templates_run_to_the_end_of_paths(spark):
+    """What differs after the eighth segment is told apart, and few labels do not decide for many rows."""
+    deep = "http://h.com" + "/s" * 12
+    rows = [(i, f"{deep}/{s}/{i}", v) for k, (s, v) in enumerate((("bad", "block"), ("good", "allow"))) for i in range(100 * k, 100 * k + 30)]
+    rows += [(300, f"{deep}/bad/300", None), (301, f"{deep}/good/301", None)]
+    rows += [(400 + i, f"http://m.com/p/{i}", "block" if i < 3 else None) for i in range(103)]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, said string"), [], label="said").collect()}
+    assert (got[300], got[301], got[500]) == ("block", "allow", "allow")
+
+
 def test_secrets(docs, none):
     rows = secret_scan.secret_spans(docs).select("row.doc_id", secret_scan.told(F.col("spans")).alias("spans")).collect()
     assert {r.spans for r in rows if r.doc_id is not None} == {""} and {"assign:0:21"} <= {r.spans for r in rows}
