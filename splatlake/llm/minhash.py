@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from splatlake.llm import query
 from splatlake.llm.common import bound_batches, byte_classes, cut, hashed_runs, mix, slices, table
@@ -106,7 +106,7 @@ def signature_pass(width: int):
                 bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::BAND_ROWS])
             none = count == 0
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "n": count.astype(np.int64),
+                "doc_id": pdf["doc_id"], "told": pdf["told"], "n": count.astype(np.int64),
                 "key": [None if z else a.tobytes() for z, a in zip(none, np.column_stack([order, words.astype(np.uint64)]))],
                 "bands": [None if z else b for z, b in zip(none, bands.view(np.int64))]})
 
@@ -191,28 +191,41 @@ def linked_in_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"src": ids, "dst": low})[low != ids]
 
 
+def told(text: Column) -> Column:
+    """A digest of the text, which tells rows of one id, or of none, apart."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def near_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text).
 
     Words are runs of bytes outside 0x20 and 0x09-0x0D after lowering A-Z; a set holds the distinct
     shingles of ``width`` words, or the whole sequence where there are fewer.  Texts that are null,
     empty or blank have an empty set and link with nothing.  Rows of equal word sequences are one
-    vertex named by their smallest id.  Null ids get the id of their copies, or stay null and are
-    kept.  Repeated rows all appear.  An empty table gives an empty result; other columns are ignored.
+    vertex, whatever their ids.  A group is named by its smallest id, or by null where it has none,
+    and keeps one text: that of the smallest id, and of the smallest digest among rows of that id.
+    Repeated rows all appear.  An empty table gives an empty result; other columns are ignored.
     """
+    return grouped(docs, width, percent).drop("told")
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_documents`` with the digest ``told`` of every row's text."""
     bound_batches(docs.sparkSession)
-    rows = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(
-        signature_pass(width), "doc_id bigint, n bigint, key binary, bands array<bigint>"))
-    classes = rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"))
-    # one row per class: that of the id which names it
-    vertices = cut(rows.select("doc_id", F.col("key").alias("_key"), "n", "bands").join(
-        classes, (F.col("_key") == F.col("key")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["_key", "doc_id"]).select("id", "key", "n", "bands"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), told(F.col("text")).alias("told"), "text")
+    rows = cut(texts.mapInPandas(signature_pass(width), "doc_id bigint, told binary, n bigint, key binary, bands array<bigint>"))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "told")
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(row).alias("row"))
+    # one row per class: that of the smallest id
+    same = (F.col("_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("told") == F.col("row.told"))
+    vertices = rows.select("doc_id", "told", F.col("key").alias("_key"), "n", "bands").join(classes, same).dropDuplicates(["_key", "doc_id", "told"])
+    vertices = cut(vertices.select(F.monotonically_increasing_id().alias("id"), "key", "row", "n", "bands"))
     members = vertices.select("id", "n", F.posexplode("bands").alias("band", "code"))
     bucket = ["band", "code"]
     crowded = members.groupBy(*bucket).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     members = cut(members.join(crowded, bucket))
-    meeting = members.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(meeting, "id").dropDuplicates(["id"])
+    meeting = members.select("id").distinct().join(vertices.select("id", "row"), "id")
+    texts = texts.join(meeting, F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("told") == F.col("row.told"))).dropDuplicates(["id"])
     sets = cut(texts.select("id", "text").mapInPandas(set_pass(width), "id bigint, items binary"))
     lead = members.groupBy(*bucket).agg(F.min(F.struct("id", "n")).alias("_p")).select(*bucket, F.col("_p.id").alias("dst"), F.col("_p.n").alias("_n"))
     fits = F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent  # the shorter set bounds the overlap
@@ -230,16 +243,20 @@ def near_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     sent = mixed.join(sets, "id").join(vertices.select("id", "bands"), "id").repartition(*place).sortWithinPartitions(*place)
     more = cut(sent.mapInPandas(lambda f: confirm_blocks(f, percent), "src bigint, dst bigint"))
     group = cut(connected_components(vertices.select("id"), links.unionByName(more), []))
-    named = cut(vertices.select("id", "key").join(group, "id").select("key", "component"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = cut(vertices.select("id", "key", "row").join(group, "id").select("key", "row", "component"))
+    best = named.groupBy("component").agg(F.min("row").alias("best"))
+    named = cut(named.select("key", "component").join(best, "component").select("key", "best"))
+    out = rows.select("doc_id", "told", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
+    alone, chosen = F.col("key").isNull(), F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("told") == F.col("best.told"))
+    return out.select("doc_id", "told", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), (alone | chosen).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that name their group, each once; columns as given."""
-    kept = near_documents(docs, width, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+    """One document of each group, each once; columns as given."""
+    kept = grouped(docs, width, percent).where("kept").select(F.col("doc_id").alias("_kept"), F.col("told").alias("_of")).distinct()
+    rows = docs.withColumn("_told", told(F.col("text")))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept")) & F.col("_told").eqNullSafe(F.col("_of"))
+    return rows.join(kept, same).dropDuplicates(["doc_id", "_told"]).drop("_kept", "_of", "_told")
 
 
 ORACLE = r"""

@@ -109,6 +109,22 @@ def test_near_documents(docs, none):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 3, 4, 5, 6, 7, 8]
 
 
+def test_near_documents_without_unique_ids(spark):
+    """Null ids and repeated ids lose no text, and near copies among them are linked."""
+    word = lambda tag, n=60: [f"{tag}{i}" for i in range(n)]
+    a, b, c, d, e = (word(t) for t in "abcde")
+    near = lambda words: [*words[:-1], "other"]
+    rows = [(None, a), (None, b), (None, near(b)), (1, c), (1, d), (5, near(d)), (2, e), (None, e), (3, near(e)), (4, word("f")), (4, word("f"))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in minhash.keep_one(df).collect()), key=str)
+    texts = [t for _, t in got]
+    assert {" ".join(w) for w in (a, c, d, e, word("f"))} <= set(texts) and len(texts) == len(set(texts)) == 6
+    assert sum(t in (" ".join(b), " ".join(near(b))) for t in texts) == 1
+    told = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_documents(df).collect()), key=str)
+    assert told == sorted([(None, None, True), (None, None, True), (None, None, False), (1, 1, True), (1, 1, True), (5, 1, False),
+                           (2, 2, True), (None, 2, False), (3, 2, False), (4, 4, True), (4, 4, True)], key=str)
+
+
 def test_quality_model(docs, none, labels):
     got = quality_model.quality_scores(docs, labels).collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
