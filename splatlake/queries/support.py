@@ -220,7 +220,7 @@ _PROBES = ", ".join(f"({a!r}e0, {b!r}e0, {c!r}e0)" if "e" not in f"{a!r}{b!r}{c!
 def _gaussians(spark, sf):
     from splatlake.functions.camera import quat_to_rotation
 
-    p = _pts(spark, sf).where("point_id % 3 = 0")
+    p = _pts(spark, sf)
     q = F.expr("array(1D, 0D, (point_id % 5) / 5D, 0D)")
     return p.select(*KEY, "x", "y", "z", F.expr("array(0.02D + (point_id % 7) / 50D, 0.03D, 0.02D)").alias("sigma"), quat_to_rotation(q).alias("rot"))
 
@@ -234,7 +234,7 @@ ins AS (SELECT pt.scan_id, pt.point_id, avg(CASE WHEN occ.ci IS NULL THEN 0e0 EL
 SELECT ins.scan_id, ins.point_id, occ.ci IS NOT NULL AS center_inside, f = 1 AS all_inside, round(f, 6) AS inside_fraction FROM ins JOIN ga USING (scan_id, point_id)
 LEFT JOIN occ ON occ.scan_id = ins.scan_id AND occ.ci = round_even(x / 0.2e0, 0) AND occ.cj = round_even(y / 0.2e0, 0) AND occ.ck = round_even(z / 0.2e0, 0)"""))
 def j24(spark, sf):
-    out = su.ellipsoid_inside(_gaussians(spark, sf), _occ(spark, sf), 0.2)
+    out = su.ellipsoid_inside(_gaussians(spark, sf).where("point_id % 3 = 0"), _occ(spark, sf), 0.2)  # as the SQL
     return out.withColumn("inside_fraction", F.round("inside_fraction", 6))
 
 

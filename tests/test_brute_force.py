@@ -263,3 +263,11 @@ def test_pick_calibration(spark):
     rows = [("s", 0, 0, 1.0, 30, 0.3, "depth_alignment_residual_too_large"), ("s", 0, 1, 1.1, 30, 0.2, "ok"), ("s", 1, 0, 1.0, 30, 0.1, "ok"), ("s", 1, 1, 1.0, 30, 0.1, "ok")]
     t = spark.createDataFrame(rows, "scan_id string, frame_index int, trial int, scale double, overlap_pixels bigint, median_relative_error double, reason string")
     assert {(r.frame_index, r.trial) for r in cu.pick_calibration(t, ["scan_id", "frame_index"]).collect()} == {(0, 1), (1, 0)}
+
+
+def test_largest_inside_scale_takes_every_point(spark, sf):
+    from splatlake import queries
+
+    queries.load()
+    got = queries.QUERIES["g7_max_inside_scale"](spark, sf)  # the points that stick out
+    assert {r.third for r in got.selectExpr("point_id % 3 AS third").distinct().collect()} == {0, 1, 2}
