@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 OPERATORS = ["sharding", "warc", "vectors", "minhash", "quality_model", "quality_rules", "packing", "byte_bpe", "url_filter",
-             "secret_scan", "source_audit", "prefix_trie"]
+             "secret_scan", "source_audit", "prefix_trie", "maxent_lm"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

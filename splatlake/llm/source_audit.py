@@ -127,7 +127,7 @@ def perfect_shards(kept: DataFrame) -> tuple[DataFrame, int]:
         for pdf in frames:
             for lang, part in pdf.groupby("lang", sort=False):
                 hashes = key_hashes(part["term"].tolist(), lang)
-                yield part.assign(hash=hashes.view(np.int64), shard=shard_of(hashes, shards))
+                yield part.astype({"lang": object}).assign(hash=hashes.view(np.int64), shard=shard_of(hashes, shards))
 
     rows = kept.mapInPandas(dealt, "lang string, term binary, hash bigint, shard bigint")
     built = rows.groupBy("shard").applyInPandas(build_shard, "shard bigint, hashes binary, keys array<struct<lang: string, term: binary>>")
@@ -243,9 +243,9 @@ def pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     count = np.zeros((len(names), len(slots)), np.int64)
     count[np.searchsorted(names, pdf["source"][~whole].to_numpy()), col] = pdf["n"][~whole].to_numpy()
     p = shares(count, totals[:, None], int(pdf["kept"].iloc[0])) if len(slots) else count
-    made = [pd.DataFrame({"lang": pdf["lang"].iloc[0], "a": names[k], "b": names[k + 1:], "value": np.abs(p[k + 1:] - p[k]).sum(axis=1)})
-            for k in range(len(names) - 1)]
-    return pd.concat(made) if made else pd.DataFrame({"lang": [], "a": [], "b": [], "value": np.empty(0, np.int64)})
+    made = [(a, b, v) for k, a in enumerate(names) for b, v in zip(names[k + 1:], np.abs(p[k + 1:] - p[k]).sum(axis=1).tolist())]
+    out = pd.DataFrame(made, columns=["a", "b", "value"], dtype=object)
+    return out.assign(lang=np.full(len(out), pdf["lang"].iloc[0], object))[["lang", "a", "b", "value"]]
 
 
 def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
