@@ -27,7 +27,7 @@ from splatlake.llm.common import bound_batches, byte_classes, cut, mix, slices,
 CLASSES, OWN = 64, 24  # classes, at most so many of them single words
 ROWS, FEATURES = 1 << 13, 4  # weight rows, active features of a token
 NEAR = 1 << 17  # a word with this share of all tokens, at least, is kept at hand: at most NEAR words
-ROUNDS, BATCH, RATE = 4, 8192, 0.4
+ROUNDS, BATCH, RATE = 4, 2048, 0.4
 SUFFIX, BUCKETS, CONTEXTS = 3, 1 << 11, 32  # last bytes of a word, endings, and groups of endings before a word
 SLICE_CHARS = 1_000_000
 END = int(mix(np.array([0x0E5D], np.uint64))[0])  # hash of the end token, and of what stands before a text
@@ -127,31 +127,55 @@ def history_rows(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
         return np.where(same, moved, np.uint64(END))
 
     one, two = back(1), back(2)
-    rows = np.zeros((FEATURES, len(hashes)), np.int64)
+    rows = np.zeros((FEATURES, len(hashes)), np.int16)
     for k, h in enumerate((one, two * np.uint64(3), one * np.uint64(5) + two * np.uint64(7)), 1):
-        rows[k] = 1 + (mix(h + np.uint64(k)) % np.uint64(ROWS - 1)).astype(np.int64)
+        rows[k] = 1 + (mix(h + np.uint64(k)) % np.uint64(ROWS - 1)).astype(np.int16)
     return rows
 
 
-def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(tokens, CLASSES) log probabilities of the classes."""
-    z = weights[rows[0]]
-    for k in range(1, FEATURES):
-        z = z + weights[rows[k]]
+def odds(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(logits with their maximum at 0, sums of their exponentials) of the classes for every token."""
+    z = weights[rows[1]]
+    for k in range(2, FEATURES):
+        z += weights[rows[k]]
+    z += weights[0]  # the feature of no history
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z, np.exp(z).sum(axis=1)
+
+
+def log_class(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Log probability of the class of every token."""
+    z, total = odds(weights, rows)
+    return z[np.arange(len(cls)), cls] - np.log(total)
+
+
+def row_sums(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each cut to the next: second, third, ... rows of all runs at once, then long runs one by one."""
+    lengths = np.diff(np.append(cuts, len(x)))
+    out, left, n = x[cuts], np.flatnonzero(lengths > 1), 1
+    while n < 8 and len(left) > 3:
+        out[left] += x[cuts[left] + n]
+        n += 1
+        left = left[lengths[left] > n]
+    for k in left:
+        out[k] += x[cuts[k] + n: cuts[k] + lengths[k]].sum(axis=0)
+    return out
 
 
 def gradient_step(weights: np.ndarray, scale: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
     """One step on a batch; ``scale`` sums the squared gradients of each row (Duchi et al. 2011)."""
-    d = np.exp(log_classes(weights, rows))
+    d, total = odds(weights, rows)
+    np.exp(d, out=d)
+    d /= total[:, None]
     d[np.arange(len(cls)), cls] -= 1
     for k in range(FEATURES):
-        order = np.argsort(rows[k], kind="stable")
-        mine = rows[k][order]
-        cuts = np.flatnonzero(np.diff(mine, prepend=-1))
-        g = np.add.reduceat(d[order], cuts, axis=0)
-        used = mine[cuts]
+        if k:
+            order = np.argsort(rows[k], kind="stable")
+            mine = rows[k][order]
+            cuts = np.flatnonzero(np.diff(mine, prepend=-1))
+            used, g = mine[cuts], row_sums(d[order], cuts)
+        else:
+            used, g = np.array([0]), d.sum(axis=0, keepdims=True)
         scale[used] += (g * g).mean(axis=1)
         weights[used] -= (RATE / np.sqrt(scale[used] + 1.0))[:, None].astype(np.float32) * g
 
@@ -252,7 +276,7 @@ def scored_texts(rows: DataFrame, weights: np.ndarray, lexicon: Lexicon, class_n
             logs = np.empty(len(cls))
             for a in range(0, len(cls), BATCH):
                 some = slice(a, a + BATCH)
-                logs[some] = log_classes(w, features[:, some])[np.arange(len(cls[some])), cls[some]]
+                logs[some] = log_class(w, features[:, some], cls[some])
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             total = lambda v: np.add.reduceat(v, starts)
             trained = np.where(at >= 0, words.trained[at] if len(words.trained) else 0, 0)

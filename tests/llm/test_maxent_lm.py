@@ -53,7 +53,8 @@ def test_classes_sum_to_one():
     weights = rng.normal(0, 1, (maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32)
     hashes, _, owner = maxent_lm.tokens(["a b c d e", "", "f g"])
     rows = maxent_lm.history_rows(hashes, owner)
-    assert np.allclose(np.exp(maxent_lm.log_classes(weights, rows)).sum(axis=1), 1, atol=1e-5)
+    every = [maxent_lm.log_class(weights, rows, np.full(len(hashes), c)) for c in range(maxent_lm.CLASSES)]
+    assert np.allclose(np.exp(every).sum(axis=0), 1, atol=1e-5)
     one = maxent_lm.history_rows(*maxent_lm.tokens(["f g"])[::2])
     assert (rows[:, -3:] == one).all()  # what stands in other texts does not matter
 
