@@ -13,6 +13,8 @@ from splatlake.session import cut
 
 FRAME = ["scan_id", "frame_index"]
 
+BOX = ["x1", "y1", "x2", "y2"]
+
 
 def iou_text(a: str, b: str) -> str:
     inter = (f"(greatest(0D, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * "
@@ -48,24 +50,35 @@ def gate(detections: DataFrame, thresholds=None, max_fraction=None) -> DataFrame
 def nms(detections: DataFrame, iou: float = cfg.NMS_IOU) -> DataFrame:
     """Greedy same-label suppression per frame: adds ``suppressed_by`` (null = kept).
 
-    Order: prompt kind rank, then confidence, then detection id.  Groups of every size take the same
-    rounds, which are linear in their rows; any threshold above 0 and up to 1 is accepted.
+    Order: prompt kind rank, then confidence, then detection id.  Any threshold above 0 and up to 1 is
+    accepted.  Boxes without area and rows without a frame or label neither suppress nor are suppressed.
     """
     if not 0 < iou <= 1:
         raise ValueError("the IoU threshold must lie above 0 and not above 1")
     rank = literal_map(cfg.PROMPT_KIND_RANK, F.col("prompt_kind"), 0)
-    d = detections.withColumn("_rank", -rank).withColumn("_conf", -F.col("confidence"))
-    return _nms_rounds(d, [*FRAME, "label"], iou).select(*detections.columns, "suppressed_by")
-
-
-def _nms_rounds(d: DataFrame, keys: list[str], iou: float) -> DataFrame:
-    """The greedy result in rounds.
-
-    Boxes that reach the threshold t have sides within a factor of 1 / t and centres within 1 - t of
-    the longer side, so they share a (level, cell) bucket.  A box that leads all its buckets cannot be suppressed any more: it is
-    kept, and what it overlaps is dropped by joining each bucket with its single leader.
+    keys = [*FRAME, "label"]
+    d = detections.withColumn("_o", F.struct((-rank).alias("rank"), (-F.col("confidence")).alias("confidence"), "detection_id"))
+    live = F.expr("x2 > x1 AND y2 > y1 AND " + " AND ".join(f"{k} IS NOT NULL" for k in keys))
+    boxes = d.where(F.coalesce(live, F.lit(False)))
+    # of equal boxes only the first can be kept or suppress anything; the others share its fate
+    unlike = cut(boxes.groupBy(*keys, *BOX).agg(F.min("_o").alias("_o")))
+    edges = cut(overlaps(unlike, keys, iou))
+    lost = greedy_losers(edges, keys)
+    winner = edges.join(lost.withColumnRenamed("hi", "lo"), [*keys, "lo"], "left_anti").groupBy(*keys, F.col("hi").alias("_o")).agg(F.min("lo").alias("_by"))
+    fate = unlike.join(winner, [*keys, "_o"], "left").withColumnRenamed("_o", "_first")
+    by = F.when(F.col("_o") == F.col("_first"), F.col("_by.detection_id")).otherwise(F.coalesce("_by.detection_id", "_first.detection_id"))
+    done = boxes.join(fate, [*keys, *BOX]).withColumn("suppressed_by", by)
+    flat = d.where(~F.coalesce(live, F.lit(False))).withColumn("suppressed_by", F.lit(None).cast(d.schema["detection_id"].dataType))
+    out = [*detections.columns, "suppressed_by"]
+    return done.select(*out).unionByName(flat.select(*out))
+
+
+def overlaps(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
+    """(keys, lo, hi): pairs of boxes that reach the threshold, ``lo`` before ``hi`` in order.
+
+    Such boxes have sides within a factor of 1 / iou and centres within 1 - iou of the longer side, so
+    they share a (level, cell) bucket.
     """
-    order = "struct(_rank, _conf, detection_id)"
     levels = {s: f"int(floor(log2(greatest({s}2 - {s}1, 1e-9D))))" for s in "xy"}
     above, reach = math.ceil(math.log2(1 / iou)), (1 - iou) / 2 + 1e-4
     cells = {}
@@ -74,39 +87,28 @@ def _nms_rounds(d: DataFrame, keys: list[str], iou: float) -> DataFrame:
         cells[s] = (f"flatten(transform(sequence({levels[s]}, {levels[s]} + {above}), l -> transform(sequence("
                     f"bigint(floor(({c} - {size} * {reach}D) / {size})), bigint(floor(({c} + {size} * {reach}D) / {size}))), "
                     "i -> struct(l, i))))")
-    keyed = cut(d.where("x2 > x1 AND y2 > y1").selectExpr("*", f"{order} AS _o", f"{cells['x']} AS _cx", f"{cells['y']} AS _cy"))
-    flat = d.where("x2 <= x1 OR y2 <= y1").withColumn("suppressed_by", F.lit(None).cast("bigint"))
-    bucket = [*keys, "_bx", "_by"]
+    spread = boxes.selectExpr(*keys, "_o", *BOX, f"{cells['x']} AS _cx", f"{cells['y']} AS _cy").withColumn("_bx", F.explode("_cx")).withColumn("_by", F.explode("_cy"))
+    one = spread.select(*keys, "_bx", "_by", F.col("_o").alias("lo"), F.struct(*BOX).alias("_a"))
+    two = spread.select(*keys, "_bx", "_by", F.col("_o").alias("hi"), F.struct(*BOX).alias("_b"))
+    met = one.join(two, [*keys, "_bx", "_by"]).where("lo < hi").where(iou_text("_a", "_b") + f" >= {iou}D")
+    return met.select(*keys, "lo", "hi").distinct()
+
 
-    def buckets(df):
-        return df.withColumn("_bx", F.explode("_cx")).withColumn("_by", F.explode("_cy"))
+def greedy_losers(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hi): what the greedy choice drops, in rounds on the overlaps that are still open.
 
-    alive, winners = keyed, []
+    A box without an open earlier neighbour is kept and drops its later neighbours, so the number of
+    rounds follows the longest chain of overlaps, whatever the number of boxes.
+    """
+    lost = edges.select(*keys, "hi").limit(0)
+    alive = edges
     while not alive.isEmpty():
-        b = buckets(alive.select(*keys, "_o", "detection_id", "x1", "y1", "x2", "y2", "_cx", "_cy"))
-        leaders = b.groupBy(*bucket).agg(F.min(F.struct("_o", "detection_id", "x1", "y1", "x2", "y2")).alias("top"))
-        met = b.join(leaders, bucket)
-        own = met.groupBy(*keys, "detection_id").agg(F.bool_and(F.expr("top.detection_id = detection_id")).alias("lead"))
-        won = cut(own.where("lead").select(*keys, F.col("detection_id").alias("_w")))
-        dead = met.where(iou_text("top", "self").replace("self.", "") + f" >= {iou}D").join(
-            won, [met[k] == won[k] for k in keys] + [F.col("top.detection_id") == F.col("_w")], "left_semi"
-        ).select("detection_id", *keys).distinct()
-        winners.append(won)
-        alive = cut(alive.join(dead, [*keys, "detection_id"], "left_anti"))
-    if not winners:
-        return flat
-    every = winners[0]
-    for won in winners[1:]:
-        every = every.unionByName(won)
-    kept = cut(keyed.join(every.withColumnRenamed("_w", "detection_id"), [*keys, "detection_id"], "left_semi"))
-    lost = keyed.join(kept.select(*keys, "detection_id"), [*keys, "detection_id"], "left_anti")
-    k = buckets(kept).select(*bucket, F.col("_o").alias("_ko"), F.expr("struct(x1, y1, x2, y2)").alias("_kb"))
-    overlap = iou_text("_kb", "self").replace("self.", "")
-    pairs = buckets(lost).join(k, bucket).where(f"{overlap} >= {iou}D AND _ko < _o")
-    first = pairs.groupBy(*keys, "detection_id").agg(F.min("_ko").alias("_f"))
-    lost = lost.join(first, [*keys, "detection_id"]).withColumn("suppressed_by", F.col("_f.detection_id")).drop("_f")
-    kept = kept.withColumn("suppressed_by", F.lit(None).cast("bigint"))
-    return kept.unionByName(lost).drop("_o", "_cx", "_cy").unionByName(flat.select(*[c for c in kept.columns if c not in ("_o", "_cx", "_cy")]))
+        later = alive.select(*keys, F.col("hi").alias("lo")).distinct()
+        kept = alive.select(*keys, "lo").distinct().join(later, [*keys, "lo"], "left_anti")
+        gone = cut(alive.join(kept, [*keys, "lo"], "left_semi").select(*keys, "hi").distinct())
+        lost = lost.unionByName(gone)
+        alive = cut(alive.join(gone, [*keys, "hi"], "left_anti").join(gone.withColumnRenamed("hi", "lo"), [*keys, "lo"], "left_anti"))
+    return lost
 
 
 def drop_generic(detections: DataFrame, iou=cfg.GENERIC_OVERLAP_IOU, ios=cfg.GENERIC_CONTAINMENT) -> DataFrame:

@@ -44,9 +44,9 @@ def s1(spark, sf):
 
 
 @query("s2_read_frames_tolerant", fx.with_views("fx_frames", sql="""
-SELECT scan_id, frame_key, 'kept' AS found FROM fx_frames WHERE frame_index % 6 <> 5 AND frame_index <> 9 UNION ALL SELECT scan_id, frame_key, 'missing' FROM fx_frames WHERE frame_index % 6 = 5"""))
+SELECT scan_id, frame_key, 'kept' AS found FROM fx_frames WHERE (frame_index + ascii(right(scan_id, 1))) % 6 <> 5 AND frame_index <> 9 UNION ALL SELECT scan_id, frame_key, 'missing' FROM fx_frames WHERE (frame_index + ascii(right(scan_id, 1))) % 6 = 5"""))
 def s2(spark, sf):
-    files = fx.view(spark, sf, "fx_frames").where("frame_index % 6 <> 5").select(F.concat("frame_key", F.lit(".png")).alias("name"))
+    files = fx.view(spark, sf, "fx_frames").where("(frame_index + ascii(right(scan_id, 1))) % 6 <> 5").select("scan_id", F.concat("frame_key", F.lit(".png")).alias("name"))
     kept, missing = scene.read_frames_tolerant(spark, _registry(spark, sf), files)
     return kept.select("scan_id", "frame_key", F.lit("kept").alias("found")).unionByName(missing.select("scan_id", "frame_key", F.lit("missing").alias("found")))
 
@@ -82,12 +82,15 @@ def s5(spark, sf):
 
 
 @query("s6_masks_from_filenames", fx.with_views("fx_masks", sql="""
-SELECT DISTINCT concat('frame_', lpad(CAST(frame_index AS STRING), 6, '0')) AS frame_key, concat('/m/frame_', lpad(CAST(frame_index AS STRING), 6, '0'), '_', label, '_', CAST(mask_id AS STRING), '.png') AS path
-FROM fx_masks WHERE label = 'bed'"""))
+m AS (SELECT DISTINCT scan_id, frame_index, concat('frame_', lpad(CAST(frame_index AS STRING), 6, '0')) AS k, mask_id FROM fx_masks WHERE label = 'bed')
+SELECT scan_id, CASE WHEN (frame_index + ascii(right(scan_id, 1))) % 2 = 0 THEN concat(k, '_x') ELSE k END AS frame_key, concat('/m/', k, '_x_bed_', CAST(mask_id AS STRING), '.png') AS path FROM m"""))
 def s6(spark, sf):
-    m = fx.view(spark, sf, "fx_masks").select(F.format_string("frame_%06d_%s_%d.png", "frame_index", "label", "mask_id").alias("name"))
-    files = m.select(F.concat(F.lit("/m/"), "name").alias("path"), "name")
-    return scene.masks_from_filenames(files, fx.view(spark, sf, "fx_frames").where("frame_index < 12"), "bed")
+    m = fx.view(spark, sf, "fx_masks")
+    key = F.format_string("frame_%06d_x", "frame_index")
+    frames = m.where("(frame_index + ascii(right(scan_id, 1))) % 2 = 0").select("scan_id", key.alias("frame_key"))  # each scan has other frames
+    name = F.format_string("frame_%06d_x_%s_%d.png", "frame_index", "label", "mask_id")
+    files = m.select("scan_id", F.concat(F.lit("/m/"), name).alias("path"), name.alias("name"))
+    return scene.masks_from_filenames(files, frames, "bed")
 
 
 @query("s14_manifest", """

@@ -55,11 +55,14 @@ def read_frames(spark: SparkSession, path: str, scan_id: str | None = None, max_
 
 
 def read_frames_tolerant(spark: SparkSession, path: str, files: DataFrame, scan_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(frames whose image is listed and whose matrix is 4 x 4, frames whose image is missing)."""
+    """(frames whose image is listed and whose matrix is 4 x 4, frames whose image is missing).
+
+    ``files``: (scan_id, name); an image counts for its own scan alone.
+    """
     f = read_frames(spark, path, scan_id).withColumn("name", F.regexp_extract("image_path", "([^/]+)$", 1))
-    names = files.select("name").distinct()
+    names = files.select("scan_id", "name").distinct()
     whole = (F.size("c2w") == 16) & F.forall("c2w", lambda x: x.isNotNull())
-    return f.where(whole).join(names, "name", "left_semi").drop("name"), f.join(names, "name", "left_anti").drop("name")
+    return f.where(whole).join(names, ["scan_id", "name"], "left_semi").drop("name"), f.join(names, ["scan_id", "name"], "left_anti").drop("name")
 
 
 def frame_aliases(frames: DataFrame) -> DataFrame:
@@ -113,17 +116,17 @@ def read_detections_strict(spark: SparkSession, path: str, aliases: DataFrame, s
 
 
 def masks_from_filenames(files: DataFrame, frames: DataFrame, label: str) -> DataFrame:
-    """(frame_key, path) of mask files named after a frame and the label."""
+    """(scan_id, frame_key, path) of mask files (scan_id, path, name) named after a frame of their scan and the label."""
     s = text.stem(F.col("name"))
     hit = F.array_contains(F.split(s, "_"), label) | s.endswith(f"_{label}") | F.contains(s, F.lit(f"_{label}_"))
     f = files.where(hit).withColumn("_s", s)
     # candidate keys are the file stem's own prefixes, so frames are met by equality
     parts = F.split("_s", "_")
     pre = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_")))
-    best = f.select("path", "_s", pre.alias("frame_key")).join(frames.select("frame_key").distinct(), "frame_key", "left_semi").groupBy("path").agg(
+    best = f.select("scan_id", "path", pre.alias("frame_key")).join(frames.select("scan_id", "frame_key").distinct(), ["scan_id", "frame_key"], "left_semi").groupBy("scan_id", "path").agg(
         F.max_by("frame_key", F.length("frame_key")).alias("frame_key"))
     fallback = F.nullif(F.regexp_extract("_s", r"(frame_\d+)", 1), F.lit(""))
-    return f.join(best, "path", "left").select(F.coalesce("frame_key", fallback).alias("frame_key"), "path").where("frame_key IS NOT NULL")
+    return f.join(best, ["scan_id", "path"], "left").select("scan_id", F.coalesce("frame_key", fallback).alias("frame_key"), "path").where("frame_key IS NOT NULL")
 
 
 def depth_index(files: DataFrame, directories: list[str], strict: bool = False) -> DataFrame:

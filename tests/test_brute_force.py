@@ -15,6 +15,23 @@ def detections(spark, sf):
     return fx.view(spark, sf, "fx_detections")
 
 
+def test_nms_rounds_follow_chains_not_boxes(spark, monkeypatch):
+    """Disjoint boxes of one cell, a chain of three, copies of one box, and rows that take no part."""
+    apart = [(k, 10.0 * k, 0.0, 10.0 * k + 8, 8.0) for k in range(40)]
+    chain = [(100 + k, 2000.0 + 3 * k, 0.0, 2012.0 + 3 * k, 12.0) for k in range(3)]
+    copies = [(200 + k, 3000.0, 0.0, 3010.0, 10.0) for k in range(50)]
+    rows = [("s", 1, "chair", "named", 0.9 - i / 1e4, *b) for i, b in enumerate([(b[0], *map(float, b[1:])) for b in apart + chain + copies])]
+    rows += [("s", 1, "chair", "named", 0.5, 900, 5.0, 5.0, 5.0, 9.0), ("s", 1, None, "named", 0.5, 901, 0.0, 0.0, 8.0, 8.0)]
+    d = spark.createDataFrame(rows, "scan_id string, frame_index int, label string, prompt_kind string, confidence double, detection_id bigint, x1 double, y1 double, x2 double, y2 double")
+    rounds = []
+    real = de.cut
+    monkeypatch.setattr(de, "cut", lambda df: rounds.append(1) or real(df))
+    got = {r.detection_id: r.suppressed_by for r in de.nms(d, 0.5).collect()}
+    want = {k: None for k in [*range(40), 100, 102, 200, 900, 901]} | {101: 100} | {k: 200 for k in range(201, 250)}
+    assert got == want
+    assert len(rounds) <= 2 + 2 * 2  # boxes, overlaps, and two rounds of two tables
+
+
 @pytest.mark.parametrize("threshold", [0.3, cfg.NMS_IOU])
 def test_nms_matches_loop(detections, threshold):
     few = detections.where("detection_id < 250")

@@ -33,10 +33,24 @@ def test_camera_and_detection_scan(spark, tmp_path):
 
 
 def test_filename_masks(spark):
-    files = spark.createDataFrame([("/m/frame_01_bed.png", "frame_01_bed.png"), ("/m/frame_01_embedded.png", "frame_01_embedded.png"), ("/m/view_bed_2.png", "view_bed_2.png")], "path string, name string")
-    frames = spark.createDataFrame([("frame_01",), ("view",)], "frame_key string")
-    got = {r.path: r.frame_key for r in scene.masks_from_filenames(files, frames, "bed").collect()}
-    assert got == {"/m/frame_01_bed.png": "frame_01", "/m/view_bed_2.png": "view"}
+    names = [("a", "frame_01_bed.png"), ("a", "frame_01_embedded.png"), ("a", "view_bed_2.png"), ("b", "view_bed_2.png"), ("b", "frame_01_bed.png")]
+    files = spark.createDataFrame([(s, f"/{s}/{n}", n) for s, n in names], "scan_id string, path string, name string")
+    frames = spark.createDataFrame([("a", "frame_01"), ("a", "view"), ("b", "frame_02")], "scan_id string, frame_key string")
+    got = {(r.scan_id, r.path): r.frame_key for r in scene.masks_from_filenames(files, frames, "bed").collect()}
+    # scan b knows no frame of that name: only the numbered name can be told from the file
+    assert got == {("a", "/a/frame_01_bed.png"): "frame_01", ("a", "/a/view_bed_2.png"): "view", ("b", "/b/frame_01_bed.png"): "frame_01"}
+
+
+def test_missing_images_are_told_by_scan(spark, tmp_path):
+    matrix = [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
+    for scan in "ab":
+        (tmp_path / scan).mkdir()
+        frames = [{"file_path": f"images/f{k}.png", "transform_matrix": matrix} for k in range(2)]
+        (tmp_path / scan / "transforms.json").write_text(json.dumps({"w": 640, "h": 480, "camera_angle_x": 0.9, "frames": frames}))
+    files = spark.createDataFrame([("a", "f0.png"), ("b", "f1.png")], "scan_id string, name string")
+    kept, missing = scene.read_frames_tolerant(spark, str(tmp_path / "*/transforms.json"), files)
+    assert sorted((r.scan_id, r.frame_key) for r in kept.collect()) == [("a", "f0"), ("b", "f1")]
+    assert sorted((r.scan_id, r.frame_key) for r in missing.collect()) == [("a", "f1"), ("b", "f0")]
 
 
 def test_manifest_and_listing(spark, tmp_path):
