@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -25,7 +23,6 @@ BACKGROUND_VIEWS, BACKGROUND_SUPPORT, BACKGROUND_RATIO, NEGATIVE_WEIGHT = 4, 0,
 COMPONENT_POINTS, COMPONENT_FRACTION, COMPONENT_FRAMES, COMPONENT_SCORE = 24, 0.01, 2, 0.08
 GRID_PADDING, GRID_PADDING_SPACING, GRID_SPACING, GRID_MAX_AXIS, GRID_MAX_CELLS = 0.12, 4.0, 1.5, 112, 350_000
 GRID_MIN_HITS, GRID_MIN_RATIO, GRID_MIN_CELLS = 2, 0.35, 64
-PROBE_DIRECTIONS, PROBE_SHELLS, PROBE_SIGMA, SHRINK_STEPS = 42, 2, 2.0, 7
 
 CELL = ["ci", "cj", "ck"]
 NEXT = ["ni", "nj", "nk"]
@@ -280,51 +277,6 @@ def protect_seeds(occupied: DataFrame, seeds: DataFrame, key: list[str]) -> Data
     return occupied.select(*key, *CELL).union(around).distinct()
 
 
-def ellipsoid_probes(directions: int = PROBE_DIRECTIONS, shells: int = PROBE_SHELLS) -> list[tuple[float, float, float]]:
-    """Unit probe directions (six axes, then a Fibonacci sphere) on evenly spaced shells."""
-    unit = [(1.0, 0.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, 1.0), (0.0, 0.0, -1.0)]
-    golden = math.pi * (3.0 - math.sqrt(5.0))
-    for i in range(directions):
-        z = 1.0 - 2.0 * (i + 0.5) / directions
-        r = math.sqrt(max(0.0, 1.0 - z * z))
-        unit.append((r * math.cos(i * golden), r * math.sin(i * golden), z))
-    return [tuple(c * (s + 1) / shells for c in u) for s in range(shells) for u in unit]
-
-
-def ellipsoid_inside(gaussians: DataFrame, occupied: DataFrame, voxel: float, scale: str = "1D") -> DataFrame:
-    """(scan_id, point_id, center_inside, all_inside, inside_fraction) for oriented Gaussians.
-
-    ``gaussians``: x, y, z, sigma (array of 3), rot (row-major 3x3) in grid coordinates before the
-    division by ``voxel``; ``scale`` is SQL for a factor on the probes.  Cells are met by equi-join.
-    """
-    listed = ", ".join(f"named_struct('a', {a!r}D, 'b', {b!r}D, 'c', {c!r}D)" for a, b, c in [(0.0, 0.0, 0.0), *ellipsoid_probes()])
-    p = gaussians.select("*", F.posexplode(F.expr(f"array({listed})")).alias("probe", "d"))
-    off = [f"({PROBE_SIGMA}D * {scale} * sigma[{i}] * d.{n})" for i, n in enumerate("abc")]
-    at = {c: f"int(rint(({a} + rot[{3 * r}] * {off[0]} + rot[{3 * r + 1}] * {off[1]} + rot[{3 * r + 2}] * {off[2]}) / {voxel}D))" for r, (c, a) in enumerate(zip(CELL, "xyz"))}
-    q = p.selectExpr("scan_id", "point_id", "probe", *[f"{e} AS {c}" for c, e in at.items()])
-    # probes of one Gaussian often share a cell: look each cell up once
-    packed = q.groupBy("scan_id", "point_id", *CELL).agg(F.count(F.when(F.col("probe") > 0, 1)).alias("_n"), F.bool_or(F.col("probe") == 0).alias("_c"))
-    occ = occupied.select("scan_id", *CELL).distinct().withColumn("_in", F.lit(True))
-    j = packed.join(occ, ["scan_id", *CELL], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    return j.groupBy("scan_id", "point_id").agg(
-        F.bool_or(F.col("_c") & F.col("_in")).alias("center_inside"), F.bool_and(F.col("_in") | (F.col("_n") == 0)).alias("all_inside"),
-        (F.sum(F.when(F.col("_in"), F.col("_n")).otherwise(0)) / F.sum("_n")).alias("inside_fraction"))
-
-
-def max_inside_scale(gaussians: DataFrame, occupied: DataFrame, voxel: float, steps: int = SHRINK_STEPS) -> DataFrame:
-    """Largest uniform scale in [0, 1] whose probes stay inside, by bisection on the violating rows."""
-    first = ellipsoid_inside(gaussians, occupied, voxel)
-    bad = gaussians.join(first.where(~F.col("all_inside")).select("scan_id", "point_id"), ["scan_id", "point_id"], "left_semi")
-    state = bad.withColumns({"_lo": F.lit(0.0), "_hi": F.lit(1.0)})
-    for _ in range(steps):
-        state = cut(state)
-        hit = ellipsoid_inside(state, occupied, voxel, "((_lo + _hi) / 2)")
-        mid = (F.col("_lo") + F.col("_hi")) / 2
-        j = state.join(hit.select("scan_id", "point_id", "all_inside"), ["scan_id", "point_id"])
-        state = j.withColumns({"_lo": F.when(F.col("all_inside"), mid).otherwise(F.col("_lo")), "_hi": F.when(F.col("all_inside"), F.col("_hi")).otherwise(mid)}).drop("all_inside")
-    return state.select("scan_id", "point_id", F.col("_lo").alias("max_scale"))
-
-
 def affine_fit(pairs: DataFrame, key: list[str]) -> DataFrame:
     """Least-squares affine map source (x,y,z) -> target (tx,ty,tz), 12 coefficients per key.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from splatlake import fixtures as fx
-from splatlake.operators import cleanup as cu, components as co, projection as pj, support as su
+from splatlake.operators import cleanup as cu, components as co, containment as ct, projection as pj, support as su
 from splatlake.queries import labelling as lab, query
 
 KEY = ["scan_id", "point_id"]
@@ -17,12 +17,12 @@ def _pts(spark, sf):
 
 def _split(spark, sf):
     p = _pts(spark, sf)
-    return p.where("point_id % 4 = 0").select("scan_id", "point_id", "x", "y", "z"), p.where("point_id % 4 = 1")
+    return p.where("point_id % 4 = 0").select("scan_id", "point_id", "x", "y", "z"), p.where("point_id % 4 <> 0")
 
 
 VOX = """
-q AS (SELECT * FROM fx_object_points WHERE point_id % 4 = 0), rf AS (SELECT * FROM fx_object_points WHERE point_id % 4 = 1),
-om AS (SELECT scan_id, min(x) - {s}e0 AS ox, min(y) - {s}e0 AS oy, min(z) - {s}e0 AS oz FROM fx_object_points WHERE point_id % 4 <= 1 GROUP BY scan_id),
+q AS (SELECT * FROM fx_object_points WHERE point_id % 4 = 0), rf AS (SELECT * FROM fx_object_points WHERE point_id % 4 <> 0),
+om AS (SELECT scan_id, min(x) - {s}e0 AS ox, min(y) - {s}e0 AS oy, min(z) - {s}e0 AS oz FROM fx_object_points GROUP BY scan_id),
 qc AS (SELECT q.scan_id, q.point_id, floor((x-ox)/{s}e0) AS i, floor((y-oy)/{s}e0) AS j, floor((z-oz)/{s}e0) AS k FROM q JOIN om USING (scan_id)),
 rc AS (SELECT rf.*, floor((x-ox)/{s}e0) AS i, floor((y-oy)/{s}e0) AS j, floor((z-oz)/{s}e0) AS k FROM rf JOIN om USING (scan_id)),
 nn AS (SELECT qc.scan_id, qc.point_id, rc.label, rc.confidence, rc.support_views FROM qc JOIN rc ON qc.scan_id = rc.scan_id AND abs(qc.i - rc.i) <= 1 AND abs(qc.j - rc.j) <= 1 AND abs(qc.k - rc.k) <= 1)"""
@@ -214,9 +214,6 @@ def c5(spark, sf):
     return co.nearest_occupied(grid.select("scan_id", "ci", "cj", "ck"), occ, ["scan_id"]).select("scan_id", "ci", "cj", "ck", "dist")
 
 
-_PROBES = ", ".join(f"({a!r}e0, {b!r}e0, {c!r}e0)" if "e" not in f"{a!r}{b!r}{c!r}" else f"({a:.17f}e0, {b:.17f}e0, {c:.17f}e0)" for a, b, c in su.ellipsoid_probes())
-
-
 def _gaussians(spark, sf):
     from splatlake.functions.camera import quat_to_rotation
 
@@ -225,22 +222,56 @@ def _gaussians(spark, sf):
     return p.select(*KEY, "x", "y", "z", F.expr("array(0.02D + (point_id % 7) / 50D, 0.03D, 0.02D)").alias("sigma"), quat_to_rotation(q).alias("rot"))
 
 
-@query("j24_g6_ellipsoid_inside", fx.with_views("fx_object_points", sql=OCC + f""",
-pb(a, b, c) AS (VALUES {_PROBES}),
-ga AS (SELECT *, 0.02e0 + (point_id % 7) / 50e0 AS s0, 1 / sqrt(1 + q * q) AS w, q / sqrt(1 + q * q) AS t FROM (SELECT *, (point_id % 5) / 5e0 AS q FROM fx_object_points WHERE point_id % 3 = 0) z),
-pt AS (SELECT scan_id, point_id, CAST(round_even((x + (1-2*t*t)*2*s0*a + 2*w*t*2*0.02e0*c) / 0.2e0, 0) AS INT) AS ci, CAST(round_even((y + 2*0.03e0*b) / 0.2e0, 0) AS INT) AS cj,
-  CAST(round_even((z + (-2*w*t)*2*s0*a + (1-2*t*t)*2*0.02e0*c) / 0.2e0, 0) AS INT) AS ck FROM ga, pb),
-ins AS (SELECT pt.scan_id, pt.point_id, avg(CASE WHEN occ.ci IS NULL THEN 0e0 ELSE 1e0 END) AS f FROM pt LEFT JOIN occ USING (scan_id, ci, cj, ck) GROUP BY ALL)
-SELECT ins.scan_id, ins.point_id, occ.ci IS NOT NULL AS center_inside, f = 1 AS all_inside, round(f, 6) AS inside_fraction FROM ins JOIN ga USING (scan_id, point_id)
-LEFT JOIN occ ON occ.scan_id = ins.scan_id AND occ.ci = round_even(x / 0.2e0, 0) AND occ.cj = round_even(y / 0.2e0, 0) AND occ.ck = round_even(z / 0.2e0, 0)"""))
+# the SQL states the probes and the Gaussians by itself
+PROBES = """,
+un(a, b, c) AS (SELECT * FROM (VALUES (1e0, 0e0, 0e0), (-1e0, 0e0, 0e0), (0e0, 1e0, 0e0), (0e0, -1e0, 0e0), (0e0, 0e0, 1e0), (0e0, 0e0, -1e0)) v
+  UNION ALL SELECT sqrt(1 - h * h) * cos(i * pi() * (3 - sqrt(5e0))), sqrt(1 - h * h) * sin(i * pi() * (3 - sqrt(5e0))), h FROM (SELECT i, 1 - 2 * (i + 0.5e0) / 42 AS h FROM range(42) r(i)) q),
+pb AS (SELECT a * s / 2e0 AS a, b * s / 2e0 AS b, c * s / 2e0 AS c FROM un, (VALUES (1), (2)) sh(s)),
+ga AS (SELECT scan_id, point_id, label, x, y, z, 0.02e0 + (point_id % 7) / 50e0 AS s0, 1 / sqrt(1 + q * q) AS w, q / sqrt(1 + q * q) AS t FROM (SELECT *, (point_id % 5) / 5e0 AS q FROM fx_object_points) z)"""
+
+
+def _probe_cells(factor: str) -> str:
+    """Cells of the probes scaled by ``factor``, in SQL."""
+    return f"""CAST(round_even((x + ((1-2*t*t)*2*s0*a + 2*w*t*2*0.02e0*c) * {factor}) / 0.2e0, 0) AS INT) AS ci, CAST(round_even((y + 2*0.03e0*b * {factor}) / 0.2e0, 0) AS INT) AS cj,
+  CAST(round_even((z + ((-2*w*t)*2*s0*a + (1-2*t*t)*2*0.02e0*c) * {factor}) / 0.2e0, 0) AS INT) AS ck"""
+
+
+INSIDE = OCC + PROBES + f""",
+pt AS (SELECT scan_id, point_id, {_probe_cells("1e0")} FROM ga, pb),
+ins AS (SELECT pt.scan_id, pt.point_id, avg(CASE WHEN occ.ci IS NULL THEN 0e0 ELSE 1e0 END) AS f FROM pt LEFT JOIN occ USING (scan_id, ci, cj, ck) GROUP BY ALL),
+res AS (SELECT ins.scan_id, ins.point_id, label, occ.ci IS NOT NULL AS center_inside, f = 1 AS all_inside, f AS inside_fraction FROM ins JOIN ga USING (scan_id, point_id)
+LEFT JOIN occ ON occ.scan_id = ins.scan_id AND occ.ci = round_even(x / 0.2e0, 0) AND occ.cj = round_even(y / 0.2e0, 0) AND occ.ck = round_even(z / 0.2e0, 0))
+"""
+
+
+@query("j24_g6_ellipsoid_inside", fx.with_views("fx_object_points", sql=INSIDE + "SELECT scan_id, point_id, center_inside, all_inside, round(inside_fraction, 6) AS inside_fraction FROM res"))
 def j24(spark, sf):
-    out = su.ellipsoid_inside(_gaussians(spark, sf).where("point_id % 3 = 0"), _occ(spark, sf), 0.2)  # as the SQL
-    return out.withColumn("inside_fraction", F.round("inside_fraction", 6))
+    return ct.ellipsoid_inside(_gaussians(spark, sf), _occ(spark, sf), 0.2).withColumn("inside_fraction", F.round("inside_fraction", 6))
+
 
+@query("g6_containment_report", fx.with_views("fx_object_points", sql=INSIDE + """
+SELECT scan_id, label, count(*) AS gaussians, round(avg(CAST(center_inside AS INT)), 6) AS center_inside_ratio, round(avg(CAST(all_inside AS INT)), 6) AS ellipsoid_inside_ratio,
+  round(avg(inside_fraction), 6) AS probe_inside_ratio FROM res GROUP BY scan_id, label"""))
+def g6(spark, sf):
+    inside = ct.ellipsoid_inside(_gaussians(spark, sf), _occ(spark, sf), 0.2).join(_pts(spark, sf).select(*KEY, "label"), KEY)
+    out = ct.containment_report(inside, ["scan_id", "label"])
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("ratio")})
 
-@query("g7_max_inside_scale")
+
+@query("g7_max_inside_scale", fx.with_views("fx_object_points", recursive=True, sql=INSIDE.rstrip() + f""",
+st AS (SELECT scan_id, point_id, 0e0 AS lo, 1e0 AS hi, 0 AS step FROM res WHERE NOT all_inside
+  UNION ALL SELECT scan_id, point_id, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END, step + 1 FROM (
+    SELECT q.scan_id, q.point_id, lo, hi, mid, step, bool_and(occ.ci IS NOT NULL) AS ok FROM (
+      SELECT st.*, (lo + hi) / 2 AS mid, {_probe_cells("((lo + hi) / 2)")} FROM st JOIN ga USING (scan_id, point_id), pb WHERE step < 7) q
+    LEFT JOIN occ USING (scan_id, ci, cj, ck) GROUP BY ALL) z)
+SELECT scan_id, point_id, lo AS max_scale FROM st WHERE step = 7"""))
 def g7(spark, sf):
-    return su.max_inside_scale(_gaussians(spark, sf), _occ(spark, sf), 0.2)
+    return ct.max_inside_scale(_gaussians(spark, sf), _occ(spark, sf), 0.2)
+
+
+@query("g9_constrain_extents")
+def g9(spark, sf):
+    return ct.constrain_extents(_gaussians(spark, sf), _occ(spark, sf), 0.2)
 
 
 @query("g10_affine_fit", fx.with_views("fx_object_points", sql="""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from splatlake import config as cfg, fixtures as fx, queries
-from splatlake.operators import components as co, detections as de, masks as ma, projection as pj, skew, support as su, tracks as tr, video as vd
+from splatlake.operators import components as co, containment as ct, detections as de, masks as ma, projection as pj, skew, support as su, tracks as tr, video as vd
 
 
 @pytest.fixture(scope="module")
@@ -235,7 +235,7 @@ def test_max_scale_is_inside(spark):
     g = spark.createDataFrame([("s", 1, 0.0, 0.0, 0.0, [0.2, 0.2, 0.2], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])],
                               "scan_id string, point_id bigint, x double, y double, z double, sigma array<double>, rot array<double>")
     occ = spark.createDataFrame([("s", i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)], "scan_id string, ci int, cj int, ck int")
-    s = su.max_inside_scale(g, occ, 0.1).first().max_scale
+    s = ct.max_inside_scale(g, occ, 0.1).first().max_scale
     assert 0.3 < s < 0.4  # 2 sigma * s must stay within 1.5 voxels
 
 
@@ -288,3 +288,48 @@ def test_largest_inside_scale_takes_every_point(spark, sf):
     queries.load()
     got = queries.QUERIES["g7_max_inside_scale"](spark, sf)  # the points that stick out
     assert {r.third for r in got.selectExpr("point_id % 3 AS third").distinct().collect()} == {0, 1, 2}
+
+
+def probe_twin(centre, sigma, rot, cells, voxel, factor):
+    """Are all probes of one ellipsoid inside?  One probe after the other."""
+    for d in ct.ellipsoid_probes():
+        at = [centre[r] + sum(rot[3 * r + c] * sigma[c] * 2.0 * factor * d[c] for c in range(3)) for r in range(3)]
+        if tuple(int(np.rint(v / voxel)) for v in at) not in cells:
+            return False
+    return True
+
+
+def test_extents_are_capped_shrunk_and_snapped(spark):
+    rng, voxel = np.random.default_rng(5), 0.1
+    cells = {tuple(c) for c in rng.integers(-9, 10, (5000, 3)).tolist()} | {(i, j, k) for i in range(-4, 3) for j in range(-4, 3) for k in range(-4, 3)}
+    rows = []
+    for k in range(400):
+        q = rng.normal(size=4)
+        w, x, y, z = q / np.linalg.norm(q)
+        rot = [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
+               2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]
+        rows.append(("s", k, *rng.uniform(-0.95, 0.95, 3).tolist(), rng.choice([0.002, 0.02, 0.1, 0.6], 3).tolist(), [float(v) for v in rot]))
+    schema = "scan_id string, point_id bigint, x double, y double, z double, sigma array<double>, rot array<double>"
+    g = spark.createDataFrame(rows + [("empty", 0, *rows[0][2:])], schema)
+    occ = spark.createDataFrame([("s", *c) for c in cells] + [("s", 0, 0, 0)], "scan_id string, ci int, cj int, ck int")
+    whole = {r.point_id: r for r in ct.ellipsoid_inside(g, occ, voxel).collect()}
+    got = {r.point_id: r for r in ct.constrain_extents(g, occ, voxel).collect()}
+    assert len(whole) == len(got) == len(rows)
+    seen = set()
+    for _, k, x, y, z, sigma, rot in rows:
+        centre, r = (x, y, z), got[k]
+        home = tuple(int(np.rint(v / voxel)) for v in centre) in cells
+        assert whole[k].center_inside == r.center_inside == home
+        assert whole[k].all_inside == probe_twin(centre, sigma, rot, cells, voxel, 1.0)
+        capped = [min(s, 1.25 * voxel) for s in sigma]
+        assert r.shrunk == (not probe_twin(centre, capped, rot, cells, voxel, 1.0))
+        assert np.allclose(r.sigma, [s * r.factor for s in capped])
+        assert np.allclose((r.x, r.y, r.z), [np.rint(v / voxel) * voxel for v in centre] if r.snapped else centre)
+        if not r.shrunk:
+            assert r.factor == 1.0 and not r.snapped
+        elif r.factor > 1e-4:
+            assert probe_twin((r.x, r.y, r.z), capped, rot, cells, voxel, r.factor)
+        elif not home:
+            assert not r.snapped and r.factor == 1e-4
+        seen.add((r.shrunk, r.snapped, home))
+    assert {(False, False, True), (True, False, True), (True, True, True), (True, False, False)} <= seen
