@@ -39,14 +39,15 @@ class WordIds:
     New runs that are a Latin word, or one followed by marks, are put together from the lower-case
     word, which the vocabulary gives the same ids, and the marks, which are a token group of their
     own; new words are encoded many at a time
-    and told apart by their word-end tokens.
+    and told apart by their word-end tokens.  A text that may hold an added token (``<|endoftext|>``)
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         vocabulary = self.tokenizer.get_vocab()
         # lower-case Latin words need none of the tokenizer's normalizers and no splitting but at blanks
         from tokenizers import pre_tokenizers
@@ -101,13 +102,15 @@ class WordIds:
                 begin = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        special = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        whole = {k: np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes() for k in special}
         # the vocabulary is lower case; lowering plain ASCII first makes more runs alike
-        runs = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        runs = [[] if k in whole else (t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for k, t in enumerate(texts)]
         every = set().union(*runs)
         if len(self.known) > CACHE_RUNS:
             self.known.clear()
         self.learn(every - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, r)) for r in runs]
+        return [whole[k] if k in whole else b"".join(map(self.known.__getitem__, r)) for k, r in enumerate(runs)]
 
 
 MODELS: dict[str, WordIds] = {}

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from splatlake.llm import query
 from splatlake.llm.common import bound_batches, byte_classes, cut, hashed_runs, held_out, labelled, mix, slices, table
@@ -68,7 +68,7 @@ def word_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """(doc_id, x): the pooled vector of every text; zeros for a text without tokens."""
+    """(doc_id, digest, x): the pooled vector of every text, zeros for one without tokens, and the text's digest."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vectors, weights))  # fixed size: BUCKETS x (WIDTH + 1) floats
 
@@ -85,9 +85,15 @@ def pooled(docs: DataFrame, vectors: np.ndarray, weights: np.ndarray) -> DataFra
                 x[own, :WIDTH] = mean
                 x[own, WIDTH] = 1 - (mean * mean).sum(axis=1)
                 x[own, WIDTH + 1] = np.log1p(np.diff(np.append(starts, len(bucket)))) / 10
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": list(x)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"], "x": list(x)})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, x array<float>")
+    # ids travel as text: with nulls among them pandas would make them floats
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text")
+    return rows.mapInPandas(run, "doc_id string, digest string, x array<float>").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
 class Network:
@@ -138,6 +144,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label 1, or 0.5 without labels.  Null, empty and blank texts get the score of the zero vector;
     null ids are scored and not held out; repeated rows are scored each.  Other columns are ignored.
     """
+    return scored_rows(docs, labels).drop("digest")
+
+
+def scored_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The columns of :func:`quality_scores` and the digest of the text."""
     bound_batches(docs.sparkSession)
     vectors, weights = word_table(docs)
     x = cut(pooled(docs, vectors, weights))
@@ -153,16 +164,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
                 values = net.score(np.stack(pdf["x"].to_numpy()).astype(np.float64)) if len(pdf) else []
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": values})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"], "score": values})
 
-        out = x.mapInPandas(run, "doc_id bigint, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        out = x.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, digest string, score double")
+        out = out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "digest")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted to be good; columns as given."""
-    good = quality_scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_good")), "left_semi")
+    """The documents predicted to be good; columns as given.
+
+    A row is judged by its own text: of rows with null or repeated ids only those with a good text
+    stay, repeated rows stay or go together, null and empty texts share a verdict.
+    """
+    good = scored_rows(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_good"), F.col("digest").alias("_digest")).distinct()
+    return docs.join(good, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_good")) & (text_digest(F.col("text")) == F.col("_digest")), "left_semi")
 
 
 @query("op5_quality_model")

@@ -3,7 +3,7 @@
 Every node that is to hold several shards is split along the metadata dimension in which its rows
 spread widest (measured against the whole corpus).  The weighted median is found on an integer key,
 dimension value first and a hash of the row behind it, so that a value shared by a third of all
-rows can be split too.  Each pass counts bytes in 8,192 key ranges of all nodes at once and narrows
+rows, or a row repeated as often, can be split too.  Each pass counts bytes in 8,192 key ranges of all nodes at once and narrows
 every node to the range that holds its median; the driver sees these sums only, at most
 8,192 x number of shards, whatever the input.
 """
@@ -39,15 +39,15 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 
     Give the number of ``shards``, or ``target_bytes`` from which it follows.  Null ids, sources or
     languages are an extreme value of their dimension; a null text has size 1 and checksum 0;
-    repeated rows fall into one shard; an empty table gives an empty result.  Other columns are
+    repeated rows are split like others; an empty table gives an empty result.  Other columns are
     ignored.
     """
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     dims = document_dimensions()
     rows = docs.select("doc_id", "source", "lang", text_size(F.col("text")).alias("size"), F.crc32(body).alias("text_crc32"))
     rows = rows.select("doc_id", "size", "text_crc32", *[c.alias(f"d_{n}") for n, c in dims.items()],
-                       F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(1 << TIE_BITS)).alias("tie"))
-    rows = cut(rows)
+                       F.pmod(F.xxhash64("text_crc32", "doc_id", F.monotonically_increasing_id()), F.lit(1 << TIE_BITS)).alias("tie"))
+    rows = cut(rows)  # from here on every row has its own place among equal ones
     names = [f"d_{n}" for n in dims]
     whole = rows.agg(F.sum("size").alias("size"), *[f(n).alias(f"{k}{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
     if whole["size"] is None:
@@ -120,11 +120,14 @@ def with_slots(sharded: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Writes the documents as one folder per shard, sorted by slot; repeated rows share the first slot's place."""
-    placed = sharded.groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).agg(F.min("shard").alias("shard"), F.min("slot").alias("slot"))
+    """Writes the documents as one folder per shard, sorted by slot; equal rows take their places in turn."""
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (crc == F.col("_crc"))).drop("_id", "_crc").sortWithinPartitions(
-        "shard", "slot").write.partitionBy("shard").parquet(path)
+    keys = ["_id", "_crc"]
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # a null id has a name of its own
+    places = sharded.select(named.alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    turns = ordered_rank(places, keys, [F.col("shard"), F.col("slot")], "_turn").drop("_turn_total")
+    mine = ordered_rank(docs.withColumns({"_id": named, "_crc": crc}), keys, [F.xxhash64(*docs.columns)], "_turn").drop("_turn_total")
+    mine.join(turns, [*keys, "_turn"]).drop(*keys, "_turn").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 @query("op1_kd_sharding")

@@ -154,7 +154,6 @@ def test_repeats_overlap_and_touch(spark):
 
 def test_packing_against_the_tokenizer(documents, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     rows = packing.pack(documents).toPandas()
     want = {}
     for d, e in zip(texts, tok.encode_batch(list(texts.values()), add_special_tokens=False)):
@@ -240,7 +239,6 @@ def test_pipeline_against_its_stages_by_hand(spark, sf, documents, texts):
     left = sorted(d for d, g in groups.items() if d == g)
     want = {}
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     for d in left:
         text, pos, out = texts[d], 0, ""
         for span in filter(None, brute_spans(text).split(",")):

@@ -43,7 +43,6 @@ def test_sharding(docs, none, spark):
         slots = sorted(r.slot for r in rows if r.shard == shard)
         assert slots == list(range(len(slots)))
     assert {r.size for r in rows if r.doc_id == 3} == {1} and {r.text_crc32 for r in rows if r.doc_id == 3} == {0}
-    assert len({r.shard for r in rows if r.doc_id == 2}) == 1
     assert sharding.with_slots(sharding.kd_shards(none, shards=4)).count() == 0
     by_bytes = sharding.with_slots(sharding.kd_shards(docs, target_bytes=200_000))
     assert 1 < by_bytes.select("shard").distinct().count() <= 3
@@ -52,6 +51,19 @@ def test_sharding(docs, none, spark):
     assert spark.read.parquet(path).count() == len(ROWS)
 
 
+def test_sharding_splits_repeated_rows(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 1500, -1).otherwise(F.col("id")).alias("doc_id"), F.lit("x" * 50).alias("text"),
+                                    F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    for docs in (rows, rows.withColumns({"doc_id": F.when(F.col("doc_id") >= 0, F.col("doc_id")), "text": F.when(F.col("doc_id") >= 0, F.col("text"))})):
+        sharded = sharding.with_slots(sharding.kd_shards(docs, shards=16))
+        sizes = [r["n"] for r in sharded.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+        assert len(sizes) == 16 and max(sizes) - min(sizes) <= 0.05 * max(sizes)
+    path = scratch_path(spark, "shards")
+    sharding.write_shards(rows.withColumn("clash", F.lit(1)), sharding.with_slots(sharding.kd_shards(rows, shards=4)), path)
+    back = spark.read.parquet(path)
+    assert back.count() == 4000 and back.select("shard", "slot").distinct().count() == 4000 and back.where("doc_id = -1").count() == 1500
+
+
 def test_sharding_splits_one_hot_value(spark):
     same = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x" * 50).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
     sizes = [r["count"] for r in sharding.kd_shards(same, shards=16).groupBy("shard").count().collect()]
@@ -220,3 +232,29 @@ def test_every_stage_takes_empty_tables(spark, none, tmp_path):
     none.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_verdicts_go_by_row(spark):
+    good = [(k, f"the quiet river runs past stone number {k} and under the old bridge", "en", "a", 60) for k in range(60)]
+    bad = [(100 + k, "$$$ click ### buy now %%% " * 3 + str(k), "en", "a", 60) for k in range(60)]
+    docs = spark.createDataFrame(good + bad, SCHEMA)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 100), 0) for r in good + bad], "doc_id bigint, quality int, toxic int")
+    mixed = [(None, t, "en", "a", 60) for _, t, *_ in good[:3] + bad[:5]] + [(7, bad[9][1], "en", "a", 60)] * 2 + [(2**60 + 1, good[9][1], "en", "a", 60)]
+    every = docs.union(spark.createDataFrame(mixed, SCHEMA))
+    verdict = {r.digest: r.predicted for r in quality_model.scored_rows(every, labels).collect()}
+    kept = sorted((str(r.doc_id), r.text) for r in quality_model.keep_good(every, labels).collect())
+    judged = [(str(r[0]), r[1], verdict[hashlib.md5(r[1].encode()).hexdigest()]) for r in good + bad + mixed]
+    assert kept == sorted((d, t) for d, t, y in judged if y == 1)
+    assert {y for d, _, y in judged if d == "None"} == {0, 1}  # null ids with good and with bad texts
+    assert len({y for d, _, y in judged if d == "7"}) == 2  # one id with a good and a bad text
+
+
+def test_added_tokens_keep_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|> <|other|>", "<|", "plain text, and more", "<|endoftext|>"]
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    words = packing.WordIds(packing.default_vocabulary())
+    for text, ids in zip(texts, words.encode(texts)):
+        assert [int.from_bytes(ids[k: k + 4], "little") for k in range(0, len(ids), 4)] == plain.encode(text, add_special_tokens=False).ids
