@@ -235,10 +235,10 @@ def test_every_stage_takes_empty_tables(spark, none, tmp_path):
 
 
 def test_verdicts_go_by_row(spark):
-    good = [(k, f"the quiet river runs past stone number {k} and under the old bridge", "en", "a", 60) for k in range(60)]
-    bad = [(100 + k, "$$$ click ### buy now %%% " * 3 + str(k), "en", "a", 60) for k in range(60)]
+    good = [(k, f"the quiet river runs past stone number {k} and under the old bridge", "en", "a", 60) for k in range(400)]
+    bad = [(1000 + k, "$$$ click ### buy now %%% " * 3 + str(k), "en", "a", 60) for k in range(400)]
     docs = spark.createDataFrame(good + bad, SCHEMA)
-    labels = spark.createDataFrame([(r[0], int(r[0] < 100), 0) for r in good + bad], "doc_id bigint, quality int, toxic int")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000), 0) for r in good + bad], "doc_id bigint, quality int, toxic int")
     mixed = [(None, t, "en", "a", 60) for _, t, *_ in good[:3] + bad[:5]] + [(7, bad[9][1], "en", "a", 60)] * 2 + [(2**60 + 1, good[9][1], "en", "a", 60)]
     every = docs.union(spark.createDataFrame(mixed, SCHEMA))
     verdict = {r.digest: r.predicted for r in quality_model.scored_rows(every, labels).collect()}
