@@ -24,7 +24,7 @@ from splatlake.llm.common import bound_batches, byte_classes, cut, hashed_runs,
 MIN_DOCS, TOP = 30, 50  # documents a kept term is in, at least; ranks of the report on terms
 SCALE, PRIOR = 1_000_000_000, 5
 SHARD_BYTES, PASS_BYTES = 1 << 19, 1 << 25  # stored terms of a shard; shards broadcast at a time
-COUNTER_TERMS, DENSE_BYTES, PIECE = 200_000, 1 << 26, 1 << 20  # a task's counters, slot arrays and text pieces
+COUNTER_TERMS, DENSE_BYTES, PIECE = 600_000, 1 << 26, 1 << 20  # a task's counters, slot arrays and text pieces
 PAIR_CELLS = 1 << 18  # (source, term) cells of one task of the pair sums
 LEVELS, ROOM = 32, 2  # levels of a perfect hash, bits a key
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
