@@ -217,9 +217,12 @@ def opened(blob: bytes, keys: np.ndarray, langs: list[str]) -> tuple[PerfectHash
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(SCALE * (count + PRIOR) / (total + PRIOR * kept)), in exact decimals."""
-    top = F.lit(SCALE).cast("decimal(11,0)") * (count + PRIOR).cast("decimal(19,0)")
-    return F.call_function("div", top, (total + kept * PRIOR).cast("decimal(20,0)")) + 1
+    """1 + floor(SCALE * (count + PRIOR) / (total + PRIOR * kept)) in 64-bit numbers, see ``shares``."""
+    base, rest, out = total + kept * PRIOR, count + PRIOR, F.lit(0).cast("bigint")
+    for _ in range(3):
+        out = out * 1000 + F.call_function("div", rest * 1000, base)
+        rest = (rest * 1000) % base
+    return out + 1
 
 
 def shares(count: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
