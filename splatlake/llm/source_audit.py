@@ -26,6 +26,7 @@ SCALE, PRIOR = 1_000_000_000, 5
 SHARD_BYTES, PASS_BYTES = 1 << 19, 1 << 25  # stored terms of a shard; shards broadcast at a time
 COUNTER_TERMS, DENSE_BYTES, PIECE = 600_000, 1 << 26, 1 << 20  # a task's counters, slot arrays and text pieces
 PAIR_CELLS = 1 << 18  # (source, term) cells of one task of the pair sums
+SALTS = 64  # parts of a language or group in joins, since one may hold most slots
 LEVELS, ROOM = 32, 2  # levels of a perfect hash, bits a key
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -276,10 +277,17 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP)
     return pair_part(counts, groups, whole).unionByName(term_part(counts, groups, whole, slots, top))
 
 
+def spread_join(counts: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a row per language or group, which is repeated for the parts that slots are dealt into."""
+    left = counts.withColumn("_salt", F.pmod(F.xxhash64("slot"), F.lit(SALTS)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def pair_part(counts: DataFrame, groups: DataFrame, whole: DataFrame) -> DataFrame:
     known = groups.join(whole, "lang").withColumn("blocks", F.ceil(F.col("kept") * F.col("sources") / PAIR_CELLS).cast("int"))
     blocks = known.groupBy("lang").agg(F.max("blocks").alias("blocks"))
-    cells = counts.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("slot"), "blocks").cast("int").alias("block"), "source", "slot", "n",
+    cells = spread_join(counts, blocks, ["lang"]).select("lang", F.pmod(F.xxhash64("slot"), "blocks").cast("int").alias("block"), "source", "slot", "n",
                                               F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("kept"))
     marks = known.select("lang", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)).alias("block"), "source",
                          F.lit(-1).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("n"), "total", "kept")
@@ -294,7 +302,7 @@ def pair_part(counts: DataFrame, groups: DataFrame, whole: DataFrame) -> DataFra
 
 def term_part(counts: DataFrame, groups: DataFrame, whole: DataFrame, slots: DataFrame, top: int) -> DataFrame:
     in_lang = counts.groupBy("slot").agg(F.sum("n").alias("lang_n"))
-    more = counts.join(groups.join(whole, "lang"), ["lang", "source"]).join(in_lang, "slot").withColumn(
+    more = spread_join(counts, groups.join(whole, "lang"), ["lang", "source"]).join(in_lang, "slot").withColumn(
         "value", share(F.col("n"), F.col("total"), F.col("kept")) - share(F.col("lang_n"), F.col("lang_total"), F.col("kept"))).where("value > 0")
     order = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return more.join(slots, "slot").select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), "value").withColumn(
