@@ -46,8 +46,8 @@ def uniform_pick(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
 
 
 def linspace_pick(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """Evenly spread rows with truncated positions."""
-    return _picked(df, keys, order, k, "floor(i * ((n - 1) / greatest(1D, double({k} - 1))))")
+    """Evenly spread rows with truncated positions; the last position is the last row whatever the product rounds to."""
+    return _picked(df, keys, order, k, "CASE WHEN i > 0 AND i = {k} - 1 THEN n - 1 ELSE floor(i * ((n - 1) / greatest(1D, double({k} - 1)))) END")
 
 
 def anchor_frames(frames: DataFrame, stride: int = 8) -> DataFrame:

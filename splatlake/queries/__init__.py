@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FAMILIES: list[str] = ["scalars", "labelling", "detections", "tracks", "masks", "selection", "objects", "support", "audit", "streams", "files"]
+FAMILIES: list[str] = ["scalars", "labelling", "detections", "tracks", "masks", "selection", "objects", "support", "carving", "audit", "streams", "files"]
 
 
 def query(name: str, sql: str | None = None):

@@ -25,7 +25,7 @@ def w10(spark, sf):
 
 @query("w11_linspace_pick", fx.with_views("fx_video", sql="""
 n AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY frame_id) - 1 AS p, count(*) OVER (PARTITION BY scan_id) AS c FROM fx_video),
-w AS (SELECT DISTINCT scan_id, CASE WHEN c <= 32 THEN i ELSE CAST(floor(i * ((c - 1) / 31.0e0)) AS INT) END AS p FROM (SELECT DISTINCT scan_id, c FROM n) q, (SELECT unnest(range(0, 32)) AS i) r)
+w AS (SELECT DISTINCT scan_id, CASE WHEN c <= 32 THEN i WHEN i = 31 THEN c - 1 ELSE CAST(floor(i * ((c - 1) / 31.0e0)) AS INT) END AS p FROM (SELECT DISTINCT scan_id, c FROM n) q, (SELECT unnest(range(0, 32)) AS i) r)
 SELECT n.scan_id, n.frame_id FROM n JOIN w USING (scan_id, p)"""))
 def w11(spark, sf):
     v = fx.view(spark, sf, "fx_video").select("scan_id", "frame_id")
