@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from splatlake import config as cfg
 from splatlake.functions import boxes
+from splatlake.functions.text import normalize_label
 from splatlake.functions.weights import literal_map
 from splatlake.operators.ordered import stream_groups
 from splatlake.operators.skew import ordered_rank
 
 KEY = ["scan_id", "label"]
 
+# --- fixed values: reasons of the support gate after overlap
+SUPPORT_REASON, STATE_REASON = "insufficient_visible_track_frames_after_overlap", "track_removed_below_minimum_visible_frames_after_overlap"
+
 
 def pair_score(a, b, width: float, height: float):
     """Association score of two corner tuples, or None when the pair does not pass."""
@@ -211,6 +215,36 @@ def support_gate(rows: DataFrame, min_frames: int = cfg.MIN_VISIBLE_FRAMES) -> D
     return rows.join(n, ["scan_id", "track_id"]).withColumn("supported", F.col("visible_frames") >= min_frames)
 
 
+def suppress_after_overlap(records: DataFrame, states: DataFrame, min_frames: int = cfg.MIN_VISIBLE_FRAMES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The support gate after overlap: (records with ``rejection_reasons``, rewritten states, suppressed tracks).
+
+    ``records``: scan_id, frame_index, track_id, label, role, accepted, state and more; ``states``:
+    scan_id, frame_index, label, state, reason.  A track with fewer than ``min_frames`` published
+    records (tracked object, accepted, visible) loses all its records.  In their frames a label
+    becomes unknown unless a published record of it remains; a label without a state row gets one.
+    A track that has no published record, and records without a track, stay as they are.
+    """
+    labelled = records.withColumn("_label", normalize_label("label"))
+    published = F.coalesce((F.col("role") == "tracked_object") & F.col("accepted") & (F.col("state") == "visible"), F.lit(False))
+    has_track = F.coalesce(F.col("track_id") != "", F.lit(False))
+    named, free = labelled.where(has_track), labelled.where(~has_track)
+    counted = named.groupBy("scan_id", "track_id").agg(
+        F.count(F.when(published, 1)).alias("published_visible_frames"), F.count("*").alias("removed_mask_count"),
+        F.max(F.when(published, F.struct("frame_index", "_label")))["_label"].alias("label"))
+    few = counted.where(F.col("published_visible_frames").between(1, min_frames - 1))
+    suppressed = few.select("scan_id", "track_id", "label", "published_visible_frames", F.lit(min_frames).alias("minimum_visible_frames"),
+                            "removed_mask_count", F.lit(SUPPORT_REASON).alias("reason"))
+    marks = few.select("scan_id", "track_id", F.lit(SUPPORT_REASON).alias("rejection_reasons"))
+    # records without a track share one empty key and take no part in the join
+    marked = named.join(marks, ["scan_id", "track_id"], "left").unionByName(free.withColumn("rejection_reasons", F.lit(None).cast("string")))
+    removed = F.col("rejection_reasons").isNotNull()
+    lost = marked.groupBy("scan_id", "frame_index", F.col("_label").alias("label")).agg(F.max(removed).alias("_lost"), F.max(published & ~removed).alias("_left"))
+    lost = lost.where("_lost AND NOT _left AND label IS NOT NULL").select("scan_id", "frame_index", "label", F.lit(True).alias("_lost"))
+    rewritten = states.join(lost, ["scan_id", "frame_index", "label"], "full")
+    columns = {"state": F.when(F.col("_lost"), F.lit("unknown")).otherwise(F.col("state")), "reason": F.when(F.col("_lost"), F.lit(STATE_REASON)).otherwise(F.col("reason"))}
+    return marked.drop("_label"), rewritten.withColumns(columns).drop("_lost"), suppressed
+
+
 def label_states(frames: DataFrame, labels: DataFrame, visible: DataFrame, rejected: DataFrame, anchors: DataFrame,
                  detected: DataFrame) -> DataFrame:
     """Visible / absent / unknown with a reason for every (frame, label)."""

@@ -156,6 +156,46 @@ def w7(spark, sf):
     return tr.support_gate(g).select("scan_id", "track_id", "frame_index", "visible_frames", "supported")
 
 
+# the chain after the mask gates: area jumps, first support gate, then records that overlap took away (every third one here)
+RECORDS = GATED + """,
+gw AS (SELECT ga.*, count(*) OVER (PARTITION BY scan_id, track_id) AS n FROM ga WHERE reasons = ''),
+rec AS (SELECT scan_id, frame_index, sam_object_id, track_id, label, CASE WHEN label = 'door' THEN 'structure' ELSE 'tracked_object' END AS role, frame_index % 7 <> 0 AS accepted, 'visible' AS state
+  FROM gw WHERE n >= 3 AND (frame_index + sam_object_id) % 3 = 0),
+pub AS (SELECT *, role = 'tracked_object' AND accepted AS published FROM rec),
+few AS (SELECT scan_id, track_id, count(*) FILTER (WHERE published) AS k, count(*) AS m, arg_max(label, frame_index) FILTER (WHERE published) AS label FROM pub GROUP BY scan_id, track_id HAVING count(*) FILTER (WHERE published) IN (1, 2))"""
+LOST = "insufficient_visible_track_frames_after_overlap"
+
+
+def _published(spark, sf):
+    g = tr.gate_masks(_merged(spark, sf), fx.view(spark, sf, "fx_tracks"), fx.view(spark, sf, "fx_anchors")).where("rejection_reasons IS NULL")
+    kept = tr.support_gate(g).where("supported AND (frame_index + sam_object_id) % 3 = 0")
+    records = kept.selectExpr("scan_id", "frame_index", "sam_object_id", "track_id", "label", "CASE WHEN label = 'door' THEN 'structure' ELSE 'tracked_object' END AS role",
+                              "frame_index % 7 <> 0 AS accepted", "'visible' AS state")
+    states = records.where("sam_object_id % 2 = 0").selectExpr("scan_id", "frame_index", "label", "'visible' AS state", "'accepted_tracked_mask' AS reason").distinct()
+    return tr.suppress_after_overlap(records, states)
+
+
+@query("w7_after_overlap", fx.with_views(*V, sql=RECORDS + f"""
+SELECT r.*, CASE WHEN f.k IS NOT NULL THEN '{LOST}' END AS rejection_reasons FROM rec r LEFT JOIN few f USING (scan_id, track_id)"""))
+def w7_after(spark, sf):
+    return _published(spark, sf)[0]
+
+
+@query("w7_rewritten_states", fx.with_views(*V, sql=RECORDS + """,
+st AS (SELECT DISTINCT scan_id, frame_index, label FROM rec WHERE sam_object_id % 2 = 0),
+gone AS (SELECT p.scan_id, p.frame_index, p.label FROM pub p LEFT JOIN few f USING (scan_id, track_id) GROUP BY ALL HAVING bool_or(f.k IS NOT NULL) AND NOT bool_or(f.k IS NULL AND published))
+SELECT scan_id, frame_index, label, CASE WHEN g.lost THEN 'unknown' ELSE 'visible' END AS state, CASE WHEN g.lost THEN 'track_removed_below_minimum_visible_frames_after_overlap' ELSE 'accepted_tracked_mask' END AS reason
+FROM st FULL JOIN (SELECT *, TRUE AS lost FROM gone) g USING (scan_id, frame_index, label)"""))
+def w7_states(spark, sf):
+    return _published(spark, sf)[1]
+
+
+@query("w7_suppressed_tracks", fx.with_views(*V, sql=RECORDS + f"""
+SELECT scan_id, track_id, label, k AS published_visible_frames, 3 AS minimum_visible_frames, m AS removed_mask_count, '{LOST}' AS reason FROM few"""))
+def w7_suppressed(spark, sf):
+    return _published(spark, sf)[2]
+
+
 @query("a32_track_support", fx.with_views(*V, sql=GATED + """
 SELECT scan_id, track_id, count(*) AS visible_frames, count(*) < 3 AS suppressed FROM ga WHERE reasons = '' GROUP BY ALL"""))
 def a32(spark, sf):

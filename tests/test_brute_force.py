@@ -333,3 +333,25 @@ def test_extents_are_capped_shrunk_and_snapped(spark):
             assert not r.snapped and r.factor == 1e-4
         seen.add((r.shrunk, r.snapped, home))
     assert {(False, False, True), (True, False, True), (True, True, True), (True, False, False)} <= seen
+
+
+def test_support_gate_after_overlap(spark):
+    """Two published frames go, their label becomes unknown unless another instance of it is left in the frame."""
+    def rec(scan, frame, track, label, role="tracked_object", accepted=True, state="visible"):
+        return scan, frame, track, label, role, accepted, state
+
+    rows = [rec("a", f, "bed_001", "bed") for f in range(3)] + [rec("a", f, "drawer_004", "Drawer") for f in range(2)]
+    rows += [rec("a", 1, "drawer_005", "drawer"), rec("a", 2, "drawer_005", "drawer"), rec("a", 3, "drawer_005", "drawer")]
+    rows += [rec("a", 0, "drawer_004", "drawer", accepted=False), rec("a", 5, "wall_001", "wall", role="structure"), rec("a", 5, None, "wall"), rec("a", 5, "", "wall")]
+    rows += [rec("b", f, "bed_001", "bed") for f in range(2)]
+    records = spark.createDataFrame(rows, "scan_id string, frame_index int, track_id string, label string, role string, accepted boolean, state string")
+    states = spark.createDataFrame([("a", 0, "drawer", "visible", "x"), ("a", 1, "drawer", "visible", "x"), ("a", 0, "bed", "visible", "x"), ("b", 0, "bed", "visible", "x")],
+                                   "scan_id string, frame_index int, label string, state string, reason string")
+    marked, rewritten, suppressed = tr.suppress_after_overlap(records, states)
+    assert marked.count() == len(rows)
+    assert sorted((r.scan_id, r.frame_index, r.track_id) for r in marked.where("rejection_reasons IS NOT NULL").collect()) == [
+        ("a", 0, "drawer_004"), ("a", 0, "drawer_004"), ("a", 1, "drawer_004"), ("b", 0, "bed_001"), ("b", 1, "bed_001")]
+    assert {(r.scan_id, r.frame_index, r.label): r.state for r in rewritten.collect()} == {
+        ("a", 0, "drawer"): "unknown", ("a", 1, "drawer"): "visible", ("a", 0, "bed"): "visible", ("b", 0, "bed"): "unknown", ("b", 1, "bed"): "unknown"}
+    assert sorted((r.scan_id, r.track_id, r.published_visible_frames, r.removed_mask_count) for r in suppressed.collect()) == [("a", "drawer_004", 2, 3), ("b", "bed_001", 2, 2)]
+    assert tr.suppress_after_overlap(records.limit(0), states)[1].count() == 4
