@@ -91,8 +91,8 @@ def u6(spark, sf):
 SELECT DISTINCT scan_id, label FROM fx_masks WHERE label IN ('bed', 'desk', 'sofa')"""))
 def u7(spark, sf):
     m = fx.view(spark, sf, "fx_masks").select("scan_id", "label")
-    allow = spark.createDataFrame([("bed",), ("desk",), ("sofa",)], "label string")
-    return m.intersect(m.select("scan_id").distinct().join(F.broadcast(allow), F.lit(True)))
+    allow = F.array(*[F.lit(label) for label in ("bed", "desk", "sofa")])
+    return m.intersect(m.select("scan_id").distinct().select("scan_id", F.explode(allow).alias("label")))
 
 
 DIFFS = """

@@ -283,11 +283,14 @@ def g10(spark, sf):
 
 
 @query("g12_silhouette_scores", """
-WITH a AS (SELECT o_custkey AS view, (o_orderkey % 100) / 100e0 AS alpha, o_orderkey % 3 <> 0 AS inside FROM orders)
-SELECT view, count(*) FILTER (WHERE inside) AS positive_pixels, round(avg(-ln(greatest(1e-6, least(1 - 1e-6, alpha)))) FILTER (WHERE inside), 5) AS positive_loss FROM a GROUP BY view HAVING count(*) FILTER (WHERE inside) >= 16""")
+WITH a AS (SELECT o_custkey % 97 AS view, (o_orderkey % 100) / 100e0 AS alpha, o_orderkey % 3 <> 0 AS inside, o_orderkey % 3 <> 0 OR o_orderkey % 4 = 0 AS allowed FROM orders),
+c AS (SELECT *, greatest(1e-6, least(1 - 1e-6, alpha)) AS p FROM a)
+SELECT view, count(*) FILTER (WHERE inside) AS positive_pixels, round(avg(-ln(p)) FILTER (WHERE inside), 5) AS positive_loss, round(avg(-ln(1 - p)) FILTER (WHERE NOT allowed), 5) AS outside_loss,
+  round(1 - (2 * sum(CASE WHEN inside THEN alpha ELSE 0e0 END) + 1e-6) / (sum(alpha) + count(*) FILTER (WHERE inside) + 1e-6), 5) AS dice_loss FROM c GROUP BY view HAVING count(*) FILTER (WHERE inside) >= 16""")
 def g12(spark, sf):
-    a = fx.table(spark, sf, "orders").selectExpr("o_custkey AS view", "(o_orderkey % 100) / 100D AS alpha", "o_orderkey % 3 <> 0 AS inside", "o_orderkey % 3 <> 0 AS allowed")
-    return su.silhouette_scores(a, ["view"]).select("view", "positive_pixels", F.round("positive_loss", 5).alias("positive_loss"))
+    a = fx.table(spark, sf, "orders").selectExpr("o_custkey % 97 AS view", "(o_orderkey % 100) / 100D AS alpha", "o_orderkey % 3 <> 0 AS inside", "o_orderkey % 3 <> 0 OR o_orderkey % 4 = 0 AS allowed")
+    out = su.silhouette_scores(a, ["view"])
+    return out.select("view", "positive_pixels", *[F.round(c, 5).alias(c) for c in ("positive_loss", "outside_loss", "dice_loss")])
 
 
 @query("j22_calibration_pairs", """
