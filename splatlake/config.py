@@ -248,3 +248,4 @@ CONTINUITY_RECENT = 5
 ANCHOR_MIN_GAP, ANCHOR_MIN_DIFF, ANCHOR_MAX = 40, 10.0, 25
 LOOP_MIN_GAP, LOOP_MIN_DIFF, LOOP_MAX = 35, 8.0, 60
 LOOP_PAIR_GAP, LOOP_PAIR_HAMMING, LOOP_PAIR_MATCHES, LOOP_PAIR_MAX = 120, 50, 30, 20
+TOTAL_FRAMES = 180

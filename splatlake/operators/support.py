@@ -23,6 +23,7 @@ BACKGROUND_VIEWS, BACKGROUND_SUPPORT, BACKGROUND_RATIO, NEGATIVE_WEIGHT = 4, 0,
 COMPONENT_POINTS, COMPONENT_FRACTION, COMPONENT_FRAMES, COMPONENT_SCORE = 24, 0.01, 2, 0.08
 GRID_PADDING, GRID_PADDING_SPACING, GRID_SPACING, GRID_MAX_AXIS, GRID_MAX_CELLS = 0.12, 4.0, 1.5, 112, 350_000
 GRID_MIN_HITS, GRID_MIN_RATIO, GRID_MIN_CELLS = 2, 0.35, 64
+LEVEL_SPACING, LEVEL_SIGMA, LEVEL_COUNT, LEVEL_MIN_POINTS, LEVEL_FLOOR, LEVEL_SIGMA_DEFAULT = 3.0, 3.0, 12, 8, 1e-5, 1e-3
 
 CELL = ["ci", "cj", "ck"]
 NEXT = ["ni", "nj", "nk"]
@@ -66,6 +67,53 @@ def voxel_member(query: DataFrame, ref: DataFrame, size: float) -> DataFrame:
     return voxel_count(query, ref, size).withColumn("supported", F.col("neighbors") > 0).drop("neighbors")
 
 
+def voxel_levels(query: DataFrame, ref: DataFrame, spacing: DataFrame) -> DataFrame:
+    """(scan_id, gap, s0, top, mx, my, mz): spacing, finest voxel, coarsest level and joint minimum of each scan.
+
+    Voxels double from half the spacing until they reach half of the 99th percentile of the allowed
+    distances, twelve levels at most.  Scans with too few reference points are left out.
+    """
+    clean = query.select("scan_id", "sigma", F.when(F.col("sigma") > 0, F.col("sigma")).alias("positive"))
+    q = exact_quantiles(clean, ["scan_id"], {"positive": [0.5], "sigma": [0.99]})
+    low = ref.groupBy("scan_id").agg(F.count("*").alias("_n"), *[F.min(a).alias(f"m{a}") for a in "xyz"]).where(F.col("_n") >= LEVEL_MIN_POINTS)
+    own = query.groupBy("scan_id").agg(*[F.min(a).alias(f"_q{a}") for a in "xyz"])
+    j = low.join(own, "scan_id").join(q, "scan_id").join(spacing.select("scan_id", "spacing"), "scan_id", "left")
+    gap = F.greatest(F.coalesce("spacing", F.lit(0.0)), F.coalesce(F.col("q_positive")[0], F.lit(LEVEL_SIGMA_DEFAULT)) * 0.5, F.lit(LEVEL_FLOOR))
+    j = j.withColumn("gap", gap).withColumn("s0", F.greatest(F.col("gap") * 0.5, F.lit(LEVEL_FLOOR)))
+    reach = (LEVEL_SPACING * F.col("gap") + LEVEL_SIGMA * F.col("q_sigma")[0]) * 0.5
+    top = sum(((F.col("s0") * float(2 ** k) < reach).cast("int") for k in range(LEVEL_COUNT - 1)), F.lit(0))
+    return j.select("scan_id", "gap", "s0", top.alias("top"), *[F.least(f"m{a}", f"_q{a}").alias(f"m{a}") for a in "xyz"])
+
+
+def voxel_member_levels(query: DataFrame, ref: DataFrame, spacing: DataFrame) -> DataFrame:
+    """Adds ``level`` and ``supported``: a reference point lies in the 27 voxels around, at the voxel size of the point's level.
+
+    ``query``: scan_id, x, y, z, sigma; ``ref``: scan_id, x, y, z; ``spacing``: scan_id, spacing.  A
+    point may lie three spacings and three of its sigma from the reference; its level is the first whose
+    doubled voxel reaches as far.  Voxels of a level are made of whole voxels of the level below, so
+    points are reduced to the finest voxels once and the coarser ones follow from those.  A sigma that
+    is null, negative or not finite counts as 0; points without finite coordinates, and all points of a scan with
+    fewer than eight reference points, have no level and are not supported.
+    """
+    finite = [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) < float("inf")) for a in (*"xyz", "sigma")]
+    sigma = F.when(finite[3] & (F.col("sigma") > 0), F.col("sigma")).otherwise(F.lit(0.0))
+    placed = finite[0] & finite[1] & finite[2]
+    r, q = ref.where(placed), query.select("scan_id", "x", "y", "z", sigma.alias("sigma")).where(placed)
+    scans = cut(voxel_levels(q, r, spacing))
+    fine = {n: F.floor((F.col(a) - F.col(f"m{a}")) / F.col("s0")) for n, a in zip(CELL, "xyz")}
+    reach = LEVEL_SPACING * F.col("gap") + LEVEL_SIGMA * sigma
+    first = sum(((2.0 * F.col("s0") * float(2 ** k) < reach).cast("int") for k in range(LEVEL_COUNT)), F.lit(0))
+    at = lambda n: F.expr(f"shiftright({n}, level)").alias(n)
+    q = query.join(scans, "scan_id", "left").withColumn("level", F.when(placed & F.col("s0").isNotNull(), F.least("top", first))).withColumns(fine)
+    q = q.select(*query.columns, "level", *[at(n) for n in CELL])
+    cells = r.join(scans, "scan_id").withColumns(fine).select("scan_id", "top", *CELL).distinct()
+    cells = cells.withColumn("level", F.explode(F.sequence(F.lit(0), "top"))).select("scan_id", "level", *[at(n) for n in CELL]).distinct()
+    around = near_cells(q.where("level IS NOT NULL").select("scan_id", "level", *CELL).distinct())
+    met = around.join(cells.select("scan_id", "level", *[F.col(c).alias(n) for c, n in zip(CELL, NEXT)]), ["scan_id", "level", *NEXT], "left_semi")
+    hit = met.select("scan_id", "level", *CELL).distinct().withColumn("_hit", F.lit(True))
+    return q.join(hit, ["scan_id", "level", *CELL], "left").withColumn("supported", F.coalesce("_hit", F.lit(False))).select(*query.columns, "level", "supported")
+
+
 def room_conflict(query: DataFrame, room: DataFrame, label: str, size: float) -> DataFrame:
     """Adds ``keep``: false where a competing label surrounds a point that its own label does not.
 

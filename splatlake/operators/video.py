@@ -71,34 +71,71 @@ def loop_candidates(continuity: DataFrame) -> DataFrame:
     return greedy_spread(continuity, cfg.LOOP_MIN_GAP, cfg.LOOP_MIN_DIFF, cfg.LOOP_MAX)
 
 
+def packed(descriptors) -> np.ndarray:
+    """Binary descriptors (arrays of 64-bit words) as one matrix; nothing as no rows."""
+    if descriptors is None or not len(descriptors):
+        return np.zeros((0, 0), dtype=np.uint64)
+    return np.stack([np.asarray(d, dtype=np.int64) for d in descriptors]).view(np.uint64)
+
+
+def match_count(x: np.ndarray, y: np.ndarray) -> int:
+    """Mutually nearest descriptor pairs within the Hamming limit."""
+    if not len(x) or not len(y):
+        return 0
+    dist = np.zeros((len(x), len(y)), dtype=np.int32)
+    for word in range(x.shape[1]):
+        dist += np.bitwise_count(x[:, word, None] ^ y[None, :, word])
+    to, back = dist.argmin(1), dist.argmin(0)
+    own = np.arange(len(x))
+    return int(((back[to] == own) & (dist[own, to] <= cfg.LOOP_PAIR_HAMMING)).sum())
+
+
 def mutual_matches(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Mutually nearest descriptor pairs within the Hamming limit, for one frame pair per row."""
-    def count(x, y):
-        if x is None or y is None or not len(x) or not len(y):
-            return 0
-        bx, by = (np.unpackbits(np.stack([np.asarray(d, dtype=np.int64) for d in v]).view(np.uint8), axis=1).astype(np.int32) for v in (x, y))
-        dist = bx.sum(1)[:, None] + by.sum(1)[None, :] - 2 * bx @ by.T
-        to, back = dist.argmin(1), dist.argmin(0)
-        own = np.arange(len(bx))
-        return int(((back[to] == own) & (dist[own, to] <= cfg.LOOP_PAIR_HAMMING)).sum())
+    """:func:`match_count` for one frame pair per row."""
+    return pd.Series([match_count(packed(x), packed(y)) for x, y in zip(a, b)])
+
 
-    return pd.Series([count(x, y) for x, y in zip(a, b)])
+def loop_pool(anchors: DataFrame, loops: DataFrame) -> DataFrame:
+    """(scan_id, frame_id) of anchors and loop candidates, each frame once: at most the sum of both limits per scan."""
+    keys = ["scan_id", "frame_id"]
+    return anchors.select(*keys).unionByName(loops.select(*keys)).distinct()
 
 
-def loop_pairs(pool: DataFrame, gap=cfg.LOOP_PAIR_GAP, min_matches=cfg.LOOP_PAIR_MATCHES, limit=cfg.LOOP_PAIR_MAX) -> DataFrame:
+def loop_pairs(pool: DataFrame, gap=cfg.LOOP_PAIR_GAP, min_matches=cfg.LOOP_PAIR_MATCHES, limit=cfg.LOOP_PAIR_MAX, parts: int = 8) -> DataFrame:
     """Far-apart frame pairs with enough matches, best ``limit`` per scan.
 
-    The pool is bounded per scan by the anchor and loop limits, so its pairs are too.
+    ``pool``: scan_id, frame_id, descriptors, of the frames of :func:`loop_pool`, whose two limits
+    bound a scan.  A frame is sent once to each of ``parts`` tasks of its scan, and a task scores the
+    pairs whose earlier frame it owns, so no pair carries descriptors through a shuffle.  Frames
+    with null or no descriptors match nothing.
     """
     from splatlake.operators.ranking import top_rows
 
-    a = pool.select("scan_id", F.col("frame_id").alias("frame_a"), F.col("descriptors").alias("_a"))
-    b = pool.select("scan_id", F.col("frame_id").alias("frame_b"), F.col("descriptors").alias("_b"))
-    pairs = a.join(b, "scan_id").where(F.col("frame_b") - F.col("frame_a") >= gap)
-    scored = pairs.select("scan_id", "frame_a", "frame_b", F.pandas_udf(mutual_matches, "int")("_a", "_b").alias("matches")).where(F.col("matches") >= min_matches)
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    dealt = pool.select("scan_id", "frame_id", "descriptors", F.pmod(F.xxhash64("frame_id"), F.lit(parts)).cast("int").alias("owner"), part.alias("part"))
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_id")
+        frames, looks, mine = pdf["frame_id"].tolist(), [packed(d) for d in pdf["descriptors"]], (pdf["owner"] == pdf["part"]).tolist()
+        found = []
+        for i in (i for i, m in enumerate(mine) if m):
+            for j in range(i + 1, len(frames)):
+                if frames[j] - frames[i] >= gap:
+                    n = match_count(looks[i], looks[j])
+                    if n >= min_matches:
+                        found.append((pdf["scan_id"].iloc[0], frames[i], frames[j], n))
+        return pd.DataFrame(found, columns=["scan_id", "frame_a", "frame_b", "matches"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
+    scored = dealt.groupBy("scan_id", "part").applyInPandas(score, f"scan_id {kinds['scan_id']}, frame_a {kinds['frame_id']}, frame_b {kinds['frame_id']}, matches int")
     return top_rows(scored, ["scan_id"], [F.col("matches").desc(), F.col("frame_a"), F.col("frame_b")], limit)
 
 
+def loop_frames(pairs: DataFrame) -> DataFrame:
+    """(scan_id, frame_id): both ends of each pair, once."""
+    return pairs.select("scan_id", F.explode(F.array("frame_a", "frame_b")).alias("frame_id")).distinct()
+
+
 def merge_types(parts: dict[str, DataFrame]) -> DataFrame:
     """(scan_id, frame_id, types): which selections a frame belongs to."""
     union = None
@@ -135,3 +172,19 @@ def diverse_cap(optional: DataFrame, slots: DataFrame) -> DataFrame:
     row = F.struct(*optional.columns)
     best = scored.groupBy("scan_id", "bucket").agg(F.max_by(row, F.struct("score", -F.col("pos"))).alias("r")).select("r.*")
     return fits.unionByName(best)
+
+
+def final_frames(typed: DataFrame, limit: int = cfg.TOTAL_FRAMES) -> DataFrame:
+    """At most ``limit`` frames per scan of the merged selection.
+
+    ``typed``: scan_id, frame_id, thumb, features, sharpness, types.  Anchor and loop frames must
+    stay; the others fill what is left by :func:`diverse_cap`.  Where the must-keep frames alone reach
+    the limit, loop frames go first, then anchors, then more features and sharpness, then earlier frames.
+    """
+    loop, anchor = (F.coalesce(F.array_contains("types", n), F.lit(False)) for n in ("loop", "anchor"))
+    marked = typed.withColumns({"is_loop": loop.cast("int"), "is_anchor": anchor.cast("int")})
+    must = (F.col("is_loop") + F.col("is_anchor")) > 0
+    slots = marked.groupBy("scan_id").agg((F.lit(limit) - F.count(F.when(must, 1))).alias("slots"))
+    order = [F.col(c).desc() for c in ("is_loop", "is_anchor", "features", "sharpness")] + [F.col("frame_id")]
+    kept = ordered_rank(marked.where(must), ["scan_id"], order, "pos").where(F.col("pos") <= limit).select(*typed.columns)
+    return kept.unionByName(diverse_cap(marked.where(~must).select(*typed.columns), slots))

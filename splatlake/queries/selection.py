@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from splatlake import config as cfg, fixtures as fx
 from splatlake.operators import ranking as rk, video as vd
+from splatlake.plans.frames import choose_frames
 from splatlake.queries import query
 
 
@@ -143,8 +144,30 @@ def w13(spark, sf):
     return vd.diverse_cap(v, slots).select("scan_id", "frame_id")
 
 
+def _described(spark, sf):
+    d = F.expr("transform(sequence(1, 40), i -> array(bigint(frame_id div 60) * 7919 * i + i, bigint(i) * i, bigint(frame_id % 3), bigint(i)))")
+    return _video(spark, sf).join(fx.view(spark, sf, "fx_video").select("scan_id", "frame_id", d.alias("descriptors")), ["scan_id", "frame_id"])
+
+
 @query("j17_loop_pairs")
 def j17(spark, sf):
-    d = F.expr("transform(sequence(1, 40), i -> array(bigint(frame_id div 60) * 7919 * i + i, bigint(i) * i, bigint(frame_id % 3), bigint(i)))")
-    pool = fx.view(spark, sf, "fx_video").where("features > 250").select("scan_id", "frame_id", d.alias("descriptors"))
-    return vd.loop_pairs(pool)
+    v = _described(spark, sf)
+    looks = v.drop("descriptors")
+    pool = vd.loop_pool(vd.anchor_candidates(looks), vd.loop_candidates(vd.continuity_frames(looks)))
+    return vd.loop_pairs(v.join(pool, ["scan_id", "frame_id"], "left_semi"))
+
+
+@query("u2_final_frames", fx.with_views("fx_video", sql="""
+t AS (SELECT *, (vec_id % 3 = 0) AS lp, (vec_id % 5 = 0) AS an FROM (SELECT *, frame_id // 3 AS vec_id FROM fx_video) q WHERE vec_id % 3 = 0 OR vec_id % 5 = 0)
+SELECT scan_id, frame_id FROM t QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY lp DESC, an DESC, features DESC, sharpness DESC, frame_id) <= 40"""))
+def u2_final(spark, sf):
+    n = F.expr("frame_id div 3")
+    types = F.array_compact(F.array(F.when(n % 3 == 0, F.lit("loop")), F.when(n % 5 == 0, F.lit("anchor")), F.when(n % 2 == 0, F.lit("continuity"))))
+    typed = _video(spark, sf).withColumn("types", types).where(F.size("types") > 0)
+    return vd.final_frames(typed, 40).select("scan_id", "frame_id")
+
+
+@query("plan_choose_frames")
+def choose(spark, sf):
+    out = choose_frames(_described(spark, sf), 30)
+    return out.select("scan_id", "frame_id", "features", F.array_join("types", ",").alias("types"))

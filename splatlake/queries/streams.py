@@ -163,14 +163,14 @@ def t5_stream(spark, sf):
 SELECT user_id AS object_id, CAST(max(event_id) AS BIGINT) AS edit_id, arg_max(event_type, event_id) AS state FROM events GROUP BY user_id""")
 def t6_stream(spark, sf):
     e = fx.table(spark, sf, "events").selectExpr("user_id AS object_id", "event_id AS edit_id", "event_type AS state")
-    s = jobs.latest_per_key(_stream(e, "t6"), ["object_id"], ["state"], "edit_id")
-    out = jobs.run_available(s, jobs.job_folder(e, "t6"), "object_id bigint, edit_id bigint, state string", mode="update")
-    return out.groupBy("object_id").agg(F.max("edit_id").alias("edit_id"), F.max_by("state", "edit_id").alias("state"))
+    last = lambda b: jobs.latest_per_key(b, ["object_id"], ["state"], "edit_id")
+    out = jobs.run_available(_stream(e, "t6"), jobs.job_folder(e, "t6"), "object_id bigint, edit_id bigint, state string", last)
+    return last(out)
 
 
 @query("t7_counter_stream", fx.with_views("fx_detections", sql="""
 SELECT scan_id, CAST(floor(frame_index / 8e0) * 8 AS INT) AS first_frame, label, count(*) AS n FROM fx_detections GROUP BY ALL"""))
 def t7_stream(spark, sf):
     d = fx.view(spark, sf, "fx_detections").select("scan_id", "frame_index", "label")
-    out = jobs.run_available(jobs.counters(_stream(d, "t7", "frame_index", (56, 112))), jobs.job_folder(d, "t7"), "scan_id string, first_frame int, label string, n bigint", mode="update")
-    return out.groupBy("scan_id", "first_frame", "label").agg(F.max("n").alias("n"))
+    out = jobs.run_available(_stream(d, "t7", "frame_index", (57, 112)), jobs.job_folder(d, "t7"), "scan_id string, first_frame int, label string, n bigint", jobs.counters)
+    return out.groupBy("scan_id", "first_frame", "label").agg(F.sum("n").alias("n"))

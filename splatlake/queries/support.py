@@ -34,6 +34,25 @@ def j14(spark, sf):
     return su.voxel_member(*_split(spark, sf), 0.08).select(*KEY, "supported")
 
 
+# three roles over the same points: sigma of the queries, spacing of a scan from its reference count
+@query("j14_voxel_levels", fx.with_views("fx_object_points", sql="""
+q AS (SELECT scan_id, point_id, x, y, z, (point_id % 50) / 500e0 AS sigma FROM fx_object_points WHERE point_id % 4 = 0), rf AS (SELECT scan_id, x, y, z FROM fx_object_points WHERE point_id % 4 <> 0),
+om AS (SELECT scan_id, min(x) AS ox, min(y) AS oy, min(z) AS oz FROM fx_object_points GROUP BY scan_id),
+sp AS (SELECT scan_id, 0.01e0 + count(*) % 7 / 400e0 AS sp FROM rf GROUP BY scan_id HAVING count(*) >= 8),
+qs AS (SELECT scan_id, quantile_cont(sigma, 0.5) FILTER (WHERE sigma > 0) AS med, quantile_cont(sigma, 0.99) AS p99 FROM q GROUP BY scan_id),
+gp AS (SELECT scan_id, greatest(sp, coalesce(med, 1e-3) * 0.5e0, 1e-5) AS gap, p99 FROM sp JOIN qs USING (scan_id)),
+lv AS (SELECT scan_id, gap, greatest(gap * 0.5e0, 1e-5) AS s0, len(list_filter(range(0, 11), lambda k: greatest(gap * 0.5e0, 1e-5) * pow(2, k) < (3 * gap + 3 * p99) * 0.5e0)) AS top FROM gp),
+ql AS (SELECT q.*, s0, CASE WHEN s0 IS NOT NULL THEN least(top, len(list_filter(range(0, 12), lambda k: 2 * s0 * pow(2, k) < 3 * gap + 3 * sigma))) END AS level FROM q LEFT JOIN lv USING (scan_id)),
+qc AS (SELECT ql.*, floor((x-ox)/(s0*pow(2,level))) AS i, floor((y-oy)/(s0*pow(2,level))) AS j, floor((z-oz)/(s0*pow(2,level))) AS k FROM ql JOIN om USING (scan_id)),
+rl AS (SELECT rf.*, s0, unnest(range(0, top + 1)) AS level FROM rf JOIN lv USING (scan_id)),
+rc AS (SELECT DISTINCT rl.scan_id, level, floor((x-ox)/(s0*pow(2,level))) AS i, floor((y-oy)/(s0*pow(2,level))) AS j, floor((z-oz)/(s0*pow(2,level))) AS k FROM rl JOIN om USING (scan_id))
+SELECT qc.scan_id, qc.point_id, CAST(qc.level AS INT) AS level, count(rc.i) > 0 AS supported FROM qc LEFT JOIN rc ON qc.scan_id = rc.scan_id AND qc.level = rc.level AND abs(qc.i - rc.i) <= 1 AND abs(qc.j - rc.j) <= 1 AND abs(qc.k - rc.k) <= 1 GROUP BY ALL"""))
+def j14_levels(spark, sf):
+    q, r = _split(spark, sf)
+    spacing = r.groupBy("scan_id").agg((F.lit(0.01) + F.count("*") % 7 / F.lit(400.0)).alias("spacing"))
+    return su.voxel_member_levels(q.withColumn("sigma", F.expr("(point_id % 50) / 500D")), r, spacing).select(*KEY, "level", "supported")
+
+
 @query("j15_voxel_count", fx.with_views("fx_object_points", sql=VOX.format(s=0.15) + """
 SELECT qc.scan_id, qc.point_id, count(nn.point_id) AS neighbors FROM qc LEFT JOIN nn ON nn.scan_id = qc.scan_id AND nn.point_id = qc.point_id GROUP BY ALL"""))
 def j15(spark, sf):
@@ -84,6 +103,37 @@ def a20(spark, sf):
     return out.withColumns({c: F.round(c, 5) for c in ("scale", "median_relative_error")})
 
 
+# the second reading: every other frame holds distances along the ray
+READ = """
+WITH b AS (SELECT 's' AS scan_id, CAST(l_suppkey AS INT) AS frame_index, CAST(l_orderkey % 120 AS INT) AS v, CAST(l_partkey % 160 AS INT) AS u, 1.0e0 + l_quantity / 10e0 AS z,
+  1.2e0 + (l_suppkey % 5) / 10e0 + l_discount * CASE WHEN l_suppkey % 7 = 0 THEN 20 ELSE 1 END AS k FROM lineitem),
+c AS (SELECT *, 1 / sqrt(1 + ((v - 60e0) / 70e0) * ((v - 60e0) / 70e0) + ((u - 80e0) / 80e0) * ((u - 80e0) / 80e0)) AS cs FROM b),
+p AS (SELECT scan_id, frame_index, z * k AS z_ref, CASE WHEN frame_index % 2 = 0 THEN z / cs ELSE z END AS depth, cs FROM c),
+t AS (SELECT scan_id, frame_index, 0 AS trial, depth, z_ref FROM p UNION ALL SELECT scan_id, frame_index, 1, depth * cs, z_ref FROM p),
+lg AS (SELECT *, ln(z_ref / depth) AS l FROM t), md AS (SELECT scan_id, frame_index, trial, count(*) AS n, median(l) AS m FROM lg GROUP BY ALL),
+mm AS (SELECT scan_id, frame_index, trial, median(abs(l - m)) AS mad FROM lg JOIN md USING (scan_id, frame_index, trial) GROUP BY ALL),
+sc AS (SELECT scan_id, frame_index, trial, exp(CASE WHEN max(mad) > 1e-8 AND count(*) FILTER (WHERE abs(l - m) <= 5.1891e0 * mad) >= 24 THEN median(l) FILTER (WHERE abs(l - m) <= 5.1891e0 * mad) ELSE max(m) END) AS scale
+  FROM lg JOIN md USING (scan_id, frame_index, trial) JOIN mm USING (scan_id, frame_index, trial) GROUP BY ALL),
+er AS (SELECT scan_id, frame_index, trial, median(abs(z_ref - depth * scale) / z_ref) AS err FROM t JOIN sc USING (scan_id, frame_index, trial) GROUP BY ALL),
+rs AS (SELECT scan_id, frame_index, trial, n AS overlap_pixels, CASE WHEN n >= 24 THEN scale END AS scale, CASE WHEN n >= 24 THEN err END AS err,
+  CASE WHEN n < 24 THEN 'insufficient_sparse_depth_overlap' WHEN err <= 0.25e0 THEN 'ok' ELSE 'depth_alignment_residual_too_large' END AS reason FROM md JOIN sc USING (scan_id, frame_index, trial) JOIN er USING (scan_id, frame_index, trial))"""
+
+
+@query("a20_calibrate_depth", READ + """
+SELECT scan_id, frame_index, CASE WHEN trial = 0 THEN 'native_camera_z' ELSE 'ray_distance_to_camera_z' END AS mode, round(scale, 5) AS scale, overlap_pixels, round(err, 5) AS median_relative_error, reason,
+  round(max(CASE WHEN trial = 0 THEN err END) OVER (PARTITION BY scan_id, frame_index), 5) AS native_error, round(max(CASE WHEN trial = 1 THEN err END) OVER (PARTITION BY scan_id, frame_index), 5) AS ray_error
+FROM rs QUALIFY row_number() OVER (PARTITION BY scan_id, frame_index ORDER BY reason <> 'ok', coalesce(err, 1e300), trial) = 1""")
+def a20_calibrate(spark, sf):
+    b = fx.table(spark, sf, "lineitem").selectExpr("'s' AS scan_id", "int(l_suppkey) AS frame_index", "int(l_orderkey % 120) AS v", "int(l_partkey % 160) AS u", "1D + l_quantity / 10D AS z",
+                                                   "1.2D + (l_suppkey % 5) / 10D + l_discount * CASE WHEN l_suppkey % 7 = 0 THEN 20 ELSE 1 END AS k")
+    ray = F.expr("sqrt(1 + ((v - 60D) / 70D) * ((v - 60D) / 70D) + ((u - 80D) / 80D) * ((u - 80D) / 80D))")
+    pairs = b.withColumn("depth", F.when(F.col("frame_index") % 2 == 0, F.col("z") * ray).otherwise(F.col("z"))).withColumn("z_ref", F.col("z") * F.col("k"))
+    cameras = b.select("scan_id", "frame_index").distinct().selectExpr("*", "80D AS fx", "70D AS fy", "80D AS cx", "60D AS cy")
+    out = cu.calibrate_depth(pairs, cameras)
+    return out.select("scan_id", "frame_index", "mode", "overlap_pixels", "reason", *[F.round(c, 5).alias(c) for c in ("scale", "median_relative_error")],
+                      F.round("candidate_errors.native_camera_z", 5).alias("native_error"), F.round("candidate_errors.ray_distance_to_camera_z", 5).alias("ray_error"))
+
+
 @query("a21_depth_gates", "WITH " + PAIRS + """
 SELECT 's' AS scan_id, round(avg(CASE WHEN n IS NULL THEN 0e0 ELSE 1e0 END), 6) AS depth_coverage, round(avg(CASE WHEN n >= 24 AND err <= 0.25e0 THEN 1e0 ELSE 0e0 END), 6) AS reliable_ratio,
  avg(CASE WHEN n IS NULL THEN 0e0 ELSE 1e0 END) >= 0.75e0 AND avg(CASE WHEN n >= 24 AND err <= 0.25e0 THEN 1e0 ELSE 0e0 END) >= 0.6e0 AS passed
