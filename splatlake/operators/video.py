@@ -162,11 +162,18 @@ class BucketPick:
 
 
 def diverse_cap(optional: DataFrame, slots: DataFrame) -> DataFrame:
-    """At most ``slots.slots`` frames per scan: one per equal bucket, different from the pick before."""
+    """At most ``slots.slots`` frames per scan: one per equal bucket, different from the pick before.
+
+    A bucket ends at its multiple of the size, rounded down as a double; a last frame that rounding
+    leaves behind the last bucket is not chosen.
+    """
     ranked = ordered_rank(optional, ["scan_id"], [F.col("frame_id")], "pos").join(slots, "scan_id").where("slots > 0")
     size = F.col("pos_total") / F.col("slots").cast("double")
     fits = ranked.where(F.col("pos_total") <= F.col("slots")).select(*optional.columns)
-    over = ranked.where(F.col("pos_total") > F.col("slots")).withColumn("bucket", (F.ceil(F.col("pos") / size) - 1).cast("bigint"))
+    near = F.ceil(F.col("pos") / size) - 1
+    ends = lambda b: F.floor((b + 1) * size) >= F.col("pos")
+    bucket = F.when(ends(near - 1), near - 1).when(ends(near), near).otherwise(near + 1).cast("bigint")
+    over = ranked.where(F.col("pos_total") > F.col("slots")).withColumn("bucket", bucket).where(F.col("bucket") < F.col("slots"))
     scored = stream_groups(over, ["scan_id"], [F.col("pos")], BucketPick,
                            lambda s, r: (s.score(r.bucket, r.thumb, r.features, r.sharpness),), ["score"], "score double")
     row = F.struct(*optional.columns)
