@@ -129,12 +129,12 @@ def masks_from_filenames(files: DataFrame, frames: DataFrame, label: str) -> Dat
     return f.join(best, ["scan_id", "path"], "left").select("scan_id", F.coalesce("frame_key", fallback).alias("frame_key"), "path").where("frame_key IS NOT NULL")
 
 
-def depth_index(files: DataFrame, directories: list[str], strict: bool = False) -> DataFrame:
-    """First depth file per frame key in directory order."""
+def depth_index(files: DataFrame, directories: list[str], strict: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """First depth file per frame key in directory order; ``by`` names columns, such as the scan, that keep equal names apart."""
     rank = F.coalesce(*[F.when(F.contains(F.col("path"), F.lit(f"/{d}/")), F.lit(i)) for i, d in enumerate(directories)])
     key = text.frame_key(F.col("path"), depth=True) if strict else text.normalize_key(F.col("path"))
-    f = files.where(F.lower("path").rlike(r"\.(npy|npz|png|tif|tiff|exr)$")).select(key.alias("frame_key"), "path", rank.alias("_r")).where("_r IS NOT NULL")
-    return f.groupBy("frame_key").agg(F.min_by("path", F.struct("_r", "path")).alias("path"))
+    f = files.where(F.lower("path").rlike(r"\.(npy|npz|png|tif|tiff|exr)$")).select(*by, key.alias("frame_key"), "path", rank.alias("_r")).where("_r IS NOT NULL")
+    return f.groupBy(*by, "frame_key").agg(F.min_by("path", F.struct("_r", "path")).alias("path"))
 
 
 def normalize_depth(depth: DataFrame, confidence: DataFrame | None = None, min_confidence: float = 0.05, integer: bool = True) -> DataFrame:
