@@ -95,11 +95,18 @@ def candidate_pairs(detections: DataFrame, max_gap: int = cfg.MAX_ANCHOR_GAP) ->
 
 
 def track_summary(associated: DataFrame) -> DataFrame:
-    """Anchor count, span and confidences per track; ``accepted`` when persistent or strong."""
+    """Anchor count, span and confidences per track; ``accepted`` when persistent or strong.
+
+    The mean is taken over decimals of 12 places, so it does not depend on the order of the rows and
+    equal means tie; values that do not fit (not finite, 10^8 or more) leave the plain mean.
+    """
     first = F.min(F.struct("frame_index", "x1"))
+    c = F.col("confidence")
+    exact = c.try_cast("decimal(20,12)")
+    mean = F.when(F.count(exact) == F.count(c), F.sum(exact).cast("double") / F.count(c)).otherwise(F.avg(c))
     s = associated.groupBy(*KEY, "temp_track").agg(
         F.count("*").alias("anchor_count"), F.min("frame_index").alias("first_anchor_frame"),
-        F.max("frame_index").alias("last_anchor_frame"), F.avg("confidence").alias("mean_conf"),
+        F.max("frame_index").alias("last_anchor_frame"), mean.alias("mean_conf"),
         F.max("confidence").alias("max_conf"), first["x1"].alias("first_x1"),
     )
     keep = (F.col("anchor_count") >= cfg.TRACK_MIN_ANCHORS) | (F.col("max_conf") >= cfg.TRACK_STRONG_SINGLE)

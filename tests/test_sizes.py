@@ -3,6 +3,7 @@
 import duckdb
 
 from splatlake import queries
+from splatlake.operators import tracks as tr
 
 queries.load()
 
@@ -24,3 +25,11 @@ def test_equal_file_names_of_several_parts(spark, tmp_path):
 def test_final_frames_of_a_short_scan(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT i AS vec_id, [0.1, 0.2] AS embedding FROM range(56) r(i)) TO '{tmp_path}/embeddings.parquet'")
     same_as_sql(spark, tmp_path, "u2_final_frames", ["embeddings"])
+
+
+def test_mean_confidence_ignores_row_order(spark):
+    rows = [("s", "bed", t, f, float(f), c) for t, cs in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1))) for f, c in enumerate(cs)]
+    rows.append(("s", "bed", 3, 0, 0.0, float("nan")))
+    d = spark.createDataFrame(rows, "scan_id string, label string, temp_track int, frame_index int, x1 double, confidence double").coalesce(1)
+    got = {r.temp_track: r.mean_conf for r in tr.track_summary(d).collect()}
+    assert got[1] == got[2] == 0.6 / 3 and got[3] != got[3]
