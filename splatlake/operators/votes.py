@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from splatlake.operators.quantiles import attach, exact_quantiles
 from splatlake import config as cfg
 from splatlake.functions import weights
 from splatlake.operators import masks as ma
+from splatlake.operators.projection import min_filter
 
 POINT = ["scan_id", "point_id"]
 
@@ -82,34 +87,55 @@ def static_weights(masks: DataFrame, areas: DataFrame, width: int, height: int)
     ).withColumn("static_weight", F.col("label_frequency_weight") * F.col("mask_area_weight") * F.col("role_weight"))
 
 
-def foreground_support(masks: DataFrame, runs: DataFrame, surface: DataFrame, width: int, height: int) -> DataFrame:
+def foreground_support(masks: DataFrame, runs: DataFrame, surface: DataFrame, width: int, height: int, radius: int = 0) -> DataFrame:
     """Is an object mask nearer than the ring around it?  One row per object mask.
 
-    Exempt labels pass with reason ``not_required_for_label``; masks with too few depth pixels pass
-    with ``insufficient_valid_depth_for_check``.
+    ``surface`` is the nearest depth per pixel; ``radius`` adds its square minimum filter.  Exempt
+    labels pass with reason ``not_required_for_label``; masks with too few depth pixels pass with
+    ``insufficient_valid_depth_for_check``.  A frame's depth pixels meet its zones as one image, so
+    neither the filtered surface nor the pixels of the zones become rows.
     """
     keys = ["scan_id", "frame_index", "mask_id"]
     objects = masks.where(~weights.is_surface(F.col("label")))
     checked = objects.where(~F.col("label").isin(cfg.FOREGROUND_EXEMPT)).select(*keys, "label")
     inside = runs.join(checked.select(*keys), keys, "left_semi")
-    ring = ma.subtract_runs(
-        ma.dilate(inside, keys, cfg.FOREGROUND_RING, width, height), inside, keys, keys
-    )
-    zone = inside.select(*keys, "y", "x0", "x1", F.lit(True).alias("inner")).unionByName(
-        ring.select(*keys, "y", "x0", "x1", F.lit(False).alias("inner"))
-    )
-    tile = 64
-    depth = surface.where((F.col("z_ref") > cfg.NEAR_M) & (F.col("z_ref") < cfg.FAR_M)).select(
-        "scan_id", "frame_index", F.col("v").alias("y"), "u", "z_ref", F.floor(F.col("u") / tile).cast("int").alias("tile")
-    )
-    zones = zone.withColumn("tile", F.explode(F.sequence(F.floor(F.col("x0") / tile).cast("int"), F.floor((F.col("x1") - 1) / tile).cast("int"))))
-    px = zones.join(depth, ["scan_id", "frame_index", "y", "tile"]).where((F.col("u") >= F.col("x0")) & (F.col("u") < F.col("x1")))
-    stats = px.groupBy(*keys).agg(
-        F.count(F.when(F.col("inner"), 1)).alias("inside_valid_pixels"),
-        F.count(F.when(~F.col("inner"), 1)).alias("ring_valid_pixels"),
-        F.percentile(F.when(F.col("inner"), F.col("z_ref")), F.lit(cfg.FOREGROUND_PERCENTILE)).alias("inside_depth_m"),
-        F.median(F.when(~F.col("inner"), F.col("z_ref"))).alias("ring_depth_m"),
-    )
+    types = {f.name: f.dataType.simpleString() for f in masks.schema}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", inside_valid_pixels bigint, ring_valid_pixels bigint, inside_depth_m double, ring_depth_m double"
+
+    def quantile(z: np.ndarray, q: float) -> float | None:
+        if not len(z):
+            return None
+        place = q * (len(z) - 1)
+        lo, hi = math.floor(place), math.ceil(place)
+        z = np.partition(z, (lo, hi))
+        return float(z[lo]) if lo == hi else float((hi - place) * z[lo] + (place - lo) * z[hi])
+
+    def grow(shape: np.ndarray, r: int) -> np.ndarray:
+        for axis in (0, 1):  # a window holds a pixel where the running count rises inside it
+            n = np.cumsum(np.pad(shape, [(r + 1, r) if k == axis else (0, 0) for k in (0, 1)]), axis=axis, dtype=np.int32)
+            size = shape.shape[axis]
+            shape = n.take(range(2 * r + 1, 2 * r + 1 + size), axis) > n.take(range(size), axis)
+        return shape
+
+    def measure(key: tuple, zones: pd.DataFrame, depth: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(zones) and len(depth):
+            v, u = depth["v"].to_numpy(), depth["u"].to_numpy()
+            image = min_filter(v, u, depth["z_ref"].to_numpy(), max(width, int(u.max()) + 1), max(height, int(v.max()) + 1), radius)
+            valid = (image > cfg.NEAR_M) & (image < cfg.FAR_M)
+            for mask, part in zones.groupby("mask_id", sort=False):
+                shape = np.zeros(image.shape, dtype=bool)
+                for y, x0, x1 in zip(part["y"], part["x0"], part["x1"]):
+                    shape[y, x0:x1] = True
+                ring = grow(shape[:height, :width], cfg.FOREGROUND_RING) & ~shape[:height, :width]
+                z_in, z_ring = image[shape & valid], image[:height, :width][ring & valid[:height, :width]]
+                if len(z_in) or len(z_ring):
+                    out.append((*key, mask, len(z_in), len(z_ring), quantile(z_in, cfg.FOREGROUND_PERCENTILE), quantile(z_ring, 0.5)))
+        return pd.DataFrame(out, columns=[*keys, "inside_valid_pixels", "ring_valid_pixels", "inside_depth_m", "ring_depth_m"])
+
+    frame = ["scan_id", "frame_index"]
+    zone = inside.where((F.col("y") >= 0) & (F.col("y") < height)).select(*keys, "y", F.greatest("x0", F.lit(0)).alias("x0"), "x1")
+    stats = zone.groupBy(*frame).cogroup(surface.select(*frame, "v", "u", "z_ref").groupBy(*frame)).applyInPandas(measure, schema)
     out = objects.select(*keys, "label").join(stats, keys, "left")
     zero = F.lit(0).cast("bigint")
     n_in, n_ring = F.coalesce("inside_valid_pixels", zero), F.coalesce("ring_valid_pixels", zero)

@@ -44,12 +44,12 @@ def label_points(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: D
 
     framed = frames.join(masks.select("scan_id", "frame_index").distinct(), ["scan_id", "frame_index"], "left_semi")
     projected = keep(pj.project_points(points.select("scan_id", "point_id", "radius", "x", "y", "z"), framed).drop("x", "y", "z"))
-    surface = keep(pj.zbuffer(projected, cfg.ZBUFFER_RADIUS))
+    nearest = keep(pj.zbuffer(projected))
 
     r = runs.join(masks.select(*MASK, "label"), MASK).select(*MASK, "label", "y", "x0", "x1") if "label" not in runs.columns else runs
     grown = keep(ma.dilate(r, [*MASK, "label"], weights.mask_dilation(F.col("label")), width, height))
     prepared = vt.static_weights(masks, ma.pixel_count(grown, MASK), width, height)
-    foreground = vt.foreground_support(masks, grown, surface, width, height)
+    foreground = keep(vt.foreground_support(masks, grown, nearest, width, height, cfg.ZBUFFER_RADIUS))  # one row per mask, read twice below
 
     surface_label = weights.is_surface(F.col("label"))
     objects = grown.where(~surface_label).join(
@@ -60,7 +60,7 @@ def label_points(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: D
     structure = ma.subtract_runs(grown.where(surface_label), blocked, ["scan_id", "frame_index"], MASK)
     usable = objects.select(*MASK, "y", "x0", "x1").unionByName(structure)
 
-    seen = pj.zbuffer_visible(projected, surface)
+    seen = pj.zbuffer_visible(projected, pj.zbuffer(projected, cfg.ZBUFFER_RADIUS, occupied=True))
     if depth is not None:
         seen = pj.depth_match(seen, depth, depth_size)
         visible = pj.visibility(seen, "hybrid")
@@ -74,7 +74,7 @@ def label_points(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: D
     votes = vt.first_claim(cover, prepared, heights, limits)
     totals = vt.vote_totals(votes)
     labels = vt.final_labels(vt.structural_cleanup(vt.winner(totals), heights, limits))
-    return Labelling(projected, surface, prepared, foreground, usable, visible, cover, votes, limits, heights, totals, labels)
+    return Labelling(projected, pj.zbuffer(projected, cfg.ZBUFFER_RADIUS), prepared, foreground, usable, visible, cover, votes, limits, heights, totals, labels)
 
 
 def center_vote_labels(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: DataFrame, width: int, height: int) -> DataFrame:

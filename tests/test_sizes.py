@@ -1,9 +1,12 @@
 """Faults that show only at other sizes, on small inputs that bring them out."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from splatlake import queries
-from splatlake.operators import tracks as tr
+from splatlake.operators import projection as pj, tracks as tr, votes as vt
 
 queries.load()
 
@@ -33,3 +36,41 @@ def test_mean_confidence_ignores_row_order(spark):
     d = spark.createDataFrame(rows, "scan_id string, label string, temp_track int, frame_index int, x1 double, confidence double").coalesce(1)
     got = {r.temp_track: r.mean_conf for r in tr.track_summary(d).collect()}
     assert got[1] == got[2] == 0.6 / 3 and got[3] != got[3]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _pixels(spark):
+    rnd = random.Random(3)
+    rows = [("s", 0, rnd.randrange(40), rnd.randrange(60), rnd.uniform(1, 9), 60, 40) for _ in range(300)]
+    return spark.createDataFrame(rows, "scan_id string, frame_index int, v int, u int, depth double, width int, height int")
+
+
+def test_filtered_depth_at_points_only(spark):
+    p = _pixels(spark)
+    held = {(r.v, r.u) for r in p.collect()}
+    full = {(r.v, r.u): r.z_ref for r in pj.zbuffer(p, 2).collect()}
+    got = {(r.v, r.u): r.z_ref for r in pj.zbuffer(p, 2, occupied=True).collect()}
+    assert got == {k: full[k] for k in held} and len(full) > 2 * len(held)
+
+
+def test_foreground_filters_the_surface_itself(spark):
+    p = _pixels(spark)
+    masks = spark.createDataFrame([("s", 0, 1, "bed"), ("s", 0, 2, "desk"), ("s", 0, 3, "wall")], "scan_id string, frame_index int, mask_id bigint, label string")
+    runs = spark.createDataFrame([("s", 0, m, y, x, x + 14) for m, x, y0 in ((1, 5, 5), (2, 44, 20), (3, 0, 0)) for y in range(y0, y0 + 12)],
+                                 "scan_id string, frame_index int, mask_id bigint, y int, x0 int, x1 int")
+    a = vt.foreground_support(masks, runs, pj.zbuffer(p), 60, 40, radius=2).orderBy("mask_id").collect()
+    b = vt.foreground_support(masks, runs, pj.zbuffer(p, 2), 60, 40).orderBy("mask_id").collect()
+    surface = {(r.v, r.u) for r in pj.zbuffer(p, 2).collect()}
+    inside = {(y, x) for y in range(5, 17) for x in range(5, 19)}
+    ring = {(y, x) for y in range(0, 27) for x in range(0, 29)} - inside
+    assert a == b and len(a) == 2
+    assert (a[0].inside_valid_pixels, a[0].ring_valid_pixels) == (len(inside & surface), len(ring & surface))
+
+
+def test_generated_runs_are_not_broadcast(spark):
+    p = _pixels(spark).withColumn("point_id", F.lit(1))
+    runs = spark.createDataFrame([("s", 0, 1, 1, 0, 9)], "scan_id string, frame_index int, mask_id bigint, y int, x0 int, x1 int")
+    assert "Broadcast" not in plan_of(pj.center_in_mask(p, runs))
