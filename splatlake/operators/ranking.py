@@ -30,12 +30,11 @@ def hash_sample(df: DataFrame, keys: list[str], id_col: str, n: int, seed: int =
 
 
 def _picked(df: DataFrame, keys: list[str], order: list[Column], k: int, position: str) -> DataFrame:
-    ranked = ordered_rank(df, keys, order, "_r")
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    wanted = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(
-        *keys, (F.expr(position.format(k=k)).cast("bigint") + 1).alias("_r")).distinct()
-    chosen = ranked.where(F.col("_r_total") > k).join(wanted, [*keys, "_r"], "left_semi")
-    return chosen.unionByName(ranked.where(F.col("_r_total") <= k)).drop("_r", "_r_total")
+    """Rows at the ``k`` positions of each key; only the steps that can hit a row are tried at it, so no list of positions is made."""
+    ranked = ordered_rank(df, keys, order, "_r").withColumn("n", F.col("_r_total"))
+    near = f"bigint(floor((_r - 1) * {k - 1}D / greatest(n - 1, 1)))"
+    hit = f"n <= {k} OR exists(sequence(greatest(0L, {near} - 2), least({k - 1}L, {near} + 2)), i -> bigint({position.format(k=k)}) = _r - 1)"
+    return ranked.where(hit).select(*df.columns)
 
 
 def uniform_pick(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from splatlake import queries
-from splatlake.operators import projection as pj, tracks as tr, votes as vt
+from splatlake.operators import projection as pj, ranking as rk, tracks as tr, votes as vt
 
 queries.load()
 
@@ -74,3 +74,10 @@ def test_generated_runs_are_not_broadcast(spark):
     p = _pixels(spark).withColumn("point_id", F.lit(1))
     runs = spark.createDataFrame([("s", 0, 1, 1, 0, 9)], "scan_id string, frame_index int, mask_id bigint, y int, x0 int, x1 int")
     assert "Broadcast" not in plan_of(pj.center_in_mask(p, runs))
+
+
+def test_picks_make_no_list_of_positions(spark):
+    f = spark.range(263).select(F.lit("s").alias("scan_id"), F.col("id").alias("frame_index"))
+    for pick, k in ((rk.uniform_pick, 180), (rk.linspace_pick, 32), (rk.linspace_pick, 262), (rk.linspace_pick, 300), (rk.linspace_pick, 1)):
+        out = pick(f, ["scan_id"], [F.col("frame_index")], k)
+        assert "Generate" not in plan_of(out) and out.count() == min(k, 263)
