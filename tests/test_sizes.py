@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from splatlake import queries
-from splatlake.operators import projection as pj, ranking as rk, tracks as tr, votes as vt
+from splatlake.operators import cleanup as cu, components as co, projection as pj, ranking as rk, tracks as tr, votes as vt
 
 queries.load()
 
@@ -81,3 +81,18 @@ def test_picks_make_no_list_of_positions(spark):
     for pick, k in ((rk.uniform_pick, 180), (rk.linspace_pick, 32), (rk.linspace_pick, 262), (rk.linspace_pick, 300), (rk.linspace_pick, 1)):
         out = pick(f, ["scan_id"], [F.col("frame_index")], k)
         assert "Generate" not in plan_of(out) and out.count() == min(k, 263)
+
+
+def test_planes_and_walk_are_not_broadcast(spark):
+    cells = spark.range(12).selectExpr("'s' AS scan_id", "int(id) AS ci", "0 AS cj", "0 AS ck")
+    seen = []
+    co_join, cu_join = co.spread_join, cu.spread_join
+    try:
+        co.spread_join = cu.spread_join = lambda *a: seen.append(plan_of(co_join(*a))) or co_join(*a)
+        far = co.nearest_occupied(cells, cells.where("ci = 0"), ["scan_id"]).agg(F.max("dist")).first()[0]
+        pts = spark.range(40).selectExpr("'s' AS scan_id", "id AS point_id", "id AS seed_id", "(id % 7) / 7D AS x", "(id % 5) / 5D AS y", "0D AS z", "0.01D AS sigma")
+        keep = cu.robust_plane(pts, pts, spark.sql("SELECT 's' AS scan_id, 0.04D AS spacing"), ["scan_id"])[0]
+        assert far == 11 and keep.where("keep").count() == 40
+    finally:
+        co.spread_join, cu.spread_join = co_join, cu_join
+    assert len(seen) > 4 and not any("BroadcastHashJoin" in p.splitlines()[1] for p in seen)
