@@ -5,11 +5,14 @@ Work is keyed by (mask, image row) or (frame, image row), which the image size b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from splatlake import config as cfg
+from splatlake.operators import run_images as ri
 from splatlake.operators.skew import spread_join
 
 
@@ -28,14 +31,45 @@ def union_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     return island.groupBy(*keys, "y", "_island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_island")
 
 
+def _plain(runs: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    at = [F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")]
+    return runs.select(*keys, *at, *more).where("y IS NOT NULL AND x0 < x1")
+
+
+def _images(runs: DataFrame, keys: list[str], width: int, height: int, shape: Callable) -> DataFrame:
+    """``shape(lines, p0, p1)`` of the united runs of every image that ``keys`` name."""
+    lines = ri.Lines(width, height)
+
+    def unite(image, c, images):
+        return _rows(lines, *ri.union(*lines.place(image, c["y"], c["x0"], c["x1"])))
+
+    def work(image, c, images):
+        return _rows(lines, *shape(lines, *ri.union(*lines.place(image, c["y"], c["x0"], c["x1"]))))
+
+    return ri.by_image(_plain(runs, keys), keys, [], work, "y int, x0 int, x1 int", unite)
+
+
+def _rows(lines: ri.Lines, p0: np.ndarray, p1: np.ndarray) -> tuple:
+    image, y, x0, x1 = lines.runs(p0, p1)
+    return image, {"y": y.astype("int32"), "x0": x0.astype("int32"), "x1": x1.astype("int32")}
+
+
 def dilate(runs: DataFrame, keys: list[str], radius: Column | int, width: int, height: int) -> DataFrame:
-    """Square dilation; ``radius`` may be a column of the run table."""
+    """Square dilation; ``radius`` may be a column of the run table.
+
+    Runs meet by image before they are grown: grown rows would multiply what is shuffled and sorted.
+    """
+    lines = ri.Lines(width, height)
     r = F.lit(radius) if isinstance(radius, int) else radius
-    grown = runs.select(
-        *keys, F.explode(F.sequence(F.greatest(F.col("y") - r, F.lit(0)), F.least(F.col("y") + r, F.lit(height - 1)))).alias("y"),
-        F.greatest(F.col("x0") - r, F.lit(0)).alias("x0"), F.least(F.col("x1") + r, F.lit(width)).alias("x1"),
-    )
-    return union_runs(grown, keys)
+
+    def work(image, c, images):
+        return _rows(lines, *lines.dilate(image, c["y"].astype("int64"), c["x0"], c["x1"], c["_r"]))
+
+    def fold(image, c, images):
+        at, grown = work(image, c, images)
+        return at, {**grown, "_r": np.zeros(len(at), dtype="int32")}
+
+    return ri.by_image(_plain(runs, keys, r.cast("int").alias("_r")).where("_r IS NOT NULL"), keys, [], work, "y int, x0 int, x1 int", fold)
 
 
 def _gaps(merged: DataFrame, keys: list[str], lo: int, hi: int) -> DataFrame:
@@ -62,16 +96,22 @@ def complement(runs: DataFrame, masks: DataFrame, keys: list[str], width: int, h
 
 
 def erode(runs: DataFrame, masks: DataFrame, keys: list[str], radius: int, width: int, height: int) -> DataFrame:
-    """Square erosion; the frame border does not erode."""
-    outside = dilate(complement(runs, masks, keys, width, height), keys, radius, width, height)
-    return complement(outside, masks, keys, width, height)
+    """Square erosion; the frame border does not erode.  Masks without runs stay empty, so ``masks`` is not read."""
+    return _images(runs, keys, width, height, lambda lines, p0, p1: lines.erode(p0, p1, radius))
 
 
 def close_open(runs, masks, keys, width, height, close=cfg.STRUCTURE_CLOSE, open_=cfg.STRUCTURE_OPEN) -> DataFrame:
-    """Morphological close, then open, with odd square kernels."""
+    """Morphological close, then open, with odd square kernels; all four steps on an image at once."""
     c, o = close // 2, open_ // 2
-    closed = erode(dilate(runs, keys, c, width, height), masks, keys, c, width, height)
-    return dilate(erode(closed, masks, keys, o, width, height), keys, o, width, height)
+
+    def grow(lines, p0, p1, radius):
+        return lines.dilate(*lines.runs(p0, p1), radius)
+
+    def shape(lines, p0, p1):
+        closed = lines.erode(*grow(lines, p0, p1, c), c)
+        return grow(lines, *lines.erode(*closed, o), o)
+
+    return _images(runs, keys, width, height, shape)
 
 
 def subtract_runs(a: DataFrame, b: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
@@ -149,77 +189,12 @@ def pyramid(runs: DataFrame, keys: list[str], size: tuple[int, int], factors: tu
 
 # --- components of one mask: a mask is bounded by its image, so it is a safe unit of work ---
 
-def _run_components(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
-    """8-connected component number per run (runs sorted by y, x0)."""
-    parent = list(range(len(y)))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    starts = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
-    bounds = np.r_[starts, len(y)]
-    for k in range(1, len(starts)):
-        if y[bounds[k]] != y[bounds[k - 1]] + 1:
-            continue
-        i, j = bounds[k - 1], bounds[k]
-        while i < bounds[k] and j < bounds[k + 1]:
-            if x0[i] <= x1[j] and x0[j] <= x1[i]:
-                a, b = find(i), find(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            if x1[i] < x1[j]:
-                i += 1
-            else:
-                j += 1
-    return np.array([find(i) for i in range(len(y))], dtype=np.int64)
-
-
 def _raster_runs(mask: np.ndarray):
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     y, x0 = np.nonzero(edge == 1)
     return y, x0, np.nonzero(edge == -1)[1]
 
 
-def _clean(y, x0, x1, width, height, keep, ratio, max_hole):
-    """Largest components, small holes filled: runs out plus the summary values."""
-    order = np.lexsort((x0, y))
-    y, x0, x1 = y[order], x0[order], x1[order]
-    size = x1 - x0
-    total = int(size.sum())
-    comp = _run_components(y, x0, x1)
-    ids, inverse = np.unique(comp, return_inverse=True)
-    areas = np.bincount(inverse, weights=size).astype(np.int64)
-    rank = np.lexsort((-ids, -areas))
-    minimum = max(cfg.MIN_COMPONENT_PIXELS, int(round(total * ratio)))
-    chosen = [i for i in rank[:keep] if areas[i] >= minimum]
-    stay = np.isin(inverse, chosen)
-    info = {
-        "component_count": len(ids), "largest_component_ratio": float(areas.max() / total),
-        "kept_component_count": len(chosen), "filled_hole_count": 0, "filled_hole_pixels": 0,
-    }
-    y, x0, x1 = y[stay], x0[stay], x1[stay]
-    if max_hole > 0 and len(y):
-        raster = np.zeros((height, width), dtype=bool)
-        for a, b, c in zip(y, x0, x1):
-            raster[a, b:c] = True
-        hy, h0, h1 = _raster_runs(~raster)
-        if len(hy):
-            hole = _run_components(hy, h0, h1)
-            outer = np.unique(hole[(hy == 0) | (hy == height - 1) | (h0 == 0) | (h1 == width)])
-            hid, hinv = np.unique(hole, return_inverse=True)
-            harea = np.bincount(hinv, weights=h1 - h0).astype(np.int64)
-            fill = ~np.isin(hid, outer) & (harea <= max_hole)
-            info["filled_hole_count"], info["filled_hole_pixels"] = int(fill.sum()), int(harea[fill].sum())
-            if fill.any():
-                for a, b, c in zip(hy[fill[hinv]], h0[fill[hinv]], h1[fill[hinv]]):
-                    raster[a, b:c] = True
-                y, x0, x1 = _raster_runs(raster)
-    return y, x0, x1, info
-
-
 _INFO = ("component_count int, largest_component_ratio double, kept_component_count int, "
          "filled_hole_count int, filled_hole_pixels int")
 
@@ -227,19 +202,22 @@ _INFO = ("component_count int, largest_component_ratio double, kept_component_co
 def clean_components(runs: DataFrame, keys: list[str], width: int, height: int, keep=cfg.MAX_COMPONENTS,
                      ratio=cfg.MIN_COMPONENT_RATIO, max_hole=cfg.MAX_HOLE_PIXELS) -> DataFrame:
     """Largest components of each mask with small enclosed holes filled, plus summary columns."""
-    types = ", ".join(f"`{k}` {runs.schema[k].dataType.simpleString()}" for k in keys)
+    lines = ri.Lines(width, height)
+
+    def unite(image, c, images):
+        return _rows(lines, *ri.union(*lines.place(image, c["y"], c["x0"], c["x1"])))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x0, x1, info = _clean(
-            pdf["y"].to_numpy(), pdf["x0"].to_numpy(), pdf["x1"].to_numpy(), width, height, keep, ratio, max_hole
-        )
-        out = pd.DataFrame({"y": y, "x0": x0, "x1": x1})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out.assign(**info)[[*keys, "y", "x0", "x1", *info]]
+    def work(image, c, images):
+        united = ri.union(*lines.place(image, c["y"], c["x0"], c["x1"]))
+        p0, p1, info = lines.clean(*united, images, keep, ratio, cfg.MIN_COMPONENT_PIXELS, max_hole)
+        at, out = _rows(lines, p0, p1)
+        return at, {**out, **{n: _typed(v[at]) for n, v in info.items()}}
 
-    merged = union_runs(runs, keys)
-    return merged.groupBy(*keys).applyInPandas(work, f"{types}, y int, x0 int, x1 int, {_INFO}")
+    return ri.by_image(_plain(runs, keys), keys, [], work, f"y int, x0 int, x1 int, {_INFO}", unite)
+
+
+def _typed(values: np.ndarray) -> np.ndarray:
+    return values if values.dtype.kind == "f" else values.astype("int32")
 
 
 def own_pixels(candidates: DataFrame, runs: DataFrame, width: int, height: int,
@@ -250,46 +228,65 @@ def own_pixels(candidates: DataFrame, runs: DataFrame, width: int, height: int,
     run, or one row with null runs and a reason for a rejected candidate.  A frame is bounded by
     its image and its candidates, so frames are the parallel unit.
     """
-    keys = ["scan_id", "frame_index", "mask_id"]
-    packed = union_runs(runs, keys).join(candidates.select(*keys, "rank_score", "ordinal"), keys)
+    keys, frame = ["scan_id", "frame_index", "mask_id"], ["scan_id", "frame_index"]
+    lines = ri.Lines(width, height)
+    best = W.partitionBy(*frame).orderBy(F.col("rank_score").desc_nulls_last(), F.col("ordinal").asc_nulls_last(), "mask_id")
+    places = candidates.select(*keys, F.nanvl("rank_score", F.lit(None).cast("double")).alias("rank_score"), "ordinal").dropDuplicates(keys).select(
+        *keys, F.row_number().over(best).alias("place"))
+    # places travel as rows without a run, so runs are shuffled once and met in their frame
+    rows = _plain(runs, keys).withColumn("place", F.lit(None).cast("int")).unionByName(places, allowMissingColumns=True)
+    rows = rows.select(*frame, "mask_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("y", "x0", "x1", "place")]).withColumn(
+        "_mask", F.xxhash64("mask_id"))
     mask_type = runs.schema["mask_id"].dataType.simpleString()
-    schema = (f"scan_id string, frame_index int, mask_id {mask_type}, y int, x0 int, x1 int, "
-              "remaining_after_overlap double, rejection_reason string, " + _INFO)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken = np.zeros((height, width), dtype=bool)
-        groups = {m: g for m, g in pdf.groupby("mask_id", sort=False)}
-        head = pdf.drop_duplicates("mask_id").sort_values(["rank_score", "ordinal"], ascending=[False, True])
+    schema = f"mask_id {mask_type}, y int, x0 int, x1 int, remaining_after_overlap double, rejection_reason string, {_INFO}"
+    info_names = [c.strip().split()[0] for c in _INFO.split(",")]
+
+    def work(image, c, images):
+        listed = c["place"] > 0
+        # the rows of a mask follow each other, the one with its place first
+        group = np.cumsum(np.r_[True, (image[1:] != image[:-1]) | (c["_mask"][1:] != c["_mask"][:-1])]) - 1
+        place, at_row, of_frame = (np.zeros(group[-1] + 1, dtype="int64") for _ in range(3))
+        place[group[listed]], at_row[group[listed]], of_frame[group] = c["place"][listed], np.flatnonzero(listed), image
+        use = ~listed & (place[group] > 0)
+        image, group, y, x0, x1 = image[use], group[use], c["y"][use], c["x0"][use], c["x1"][use]
+        owned = place[group]
+        order = np.argsort(owned, kind="stable")
+        bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(owned[order]) > 0]), len(order)] if len(order) else np.zeros(1, dtype="int64")
+        taken = (np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64"))
         parts = []
-        for mask_id in head["mask_id"]:
-            g = groups[mask_id]
-            raster = np.zeros((height, width), dtype=bool)
-            for a, b, c in zip(g["y"], g["x0"], g["x1"]):
-                raster[a, b:c] = True
-            original = int(raster.sum())
-            raster &= ~taken
-            left = raster.sum() / max(1, original)
-            base = {"mask_id": mask_id, "remaining_after_overlap": float(left)}
-            if left < min_remaining:
-                parts.append(pd.DataFrame([{**base, "rejection_reason": "overlap_dominated"}]))
-                continue
-            y, x0, x1, info = _clean(*_raster_runs(raster), width, height, cfg.MAX_COMPONENTS,
-                                     cfg.MIN_COMPONENT_RATIO, cfg.MAX_HOLE_PIXELS)
-            if not len(y):
-                parts.append(pd.DataFrame([{**base, "rejection_reason": "empty_after_overlap"}]))
-                continue
-            for a, b, c in zip(y, x0, x1):
-                taken[a, b:c] = True
-            parts.append(pd.DataFrame({"y": y, "x0": x0, "x1": x1}).assign(**base, **info))
-        out = pd.concat(parts, ignore_index=True)
-        out["scan_id"], out["frame_index"] = pdf["scan_id"].iloc[0], pdf["frame_index"].iloc[0]
-        out = out.reindex(columns=[c.strip().split()[0] for c in schema.split(",")])
-        for c in ("y", "x0", "x1", "component_count", "kept_component_count", "filled_hole_count", "filled_hole_pixels"):
-            out[c] = out[c].astype("Int32")
-        out["rejection_reason"] = out["rejection_reason"].astype(object).where(out["rejection_reason"].notna(), None)
-        return out
-
-    return packed.groupBy("scan_id", "frame_index").applyInPandas(work, schema)
+        # the n-th candidates of all frames at once: one mask of a frame at a time
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            pick = order[lo:hi]
+            mine = np.zeros(images, dtype="int64")
+            mine[image[pick]] = group[pick]
+            full = ri.union(*lines.place(image[pick], y[pick], x0[pick], x1[pick]))
+            here = np.unique(lines.image(full[0]))
+            p0, p1 = ri.union(*ri.subtract(full, taken))
+            original = np.bincount(lines.image(full[0]), full[1] - full[0], images)
+            left = np.bincount(lines.image(p0), p1 - p0, images) / np.maximum(original, 1)
+            passed = left >= min_remaining
+            stay = passed[lines.image(p0)]
+            p0, p1, info = lines.clean(p0[stay], p1[stay], images, cfg.MAX_COMPONENTS, cfg.MIN_COMPONENT_RATIO, cfg.MIN_COMPONENT_PIXELS, cfg.MAX_HOLE_PIXELS)
+            taken = ri.union(np.concatenate([taken[0], p0]), np.concatenate([taken[1], p1]))
+            at, runs_ = _rows(lines, p0, p1)
+            parts.append({"mask": mine[at], **runs_, "remaining_after_overlap": left[at], "reason": np.zeros(len(at), dtype="int8"),
+                          **{n: _typed(v[at]) for n, v in info.items()}})
+            lost = here[~np.isin(here, at)]
+            parts.append({"mask": mine[lost], **{n: np.zeros(len(lost), dtype="int32") for n in ("y", "x0", "x1")}, "remaining_after_overlap": left[lost],
+                          "reason": np.where(passed[lost], 2, 1).astype("int8"), **{n: np.zeros(len(lost), dtype=v.dtype) for n, v in info.items()}})
+        names = ["mask", "y", "x0", "x1", "remaining_after_overlap", "reason", *info_names]
+        out = {n: np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, dtype="int64") for n in names}
+        rejected = out["reason"] > 0
+        made = {"mask_id": at_row[out["mask"]]}
+        for n in ("y", "x0", "x1", "remaining_after_overlap", *info_names):
+            kind = pa.float64() if n.startswith(("remaining", "largest")) else pa.int32()
+            made[n] = pa.array(out[n], kind, mask=None if n.startswith("remaining") else rejected)
+            if n == "remaining_after_overlap":
+                reasons = np.array([None, "overlap_dominated", "empty_after_overlap"], dtype=object)
+                made["rejection_reason"] = pa.array(reasons[out["reason"]], pa.string())
+        return of_frame[out["mask"]], made
+
+    return ri.by_image(rows, frame, ["mask_id", F.col("place").desc()], work, schema, carry="mask_id")
 
 
 def arbitrate_structure(scores: DataFrame, objects: DataFrame, width: int, height: int) -> DataFrame:
