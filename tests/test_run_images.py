@@ -77,3 +77,21 @@ def test_owned_pixels_follow_the_rank(drawn):
                 mine = _raster(rows, H, W)
                 assert not (mine & taken & pixels).any() and rows[0].rejection_reason is None
                 taken |= mine
+
+
+def test_depth_is_read_from_images(spark):
+    """A row is not repeated for each pixel of its window; the first of equal differences wins."""
+    from splatlake.operators import projection as pj
+
+    points = spark.createDataFrame([("s", f, p, (p * 7) % 20, (p * 3) % 12, 1.0 + p % 5, 20, 12) for f in (0, 1, 2) for p in range(60)],
+                                   "scan_id string, frame_index int, point_id long, u int, v int, depth double, width int, height int")
+    pixels = {(f, v, u): 1.0 + (v * 3 + u) % 6 / 2 for f in (0, 1) for v in range(6) for u in range(10) if (v + u) % 4}
+    depth = spark.createDataFrame([("s", f, v, u, z) for (f, v, u), z in pixels.items()], "scan_id string, frame_index int, v int, u int, z double")
+    out = pj.depth_match(points, depth, (10, 6))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 180
+    for r in rows:
+        window = [(max(0, min(5, r.v // 2 + a)), max(0, min(9, r.u // 2 + b))) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        found = [(abs(r.depth - pixels[r.frame_index, v, u]), i, pixels[r.frame_index, v, u]) for i, (v, u) in enumerate(window) if (r.frame_index, v, u) in pixels]
+        assert (r.depth_delta, r.depth_ref) == ((min(found)[0], min(found)[2]) if found else (None, None))
