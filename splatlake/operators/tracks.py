@@ -11,7 +11,7 @@ from splatlake.functions import boxes
 from splatlake.functions.text import normalize_label
 from splatlake.functions.weights import literal_map
 from splatlake.operators.ordered import stream_groups
-from splatlake.operators.skew import ordered_rank
+from splatlake.operators.skew import ordered_rank, spread_join
 
 KEY = ["scan_id", "label"]
 
@@ -75,23 +75,48 @@ def associate(detections: DataFrame, max_gap: int = cfg.MAX_ANCHOR_GAP) -> DataF
     return stream_groups(d, [*KEY, "piece"], order, OpenTracks, step, ["temp_track"], "temp_track bigint").drop("piece")
 
 
-def candidate_pairs(detections: DataFrame, max_gap: int = cfg.MAX_ANCHOR_GAP) -> DataFrame:
+def equal_boxes(detections: DataFrame) -> DataFrame:
+    """One row for all detections of a label with the same frame and box: its least ``detection_id``, ``members`` and the sum of their ids."""
+    same = [*KEY, "width", "height", "frame_index", "x1", "y1", "x2", "y2"]
+    return detections.groupBy(*same).agg(F.min("detection_id").alias("detection_id"), F.count("*").alias("members"), F.sum("detection_id").alias("id_sum"))
+
+
+def candidate_pairs(detections: DataFrame, max_gap: int = cfg.MAX_ANCHOR_GAP, carry: tuple[str, ...] = ()) -> DataFrame:
     """Scored pairs of consecutive-anchor detections of one label that pass the association test.
 
-    A pair is a gap of 1 to ``max_gap`` frames apart, whatever the anchor stride: frames are cut into
-    spans of ``max_gap``, and a detection meets those of its own span and of the one before.
+    A pair is a gap of 1 to ``max_gap`` frames apart, whatever the anchor stride: pairs of frames are found
+    first, on distinct frames cut into spans of ``max_gap``, so that only boxes of such frames meet.  Over
+    :func:`equal_boxes` these are pairs of representatives; columns that ``carry`` names come back, those of
+    the earlier box as ``previous_<name>``.
     """
-    b = boxes.box("x1", "y1", "x2", "y2")
     span = F.floor(F.col("frame_index") / max_gap)
-    a = detections.select(*KEY, "width", "height", "frame_index", "detection_id", b.alias("a"), F.explode(F.array(span, span - 1)).alias("_span"))
-    p = detections.select(*KEY, F.col("frame_index").alias("_prev"), F.col("detection_id").alias("previous_id"), b.alias("p"), span.alias("_span"))
+    seen = detections.select(*KEY, "frame_index").distinct()
+    later = seen.select(*KEY, "frame_index", F.explode(F.array(span, span - 1)).alias("_span"))
     gap = F.col("frame_index") - F.col("_prev")
-    iou, dist = boxes.iou(F.col("a"), F.col("p")), boxes.center_distance(F.col("a"), F.col("p"), F.col("width"), F.col("height"))
-    ratio = boxes.area_ratio(F.col("a"), F.col("p"))
-    score = 0.60 * iou + 0.25 * F.greatest(F.lit(0.0), 1.0 - dist) + 0.15 * ratio
+    near = later.join(seen.select(*KEY, F.col("frame_index").alias("_prev"), span.alias("_span")), [*KEY, "_span"]).where((gap > 0) & (gap <= max_gap)).drop("_span")
+    # what one box decides is taken before the join, and a pair costs a few operations
+    b = boxes.box("x1", "y1", "x2", "y2")
+    sides = {"x1": F.col("x1"), "y1": F.col("y1"), "x2": F.col("x2"), "y2": F.col("y2"), "area": boxes.area(b),
+             "cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2}
+    diagonal = F.greatest(F.lit(1.0), F.sqrt(F.col("width") * F.col("width") + F.col("height") * F.col("height")))
+    a = detections.select(*KEY, "frame_index", "detection_id", *carry, diagonal.alias("_diagonal"), *[c.alias(f"_a_{n}") for n, c in sides.items()])
+    p = detections.select(*KEY, F.col("frame_index").alias("_prev"), F.col("detection_id").alias("previous_id"),
+                          *[F.col(c).alias(f"previous_{c}") for c in carry], *[c.alias(f"_p_{n}") for n, c in sides.items()])
+    # few boxes make many pairs: all tasks share them, whatever the size of the tables
+    on, tasks = [*KEY, "_prev"], int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = spread_join(spread_join(a, near, [*KEY, "frame_index"]).repartition(tasks, *on), p.repartition(tasks, *on), on)
+    wide = "greatest(0D, least(_a_x2, _p_x2) - greatest(_a_x1, _p_x1)) * greatest(0D, least(_a_y2, _p_y2) - greatest(_a_y1, _p_y1))"
+    kept = [*KEY, "detection_id", "previous_id", *carry, *[f"previous_{c}" for c in carry]]
+    # one-row generators keep each measure from being repeated wherever a later one reads it
+    met = met.selectExpr(*kept, "frame_index - _prev AS gap", "_a_area", "_p_area",
+                         f"inline(array(named_struct('_inter', {wide}, '_dx', _a_cx - _p_cx, '_dy', _a_cy - _p_cy, '_diagonal', _diagonal)))")
+    met = met.selectExpr(*kept, "gap", "inline(array(named_struct('_iou', CASE WHEN _a_area + _p_area - _inter > 0 THEN _inter / (_a_area + _p_area - _inter) ELSE 0D END, "
+                         "'_dist', sqrt(_dx * _dx + _dy * _dy) / _diagonal, "
+                         "'_ratio', CASE WHEN _a_area > 0 AND _p_area > 0 THEN least(_a_area, _p_area) / greatest(_a_area, _p_area) ELSE 0D END)))")
+    iou, dist, ratio = F.col("_iou"), F.col("_dist"), F.col("_ratio")
     passes = (iou >= cfg.TRACK_IOU) | ((dist <= cfg.TRACK_DISTANCE) & (ratio >= cfg.TRACK_AREA_RATIO))
-    met = a.join(p, [*KEY, "_span"]).where((gap > 0) & (gap <= max_gap) & passes)
-    return met.select(*KEY, "detection_id", "previous_id", gap.alias("gap"), score.alias("score"))
+    score = 0.60 * iou + 0.25 * F.greatest(F.lit(0.0), 1.0 - dist) + 0.15 * ratio
+    return met.where(passes).withColumn("score", score).drop("_iou", "_dist", "_ratio")
 
 
 def track_summary(associated: DataFrame) -> DataFrame:

@@ -92,3 +92,18 @@ def test_keys(spark):
     names = ["img_007.png", "a/Frame-12.JPG", "0042", "other.name.png", ".hidden"]
     d = spark.createDataFrame([(n,) for n in names], "n string").select(text.normalize_key(F.col("n")).alias("k"))
     assert [r.k for r in d.collect()] == ["frame_000007", "frame_000012", "frame_000042", "other.name", ".hidden"]
+
+
+def test_equal_boxes_meet_once(spark):
+    """Copies of a box are one row with their number, and sums over all pairs come out of the representatives."""
+    boxes_ = [(0, (0, 0, 40, 40)), (8, (5, 5, 45, 45)), (16, (300, 300, 310, 310)), (40, (5, 5, 45, 45))]
+    rows = [("s", f, 10 * i + k, "bed", "canonical", .9, *map(float, b), 640, 480) for i, (f, b) in enumerate(boxes_) for k in range(5)]
+    d = spark.createDataFrame(rows, DET)
+    every = tr.candidate_pairs(d).collect()
+    met = tr.candidate_pairs(tr.equal_boxes(d), carry=("members", "id_sum")).collect()
+    assert len(met) == len({(r[2] // 10, r[3] // 10) for r in every}) < len(every)
+    n = [r.members * r.previous_members for r in met]
+    assert sum(n) == len(every)
+    assert sum(r.id_sum * r.previous_members for r in met) == sum(r.detection_id for r in every)
+    assert sum(k * r.gap for k, r in zip(n, met)) == sum(r.gap for r in every)
+    assert math.isclose(sum(k * r.score for k, r in zip(n, met)), sum(r.score for r in every))
