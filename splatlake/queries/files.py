@@ -19,10 +19,12 @@ def _folder(spark, name: str) -> str:
 
 
 def _json(rows: DataFrame, by: list[str], name: str) -> str:
-    """One JSON document per group as a partitioned folder of text files."""
+    """One JSON document per group as a partitioned folder of text files, written by all tasks."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     folder = _folder(rows.sparkSession, name)
     body = [c for c in rows.columns if c not in by]
-    rows.select(*by, F.to_json(F.struct(*body)).alias("value")).repartition(4, *by).write.option("maxRecordsPerFile", 1).partitionBy(*by).text(folder)
+    value = F.col("documents") if body == ["documents"] else F.struct(*body)
+    rows.select(*by, F.to_json(value).alias("value")).repartition(tasks, *by).write.option("maxRecordsPerFile", 1).partitionBy(*by).text(folder)
     return folder
 
 
@@ -57,10 +59,12 @@ def _detections(spark, sf) -> tuple[str, DataFrame]:
     small = F.collect_list(F.when(~F.col("label").isin("wall", "floor"), F.struct("mask_id", F.col("label").alias("class_name"), F.col("score").cast("string").alias("confidence"), F.col("path").alias("mask_path"))))
     wide = F.collect_list(F.when(F.col("label").isin("wall", "floor"), F.struct("mask_id", "label", F.col("path").alias("mask_path"))))
     d = m.groupBy("scan_id", "frame_key").agg(F.sort_array(small).alias("objects"), F.sort_array(wide).alias("layout"))
-    d = d.select("scan_id", F.col("frame_key").alias("k"), F.concat(F.lit("x/"), "frame_key", F.lit(".jpg")).alias("image_path"), "objects", "layout",
+    d = d.select("scan_id", F.concat(F.lit("x/"), "frame_key", F.lit(".jpg")).alias("image_path"), "objects", "layout",
                  F.lit("tracked_semantic_frame.v2").alias("schema"), F.lit("s").alias("segmentation_fingerprint"), F.lit("l").alias("layout_fingerprint"))
     aliases = scene.frame_aliases(fx.view(spark, sf, "fx_frames").withColumn("image_path", F.col("frame_key")))
-    return _json(d, ["scan_id", "k"], "detections"), aliases
+    # a scan's frames are one file, an array of their documents: a file of its own costs a frame more than its masks
+    body = F.struct(*[c for c in d.columns if c != "scan_id"])
+    return _json(d.groupBy("scan_id").agg(F.sort_array(F.collect_list(body)).alias("documents")), ["scan_id"], "detections"), aliases
 
 
 DETECTED = fx.with_views("fx_masks", "fx_frames", sql="""
@@ -72,13 +76,13 @@ FROM fx_masks m JOIN fx_frames f ON m.scan_id = f.scan_id AND m.frame_index = f.
 @query("s4_read_detections", DETECTED)
 def s4(spark, sf):
     path, aliases = _detections(spark, sf)
-    return scene.read_detections(spark, path, None, aliases).select("scan_id", "frame_key", "label", F.round("score", 6).alias("score"), "role", "mask_path")
+    return scene.read_detections(spark, path, None, aliases, packed=True).select("scan_id", "frame_key", "label", F.round("score", 6).alias("score"), "role", "mask_path")
 
 
 @query("s5_read_detections_strict", DETECTED)
 def s5(spark, sf):
     path, aliases = _detections(spark, sf)
-    return scene.read_detections_strict(spark, path, aliases).select("scan_id", "frame_key", "label", F.round("score", 6).alias("score"), "role", "mask_path")
+    return scene.read_detections_strict(spark, path, aliases, packed=True).select("scan_id", "frame_key", "label", F.round("score", 6).alias("score"), "role", "mask_path")
 
 
 @query("s6_masks_from_filenames", fx.with_views("fx_masks", sql="""

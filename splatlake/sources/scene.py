@@ -88,31 +88,50 @@ def match_frames(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     return j.withColumn("frame_key", F.coalesce("_image_alias", "_stem_alias")).where("frame_key IS NOT NULL").drop("_image_alias", "_stem_alias", "image_alias", "stem_alias")
 
 
-def read_detections(spark: SparkSession, path: str, scan_id: str | None, aliases: DataFrame) -> DataFrame:
-    """Masks listed in per-frame JSON files; unreadable files leave no rows."""
+def detection_documents(spark: SparkSession, path: str, scan_id: str | None = None) -> DataFrame:
+    """Documents of detection files with their file and scan; a file holds one document or an array of them."""
     j = spark.read.schema(DETECTION_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("_file", F.col("_metadata.file_path"))
-    j = j.withColumn("scan_id", scan_of(j, scan_id))
+    return j.withColumn("scan_id", scan_of(j, scan_id))
+
+
+def detection_masks(documents: DataFrame, aliases: DataFrame, packed: bool = False) -> DataFrame:
+    """Masks listed in :func:`detection_documents`, named after their file, or with ``packed`` after their frame's image."""
     tagged = F.concat(*[F.coalesce(F.transform(g, lambda d, g=g: F.struct(F.lit(g).alias("group"), d.alias("d"))), F.array()) for g in GROUPS])
     ref = F.coalesce("image_path", "file_path", "frame_path", "_file")
-    r = j.select("scan_id", text.normalize_key(ref).alias("image_alias"), text.normalize_key(F.col("_file")).alias("stem_alias"),
-                 text.stem(F.col("_file")).alias("_stem"), F.posexplode(tagged).alias("ordinal", "t"))
+    # names are read and frames matched per document; a mask only carries the result
+    d = documents.select("scan_id", text.normalize_key(ref).alias("image_alias"), text.normalize_key(F.col("_file")).alias("stem_alias"),
+                         text.stem(ref if packed else F.col("_file")).alias("_stem"), tagged.alias("_tagged"))
+    r = match_frames(d, aliases).select("scan_id", "_stem", "frame_key", F.posexplode("_tagged").alias("ordinal", "t"))
     label = text.detection_label(*[F.col(f"t.d.{n}") for n in ("label", "class_name", "name", "category", "class")])
     score = text.detection_score(*[F.col(f"t.d.{n}") for n in ("score", "confidence", "probability")])
     role = F.when(label.isin("wall", "floor", "ceiling", "door", "window") | F.col("t.group").startswith("layout"), F.lit("structural")).otherwise(F.lit("small"))
-    m = r.where(F.col("t.d.mask_path").isNotNull()).select(
-        "scan_id", "image_alias", "stem_alias", F.format_string("%s_%03d_%s", F.col("_stem"), F.col("ordinal"), label).alias("mask_id"), label.alias("label"),
-        role.alias("role"), score.alias("score"), F.col("t.group").alias("source_group"), F.col("t.d.mask_path").alias("mask_path"))
-    return match_frames(m, aliases)
-
-
-def read_detections_strict(spark: SparkSession, path: str, aliases: DataFrame, schema: str = "tracked_semantic_frame.v2", scan_id: str | None = None) -> DataFrame:
-    """Masks of :func:`read_detections`; raises unless a scan has one schema and one of each fingerprint."""
-    j = spark.read.schema(DETECTION_FILE).option("multiLine", True).json(path)
-    g = j.withColumn("scan_id", scan_of(j, scan_id)).groupBy("scan_id").agg(
-        F.count(F.when(~F.col("schema").eqNullSafe(schema), 1)).alias("_wrong"), F.countDistinct("segmentation_fingerprint").alias("_s"), F.countDistinct("layout_fingerprint").alias("_l"))
-    bad = (F.col("_wrong") > 0) | (F.col("_s") != 1) | (F.col("_l") != 1)
-    g = g.select("scan_id", F.when(bad, F.raise_error(F.concat(F.lit("mixed or unsupported detection files in scan "), F.col("scan_id"))).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
-    return read_detections(spark, path, scan_id, aliases).join(g, "scan_id").where("_ok").drop("_ok")
+    return r.where(F.col("t.d.mask_path").isNotNull()).select(
+        "scan_id", F.format_string("%s_%03d_%s", F.col("_stem"), F.col("ordinal"), label).alias("mask_id"), label.alias("label"),
+        role.alias("role"), score.alias("score"), F.col("t.group").alias("source_group"), F.col("t.d.mask_path").alias("mask_path"), "frame_key")
+
+
+def read_detections(spark: SparkSession, path: str, scan_id: str | None, aliases: DataFrame, packed: bool = False) -> DataFrame:
+    """Masks listed in JSON files, one per frame; unreadable files leave no rows.
+
+    Many small files cost more than their contents: with ``packed`` a file is an array of the documents of
+    several frames, each naming its image.
+    """
+    return detection_masks(detection_documents(spark, path, scan_id), aliases, packed)
+
+
+def read_detections_strict(spark: SparkSession, path: str, aliases: DataFrame, schema: str = "tracked_semantic_frame.v2", scan_id: str | None = None,
+                           packed: bool = False) -> DataFrame:
+    """Masks of :func:`read_detections`; raises unless a scan has one schema and one of each fingerprint.
+
+    The files are read once: the documents of a scan meet in a window over their own columns.
+    """
+    j, w = detection_documents(spark, path, scan_id), W.partitionBy("scan_id")
+    bad = F.count(F.when(~F.col("schema").eqNullSafe(schema), 1)).over(w) > 0
+    for name in ("segmentation_fingerprint", "layout_fingerprint"):
+        bad = bad | ~F.coalesce(F.min(name).over(w) == F.max(name).over(w), F.lit(False))
+    fails = F.raise_error(F.concat(F.lit("mixed or unsupported detection files in scan "), F.col("scan_id"))).cast("boolean")
+    sound = j.withColumn("_bad", bad).where(F.when(F.col("_bad"), fails).otherwise(F.lit(True))).drop("_bad")
+    return detection_masks(sound, aliases, packed)
 
 
 def masks_from_filenames(files: DataFrame, frames: DataFrame, label: str) -> DataFrame:

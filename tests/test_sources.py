@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from splatlake.sources import ply, scene
@@ -74,3 +75,32 @@ def test_labeled_skips_incomplete_scans(spark):
     g = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.5), ("b", 1, 0.5)], "scan_id string, point_id bigint, x double")
     n = spark.createDataFrame([("a", 1, 1, 0.5, 2), ("b", 1, 2, 0.5, 2)], "scan_id string, point_id bigint, semantic_label_id int, semantic_confidence double, semantic_support_views int")
     assert [(r.scan_id, r.semantic_label_id) for r in ply.labeled(g, n).collect()] == [("b", 2)]
+
+
+def _packed(folder, **of_second):
+    for scan in "ab":
+        (folder / f"scan_id={scan}").mkdir(parents=True)
+        docs = [{"image_path": f"x/frame_{i:05d}.png", "schema": "tracked_semantic_frame.v2", "segmentation_fingerprint": "s", "layout_fingerprint": "l",
+                 "objects": [{"label": "bed", "score": "0.5", "mask_path": f"{scan}{i}.png"}]} for i in range(2)]
+        docs[1] |= of_second
+        (folder / f"scan_id={scan}" / "all.json").write_text(json.dumps(docs))
+
+
+def test_frames_of_one_file(spark, tmp_path):
+    _packed(tmp_path / "d")
+    aliases = spark.createDataFrame([(s, f"frame_{i:05d}") for s in "ab" for i in range(2)], "scan_id string, frame_key string").withColumn("image_path", F.col("frame_key"))
+    aliases = scene.frame_aliases(aliases)
+    want = [(s, f"frame_{i:05d}", f"frame_{i:05d}_000_bed", f"{s}{i}.png") for s in "ab" for i in range(2)]
+    for d in (scene.read_detections(spark, str(tmp_path / "d"), None, aliases, packed=True), scene.read_detections_strict(spark, str(tmp_path / "d"), aliases, packed=True)):
+        assert sorted((r.scan_id, r.frame_key, r.mask_id, r.mask_path) for r in d.collect()) == want
+
+
+def test_strict_reads_files_once(spark, tmp_path):
+    aliases = spark.createDataFrame([("a", "frame_00000", "frame_00000")], "scan_id string, alias string, frame_key string")
+    _packed(tmp_path / "d")
+    plan = scene.read_detections_strict(spark, str(tmp_path / "d"), aliases, packed=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1
+    for i, second in enumerate(({"schema": "v1"}, {"segmentation_fingerprint": "t"}, {"layout_fingerprint": "t"}, {"schema": None})):
+        _packed(tmp_path / f"bad{i}", **second)
+        with pytest.raises(Exception, match="mixed or unsupported detection files"):
+            scene.read_detections_strict(spark, str(tmp_path / f"bad{i}"), aliases, packed=True).collect()
