@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from splatlake import config as cfg
 from splatlake.functions import camera
@@ -69,7 +68,7 @@ def project_points(points: DataFrame, frames: DataFrame, near: float = cfg.NEAR_
     )
     cells = frustum_cells(frames.select(*frame_cols), occupied, far, near, cell, convention).drop("c2w")
     keys = ["scan_id", "cell_x", "cell_y", "cell_z"]
-    pairs = skew_join(located, cells, keys, ["point_id"])
+    pairs = skew_join(located, cells, keys, ["point_id"], fan_out=True)
     xc, yc, zc = camera.affine_text("w2c", "x", "y", "z")
     sign = {"opengl": "-", "opencv": ""}[convention]
     kept = [c for c in points.columns]
@@ -105,24 +104,44 @@ def zbuffer(projected: DataFrame, radius: int = 0, occupied: bool = False) -> Da
                                         F.first("height").alias("height"))
     if radius == 0:
         return base.drop("width", "height")
-    # Only the per-pixel minima of one frame reach a task, and a frame is bounded by its image.
-    # Spelling the filter as rows would multiply every pixel by the window area before a shuffle.
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, u = pdf["v"].to_numpy(), pdf["u"].to_numpy()
-        low = min_filter(v, u, pdf["z_ref"].to_numpy(), int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0]), radius)
-        if not occupied:
-            v, u = np.nonzero(np.isfinite(low))
-        return pd.DataFrame({"scan_id": pdf["scan_id"].iloc[0], "frame_index": pdf["frame_index"].iloc[0],
-                             "v": v.astype("int32"), "u": u.astype("int32"), "z_ref": low[v, u]})
-
-    return base.groupBy("scan_id", "frame_index").applyInPandas(
-        spread, "scan_id string, frame_index int, v int, u int, z_ref double"
-    )
-
-
-def zbuffer_visible(projected: DataFrame, surface: DataFrame, abs_tol=cfg.ZBUFFER_ABS, rel_tol=cfg.ZBUFFER_REL) -> DataFrame:
-    """Adds ``z_ref`` and ``self_visible``: depth within a two-sided tolerance of the surface."""
-    joined = projected.join(surface, ["scan_id", "frame_index", "v", "u"], "left")
+    # Only the per-pixel minima of whole frames reach a task, many frames at once, and a frame is bounded by its
+    # image.  Spelling the filter as rows would multiply every pixel by the window area before a shuffle.
+    def spread(image, c, images):
+        wide, high = np.zeros(images, dtype="int64"), np.zeros(images, dtype="int64")
+        wide[image], high[image] = c["width"], c["height"]
+        width, height = int(wide.max()), int(high.max())
+        step = max(1, IMAGE_CELLS // ((width + 2 * radius) * (height + 2 * radius)))
+        made = []
+        for first in range(0, images, step):
+            n = min(step, images - first)
+            part = slice(*np.searchsorted(image, [first, first + n]))
+            at, v, u = image[part] - first, c["v"][part], c["u"][part]
+            grid = np.full((n, height + 2 * radius, width + 2 * radius), np.inf)
+            grid[at, v + radius, u + radius] = c["z_ref"][part]
+            rows = grid[:, :height].copy()
+            for i in range(1, 2 * radius + 1):
+                np.minimum(rows, grid[:, i:i + height], out=rows)
+            low = rows[:, :, :width].copy()
+            for j in range(1, 2 * radius + 1):
+                np.minimum(low, rows[:, :, j:j + width], out=low)
+            if not occupied:
+                own = (np.arange(height)[:, None] < high[first:first + n, None, None]) & (np.arange(width) < wide[first:first + n, None, None])
+                at, v, u = np.nonzero(np.isfinite(low) & own)
+            made.append((at + first, v.astype("int32"), u.astype("int32"), low[at, v, u]))
+        image, v, u, z = (np.concatenate(x) for x in zip(*made))
+        return image, {"v": v, "u": u, "z_ref": z}
+
+    return by_image(base, ["scan_id", "frame_index"], [], spread, "v int, u int, z_ref double")
+
+
+def pixel_surface(projected: DataFrame) -> DataFrame:
+    """Adds ``z_ref``, the nearest depth of a point's own pixel: one shuffle, and the projection is not made twice for it."""
+    return projected.withColumn("z_ref", F.min("depth").over(W.partitionBy("scan_id", "frame_index", "v", "u")))
+
+
+def zbuffer_visible(projected: DataFrame, surface: DataFrame | None = None, abs_tol=cfg.ZBUFFER_ABS, rel_tol=cfg.ZBUFFER_REL) -> DataFrame:
+    """Adds ``z_ref`` and ``self_visible``: depth within a two-sided tolerance of the surface, by default that of the pixel."""
+    joined = pixel_surface(projected) if surface is None else projected.join(surface, ["scan_id", "frame_index", "v", "u"], "left")
     near = F.abs(F.col("depth") - F.col("z_ref")) <= F.greatest(F.lit(abs_tol), F.lit(rel_tol) * F.col("z_ref"))
     return joined.withColumn("self_visible", F.coalesce(near, F.lit(False)))
 

@@ -21,11 +21,13 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
 
 
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str],
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              hot_rows: int = HOT_ROWS, fan_out: bool = False) -> DataFrame:
     """Inner equi-join; a key of ``big`` above ``hot_rows`` rows is split over several tasks.
 
     ``spread`` names columns of ``big`` that tell rows of one key apart.  The matching rows of
-    ``small`` are repeated once per split of their key, and only for hot keys.
+    ``small`` are repeated once per split of their key, and only for hot keys.  With ``fan_out`` a row of
+    ``big`` meets many of ``small``: all shuffle partitions take part, as tasks merged by the bytes that
+    they read would each hold a growing share of the pairs.
     """
     hot = (
         big.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
@@ -38,7 +40,11 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[st
     right = small.join(F.broadcast(hot), keys, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), splits - 1))
     ).drop("_splits")
-    return spread_join(left, right, [*keys, "_part"]).drop("_part")
+    on = [*keys, "_part"]
+    if fan_out:
+        tasks = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
+    return spread_join(left, right, on).drop("_part")
 
 
 def ordered_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:

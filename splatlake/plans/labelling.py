@@ -80,7 +80,7 @@ def label_points(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: D
 def center_vote_labels(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: DataFrame, width: int, height: int) -> DataFrame:
     """The short form: z-buffer visibility, centre pixel only, static weights, one vote per frame."""
     projected = pj.project_points(points.select("scan_id", "point_id", "x", "y", "z"), frames)
-    visible = pj.zbuffer_visible(projected, pj.zbuffer(projected)).where("self_visible")
+    visible = pj.zbuffer_visible(projected).where("self_visible")
     prepared = vt.static_weights(masks, ma.pixel_count(ma.union_runs(runs, MASK), MASK), width, height)
     hits = pj.center_in_mask(visible, runs).withColumn("coverage", F.lit(1.0)).withColumn(
         "visibility_weight", F.lit(cfg.WEIGHT_ZBUFFER)

@@ -96,3 +96,41 @@ def test_planes_and_walk_are_not_broadcast(spark):
     finally:
         co.spread_join, cu.spread_join = co_join, cu_join
     assert len(seen) > 4 and not any("BroadcastHashJoin" in p.splitlines()[1] for p in seen)
+
+
+def _frames(spark):
+    rnd = random.Random(5)
+    rows = [(s, f, rnd.randrange(h), rnd.randrange(w), rnd.uniform(1, 9), w, h) for s, f, w, h in (("a", 0, 60, 40), ("a", 1, 30, 50), ("b", 0, 9, 7)) for _ in range(60)]
+    return spark.createDataFrame(rows, "scan_id string, frame_index int, v int, u int, depth double, width int, height int").coalesce(1)
+
+
+def test_frames_of_several_sizes_are_filtered_at_once(spark, monkeypatch):
+    p = _frames(spark)
+    low = {}
+    for r in p.collect():
+        for v in range(max(0, r.v - 2), min(r.height, r.v + 3)):
+            for u in range(max(0, r.u - 2), min(r.width, r.u + 3)):
+                k = (r.scan_id, r.frame_index, v, u)
+                low[k] = min(low.get(k, 99.0), r.depth)
+    held = {(r.scan_id, r.frame_index, r.v, r.u) for r in p.collect()}
+    for cells in (pj.IMAGE_CELLS, 100):
+        monkeypatch.setattr(pj, "IMAGE_CELLS", cells)
+        full, part = pj.zbuffer(p, 2), pj.zbuffer(p, 2, occupied=True)
+        assert "FlatMapGroupsInPandas" not in plan_of(full)
+        assert {tuple(r)[:4]: r.z_ref for r in full.collect()} == low
+        assert {tuple(r)[:4]: r.z_ref for r in part.collect()} == {k: low[k] for k in held}
+
+
+def test_own_pixel_needs_no_second_projection(spark):
+    p = _frames(spark).withColumn("point_id", F.monotonically_increasing_id()).localCheckpoint()
+    one, two = pj.zbuffer_visible(p), pj.zbuffer_visible(p, pj.zbuffer(p))
+    assert sorted(map(tuple, one.select(two.columns).collect())) == sorted(map(tuple, two.collect()))
+    assert "Join" not in plan_of(one)
+
+
+def test_projection_is_spread_over_all_partitions(spark):
+    p = spark.createDataFrame([("s", i, i / 9, 0.5, -3.0) for i in range(9)], "scan_id string, point_id bigint, x double, y double, z double")
+    eye = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+    f = spark.createDataFrame([("s", 0, 160, 120, 125.0, 125.0, 80.0, 60.0, eye, eye)], "scan_id string, frame_index int, width int, height int, fx double, fy double, cx double, cy double, c2w array<double>, w2c array<double>")
+    seen = pj.project_points(p, f)
+    assert seen.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and seen.count() == 9
