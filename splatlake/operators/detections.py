@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from splatlake import config as cfg
@@ -25,26 +23,27 @@ def iou_text(a: str, b: str) -> str:
 
 def gate(detections: DataFrame, thresholds=None, max_fraction=None) -> DataFrame:
     """Adds clipped corners, ``box_area_fraction``, ``accepted`` and the first failing ``rejection_reason``."""
-    d = detections
-    clipped = boxes.clip(boxes.box("x1", "y1", "x2", "y2"), F.col("width"), F.col("height"))
-    d = d.withColumn("_c", clipped)
-    frac = boxes.area_fraction(F.col("_c"), F.col("width"), F.col("height"))
     generic = (F.col("label") == "miscellaneous") & (F.col("prompt_kind") == "generic_fallback")
     threshold = literal_map(thresholds or cfg.DETECTION_THRESHOLDS, F.col("label"), 1e9)
     largest = literal_map(max_fraction or cfg.MAX_BOX_FRACTION, F.col("label"), cfg.DEFAULT_MAX_FRACTION)
-    threshold = F.when(generic, F.greatest(threshold, F.lit(cfg.GENERIC_THRESHOLD))).otherwise(threshold)
-    largest = F.when(generic, F.least(largest, F.lit(cfg.GENERIC_MAX_FRACTION))).otherwise(largest)
+    clipped = boxes.clip(boxes.box(*BOX), F.col("width"), F.col("height"))
+    # each value is a column of its own, so that it is not computed anew at every use
+    d = detections.withColumns({
+        **{c: clipped[c] for c in BOX},
+        "_least": F.when(generic, F.greatest(threshold, F.lit(cfg.GENERIC_THRESHOLD))).otherwise(threshold),
+        "_most": F.when(generic, F.least(largest, F.lit(cfg.GENERIC_MAX_FRACTION))).otherwise(largest),
+    })
+    d = d.withColumn("box_area_fraction", boxes.area_fraction(boxes.box(*BOX), F.col("width"), F.col("height")))
+    frac = F.col("box_area_fraction")
     reason = (
         F.when(F.col("label").isNull(), F.lit("unknown_prompt_label"))
-        .when(F.col("confidence") < threshold, F.lit("below_class_threshold"))
+        .when(F.col("confidence") < F.col("_least"), F.lit("below_class_threshold"))
         .when(frac < cfg.MIN_BOX_FRACTION, F.lit("box_too_small"))
-        .when(frac > largest, F.lit("box_too_large"))
-        .when((F.col("_c.x2") <= F.col("_c.x1")) | (F.col("_c.y2") <= F.col("_c.y1")), F.lit("invalid_box"))
+        .when(frac > F.col("_most"), F.lit("box_too_large"))
+        .when((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")), F.lit("invalid_box"))
     )
-    return d.withColumns({
-        "box_area_fraction": frac, "rejection_reason": reason, "accepted": reason.isNull(),
-        **{c: F.col(f"_c.{c}") for c in ("x1", "y1", "x2", "y2")},
-    }).drop("_c")
+    d = d.withColumn("rejection_reason", reason).withColumn("accepted", F.col("rejection_reason").isNull())
+    return d.drop("_least", "_most")
 
 
 def nms(detections: DataFrame, iou: float = cfg.NMS_IOU) -> DataFrame:
@@ -76,21 +75,20 @@ def nms(detections: DataFrame, iou: float = cfg.NMS_IOU) -> DataFrame:
 def overlaps(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
     """(keys, lo, hi): pairs of boxes that reach the threshold, ``lo`` before ``hi`` in order.
 
-    Such boxes have sides within a factor of 1 / iou and centres within 1 - iou of the longer side, so
-    they share a (level, cell) bucket.
+    On each axis such boxes have sides within a factor of 1 / iou and centres within (1 - iou) / (1 + iou) of
+    their mean side, so they share a (level, cell) bucket; a cell of a level is up to four sides long.
     """
-    levels = {s: f"int(floor(log2(greatest({s}2 - {s}1, 1e-9D))))" for s in "xy"}
-    above, reach = math.ceil(math.log2(1 / iou)), (1 - iou) / 2 + 1e-4
-    cells = {}
+    reach, spread = (1 - iou) / (1 + iou) / 2, boxes.select(*keys, "_o", *BOX)
     for s in "xy":
-        c, size = f"(({s}1 + {s}2) / 2)", "pow(2D, l + 1)"
-        cells[s] = (f"flatten(transform(sequence({levels[s]}, {levels[s]} + {above}), l -> transform(sequence("
-                    f"bigint(floor(({c} - {size} * {reach}D) / {size})), bigint(floor(({c} + {size} * {reach}D) / {size}))), "
-                    "i -> struct(l, i))))")
-    spread = boxes.selectExpr(*keys, "_o", *BOX, f"{cells['x']} AS _cx", f"{cells['y']} AS _cy").withColumn("_bx", F.explode("_cx")).withColumn("_by", F.explode("_cy"))
-    one = spread.select(*keys, "_bx", "_by", F.col("_o").alias("lo"), F.struct(*BOX).alias("_a"))
-    two = spread.select(*keys, "_bx", "_by", F.col("_o").alias("hi"), F.struct(*BOX).alias("_b"))
-    met = one.join(two, [*keys, "_bx", "_by"]).where("lo < hi").where(iou_text("_a", "_b") + f" >= {iou}D")
+        side, c, size = f"greatest({s}2 - {s}1, 1e-9D)", f"(({s}1 + {s}2) / 2)", f"pow(4D, _l{s} + 1)"
+        first, last = (f"int(floor(log2({v}) / 2))" for v in (side, f"{side} * {(1 + 1e-9) / iou}D"))
+        r = f"({side} * {reach}D + {size} * 1e-4D)"
+        spread = spread.withColumn(f"_l{s}", F.expr(f"explode(sequence({first}, {last}))")).withColumn(
+            f"_c{s}", F.expr(f"explode(sequence(bigint(floor(({c} - {r}) / {size})), bigint(floor(({c} + {r}) / {size}))))"))
+    cell = ["_lx", "_ly", "_cx", "_cy"]
+    one = spread.select(*keys, *cell, F.col("_o").alias("lo"), F.struct(*BOX).alias("_a"))
+    two = spread.select(*keys, *cell, F.col("_o").alias("hi"), F.struct(*BOX).alias("_b"))
+    met = one.join(two, [*keys, *cell]).where("lo < hi").where(iou_text("_a", "_b") + f" >= {iou}D")
     return met.select(*keys, "lo", "hi").distinct()
 
 

@@ -19,7 +19,7 @@ from splatlake import config as cfg
 from splatlake.operators import detections as de
 from splatlake.operators.tracks import OpenTracks
 from splatlake.operators.video import Continuity
-from splatlake.session import checkpoint_dir
+from splatlake.session import checkpoint_dir, cut
 
 
 def timer(idle_ms: int | None) -> str:
@@ -93,10 +93,13 @@ def associate(detections: DataFrame, idle_ms: int | None = None) -> DataFrame:
 
 
 def detect(batch: DataFrame) -> DataFrame:
-    """Gates and suppression of one micro-batch; a frame's detections arrive together."""
-    kept = de.gate(batch).where("accepted")
-    kept = de.nms(kept).where("suppressed_by IS NULL").drop("suppressed_by")
-    kept = de.drop_generic(kept).where("suppressed_by IS NULL").drop("suppressed_by")
+    """Gates and suppression of one micro-batch; a frame's detections arrive together.
+
+    What a step keeps is materialised, as the next one reads it several times.
+    """
+    kept = cut(de.gate(batch).where("accepted"))
+    kept = cut(de.nms(kept).where("suppressed_by IS NULL").drop("suppressed_by"))
+    kept = cut(de.drop_generic(kept).where("suppressed_by IS NULL").drop("suppressed_by"))
     return de.drop_conflicts(kept).where("conflict_reason IS NULL").drop("conflict_reason", "conflict_with")
 
 

@@ -1,7 +1,9 @@
 """Behavioural cases with literal inputs."""
 
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from splatlake.functions import boxes, camera, text
@@ -107,3 +109,27 @@ def test_equal_boxes_meet_once(spark):
     assert sum(r.id_sum * r.previous_members for r in met) == sum(r.detection_id for r in every)
     assert sum(k * r.gap for k, r in zip(n, met)) == sum(r.gap for r in every)
     assert math.isclose(sum(k * r.score for k, r in zip(n, met)), sum(r.score for r in every))
+
+
+@pytest.mark.parametrize("iou", [0.05, 0.3, 0.5, 0.9, 1.0])
+def test_overlaps_match_all_pairs(spark, iou):
+    """Boxes that reach the threshold share a bucket, whatever their sides, and a box goes into few buckets."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        x, y, w, h = rng.uniform(-50, 50), rng.uniform(-50, 50), 2 ** rng.uniform(-3, 6), 2 ** rng.uniform(-3, 6)
+        for k in range(2):  # a box and one that has nearly its place
+            rows.append(("s", i % 3, "bed", 2 * i + k, x + k * rng.uniform(-.3, .3) * w, y, x + w * (1 + k * rng.uniform(-.3, .3)), y + h))
+    rows += [("s", 0, "bed", 1000 + k, 16.0, 0.0, 16.0 + 4 ** k, 4.0) for k in range(3)] + [("s", 0, "bed", 1010 + k, 16.0, 0.0, 16.0 + 2 * 4 ** k, 4.0) for k in range(3)]
+    rows = [r for r in rows if r[6] > r[4]]
+    keys = ["scan_id", "frame_index", "label"]
+    d = spark.createDataFrame(rows, "scan_id string, frame_index int, label string, _o bigint, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.lo, r.hi) for r in de.overlaps(d, keys, iou).collect()}
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[1] == b[1] and a[3] < b[3]:
+                inter = max(0.0, min(a[6], b[6]) - max(a[4], b[4])) * max(0.0, min(a[7], b[7]) - max(a[5], b[5]))
+                if inter / ((a[6] - a[4]) * (a[7] - a[5]) + (b[6] - b[4]) * (b[7] - b[5]) - inter) >= iou:
+                    want.add((a[3], b[3]))
+    assert got == want and (want or iou == 1.0)

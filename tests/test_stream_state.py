@@ -1,9 +1,12 @@
 """State of the streaming twins: it is given back, and a finished key starts anew."""
 
+import glob
 import time
 
 import pytest
 
+from splatlake import fixtures as fx, queries
+from splatlake.session import checkpoint_dir
 from splatlake.streaming import jobs
 
 DET = "scan_id string, label string, frame_index int, detection_id bigint, confidence double, x1 double, y1 double, x2 double, y2 double, width int, height int"
@@ -54,3 +57,24 @@ def test_counts_and_edits_keep_no_state(spark):
     got = {(r.scan_id, r.first_frame, r.label): r.n for r in out.collect()}
     assert got == {**{("a", b, "bed"): 2 for b in range(0, 40, 8)}, ("b", 0, "bed"): 1, ("b", 0, "desk"): 1}
     assert out.select("epoch").distinct().count() == 2
+
+
+def test_stream_input_is_written_by_all_tasks(spark, sf):
+    queries.load()
+    before = set(glob.glob(f"{checkpoint_dir(spark)}/t3-*".removeprefix("file:")))
+    out = queries.QUERIES["t3_detect_stream"](spark, sf)
+    folder, = [f for f in set(glob.glob(f"{checkpoint_dir(spark)}/t3-*".removeprefix("file:"))) - before if "/t3-in-" in f]
+    frames = [{(r.scan_id, r.frame_index) for r in spark.read.parquet(f).select("scan_id", "frame_index").distinct().collect()} for f in glob.glob(f"{folder}/*.parquet")]
+    assert len(frames) == int(spark.conf.get("spark.sql.shuffle.partitions")) == 4
+    assert sum(map(len, frames)) == len(set().union(*frames))  # a frame lies in one file, so in one micro-batch
+    whole = jobs.detect(fx.view(spark, sf, "fx_detections")).select("scan_id", "detection_id", "label")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_detect_evaluates_the_gates_once(spark, monkeypatch):
+    d = spark.createDataFrame([("s", 8 * (i % 5), i, "bed", "canonical", 0.9, 10.0 * i, 10.0, 10.0 * i + 60, 60.0, 640, 480) for i in range(20)],
+                              "scan_id string, frame_index int, detection_id bigint, label string, prompt_kind string, confidence double, x1 double, y1 double, x2 double, y2 double, width int, height int")
+    seen = spark.sparkContext.accumulator(0)
+    counted = d.rdd.map(lambda r: (seen.add(1), r)[1]).toDF(d.schema)
+    assert jobs.detect(counted).count() == 20
+    assert seen.value == 20
