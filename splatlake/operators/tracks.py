@@ -119,16 +119,20 @@ def candidate_pairs(detections: DataFrame, max_gap: int = cfg.MAX_ANCHOR_GAP, ca
     return met.where(passes).withColumn("score", score).drop("_iou", "_dist", "_ratio")
 
 
-def track_summary(associated: DataFrame) -> DataFrame:
+def track_summary(associated: DataFrame, add_by: str | None = None) -> DataFrame:
     """Anchor count, span and confidences per track; ``accepted`` when persistent or strong.
 
     The mean is taken over decimals of 12 places, so it does not depend on the order of the rows and
-    equal means tie; values that do not fit (not finite, 10^8 or more) leave the plain mean.
+    equal means tie; values that do not fit (not finite, 10^8 or more) leave the plain mean.  ``add_by``
+    names a column in whose order the doubles are added instead, as a scan of a table in that order adds them.
     """
     first = F.min(F.struct("frame_index", "x1"))
     c = F.col("confidence")
     exact = c.try_cast("decimal(20,12)")
     mean = F.when(F.count(exact) == F.count(c), F.sum(exact).cast("double") / F.count(c)).otherwise(F.avg(c))
+    if add_by is not None:
+        listed = F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(F.col(add_by).alias("at"), c.cast("double").alias("c")))))
+        mean = F.try_divide(F.aggregate(listed, F.lit(0.0), lambda total, x: total + x["c"]), F.count(c))
     s = associated.groupBy(*KEY, "temp_track").agg(
         F.count("*").alias("anchor_count"), F.min("frame_index").alias("first_anchor_frame"),
         F.max("frame_index").alias("last_anchor_frame"), mean.alias("mean_conf"),

@@ -38,6 +38,23 @@ def test_mean_confidence_ignores_row_order(spark):
     assert got[1] == got[2] == 0.6 / 3 and got[3] != got[3]
 
 
+def events(folder, rows):
+    duckdb.sql(f"COPY (SELECT event_id, user_id, 'view' AS event_type FROM (VALUES {', '.join(map(str, rows))}) t(event_id, user_id) ORDER BY event_id) TO '{folder}/events.parquet'")
+
+
+def test_caps_and_numbers_of_equal_means(spark, tmp_path):
+    """Tracks 1 and 5 have the same confidences on paper, 0.59 and 0.5900000000000001 on average when added one by one; two of three are kept."""
+    events(tmp_path, [(e, 0) for e in (8, 16, 24, 32, 40, 121, 873, 1289, 1505, 501, 829, 853, 1525)])
+    for name in ("w3_cap_instances", "w4_number_tracks"):
+        same_as_sql(spark, tmp_path, name, ["events"])
+
+
+def test_single_weak_detections_are_ranked(spark, tmp_path):
+    events(tmp_path, [(e, 0) for e in (0, 80, 160, 1, 2, 3)])  # 0 + 1 = 0.57, all others at most 0.52 or single
+    for name in ("w3_cap_instances", "w4_number_tracks"):
+        same_as_sql(spark, tmp_path, name, ["events"])
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
