@@ -142,10 +142,37 @@ def pixel_surface(projected: DataFrame) -> DataFrame:
 def zbuffer_visible(projected: DataFrame, surface: DataFrame | None = None, abs_tol=cfg.ZBUFFER_ABS, rel_tol=cfg.ZBUFFER_REL) -> DataFrame:
     """Adds ``z_ref`` and ``self_visible``: depth within a two-sided tolerance of the surface, by default that of the pixel."""
     joined = pixel_surface(projected) if surface is None else projected.join(surface, ["scan_id", "frame_index", "v", "u"], "left")
+    return self_visible(joined, abs_tol, rel_tol)
+
+
+def self_visible(joined: DataFrame, abs_tol=cfg.ZBUFFER_ABS, rel_tol=cfg.ZBUFFER_REL) -> DataFrame:
+    """Adds ``self_visible`` to rows that have ``z_ref``."""
     near = F.abs(F.col("depth") - F.col("z_ref")) <= F.greatest(F.lit(abs_tol), F.lit(rel_tol) * F.col("z_ref"))
     return joined.withColumn("self_visible", F.coalesce(near, F.lit(False)))
 
 
+def by_frame(projected: DataFrame) -> DataFrame:
+    """Rows of a frame in one partition: steps that are keyed by the frame and more need no further shuffle."""
+    tasks = int(projected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return projected.repartition(tasks, "scan_id", "frame_index")
+
+
+def filtered_surface(projected: DataFrame, radius: int) -> DataFrame:
+    """Adds ``z_ref``, the least depth within ``radius`` pixels of a point's own one; rows of :func:`by_frame` are not shuffled again.
+
+    The points of a pixel are one row.  Such a row is repeated along its image row only, and without its
+    points; a range of image rows then closes the square.
+    """
+    keys = ["scan_id", "frame_index"]
+    held = F.struct(*[c for c in projected.columns if c not in (*keys, "u", "v")])
+    pixels = projected.groupBy(*keys, "v", "u").agg(F.min("depth").alias("_z"), F.collect_list(held).alias("_points"))
+    step = F.explode(F.array(*[F.lit(d) for d in range(-radius, radius + 1)]))
+    wide = pixels.withColumn("_d", step).select(*keys, "v", (F.col("u") + F.col("_d")).alias("u"), "_z", F.when(F.col("_d") == 0, F.col("_points")).alias("_points"))
+    low = F.min("_z").over(W.partitionBy(*keys, "u").orderBy("v").rangeBetween(-radius, radius))
+    seen = wide.withColumn("z_ref", low).where("_points IS NOT NULL")
+    return seen.select(*keys, "u", "v", "z_ref", F.inline("_points")).select(*projected.columns, "z_ref")
+
+
 def cleanup_visible(projected: DataFrame, surface: DataFrame, sigma: str = "sigma", abs_tol: float = 0.08, sigmas: float = 2.0) -> DataFrame:
     """The one-sided form of clean-up: adds ``z_ref`` and ``cleanup_visible``, depth not behind the surface by more than the tolerance."""
     joined = projected.join(surface, ["scan_id", "frame_index", "v", "u"], "left")
@@ -249,6 +276,30 @@ def footprint_coverage(points: DataFrame, runs: DataFrame, offsets=None, count_o
     return cover.join(seen, keys).withColumn("coverage", F.col("coverage") / F.col("_seen")).drop("_seen")
 
 
+def frame_rows(runs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per frame: ``_rows`` lists for each image row its runs (mask_id, x0, x1 and what ``carry`` names); a frame is bounded by its masks."""
+    held = F.collect_list(F.struct("mask_id", "x0", "x1", *carry)).alias("runs")
+    rows = by_frame(runs.select("scan_id", "frame_index", "mask_id", "y", "x0", "x1", *carry).where("y >= 0")).groupBy("scan_id", "frame_index", "y").agg(held)
+    listed = rows.groupBy("scan_id", "frame_index").agg(F.max("y").alias("_last"), F.map_from_entries(F.collect_list(F.struct("y", "runs"))).alias("_at"))
+    return listed.select("scan_id", "frame_index", F.expr("transform(sequence(0, _last), y -> _at[y])").alias("_rows"))
+
+
+def frame_coverage(points: DataFrame, rows: DataFrame, offsets=None, carry: tuple[str, ...] = (), mask: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`footprint_coverage` of points by frame against :func:`frame_rows`; samples never become rows of a shuffle.
+
+    ``points``: scan_id, frame_index, point_id, u, v, radius_px, width, height; columns that ``carry`` (of the
+    point) and ``mask`` (of the run) name come back.  Samples outside the image miss.
+    """
+    offsets = offsets or cfg.FOOTPRINT_OFFSETS
+    total = sum(o[2] for o in offsets)
+    keys = ["scan_id", "frame_index", "point_id", *carry]
+    base = points.select(*keys, "u", "v", "radius_px", "width", "height")
+    listed = ", ".join(f"named_struct('_x', int(rint(u + {a}D * radius_px)), '_y', int(rint(v + {b}D * radius_px)), '_w', {w / total!r}D)" for a, b, w in offsets)
+    s = spread_join(base, rows, ["scan_id", "frame_index"]).selectExpr(*keys, "width", "height", "_rows", f"inline(array({listed}))")
+    s = s.where("_x >= 0 AND _x < width AND _y >= 0 AND _y < height").selectExpr(*keys, "_x", "_w", "inline(get(_rows, _y))")
+    return s.where("_x >= x0 AND _x < x1").groupBy(*keys, "mask_id", *mask).agg(F.sum("_w").alias("coverage"))
+
+
 def tiled_runs(runs: DataFrame, tile: int = TILE_PX) -> DataFrame:
     """Each run once per image tile it touches."""
     tiles = F.sequence(F.floor(F.col("x0") / tile).cast("int"), F.floor((F.col("x1") - 1) / tile).cast("int"))

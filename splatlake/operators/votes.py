@@ -123,12 +123,18 @@ def foreground_support(masks: DataFrame, runs: DataFrame, surface: DataFrame, wi
             v, u = depth["v"].to_numpy(), depth["u"].to_numpy()
             image = min_filter(v, u, depth["z_ref"].to_numpy(), max(width, int(u.max()) + 1), max(height, int(v.max()) + 1), radius)
             valid = (image > cfg.NEAR_M) & (image < cfg.FAR_M)
+            ring_px = cfg.FOREGROUND_RING
             for mask, part in zones.groupby("mask_id", sort=False):
-                shape = np.zeros(image.shape, dtype=bool)
-                for y, x0, x1 in zip(part["y"], part["x0"], part["x1"]):
+                # only the box of the mask and its ring is looked at; the runs may reach beyond the image that rings are cut to
+                top, left = max(0, int(part["y"].min()) - ring_px), max(0, int(part["x0"].min()) - ring_px)
+                bottom, right = int(part["y"].max()) + ring_px + 1, int(part["x1"].max()) + ring_px
+                near, ok = image[top:bottom, left:right], valid[top:bottom, left:right]
+                shape = np.zeros(near.shape, dtype=bool)
+                for y, x0, x1 in zip(part["y"] - top, part["x0"] - left, part["x1"] - left):
                     shape[y, x0:x1] = True
-                ring = grow(shape[:height, :width], cfg.FOREGROUND_RING) & ~shape[:height, :width]
-                z_in, z_ring = image[shape & valid], image[:height, :width][ring & valid[:height, :width]]
+                inner = shape[:max(0, height - top), :max(0, width - left)]
+                ring = grow(inner, ring_px) & ~inner
+                z_in, z_ring = near[shape & ok], near[:inner.shape[0], :inner.shape[1]][ring & ok[:inner.shape[0], :inner.shape[1]]]
                 if len(z_in) or len(z_ring):
                     out.append((*key, mask, len(z_in), len(z_ring), quantile(z_in, cfg.FOREGROUND_PERCENTILE), quantile(z_ring, 0.5)))
         return pd.DataFrame(out, columns=[*keys, "inside_valid_pixels", "ring_valid_pixels", "inside_depth_m", "ring_depth_m"])
@@ -161,8 +167,12 @@ def first_claim(coverage: DataFrame, masks: DataFrame, points: DataFrame, limits
     m = masks.select("scan_id", "frame_index", "mask_id", "label", "score", "static_weight")
     c = coverage.where(F.col("coverage") >= min_coverage).join(m, ["scan_id", "frame_index", "mask_id"])
     c = c.join(points.select(*POINT, "height"), POINT).join(limits, "scan_id")
+    return best_claim(c.where(height_gate(F.col("label"), F.col("height"), F.col("floor_limit"), F.col("ceiling_limit"))))
+
+
+def best_claim(c: DataFrame) -> DataFrame:
+    """The first claim of rows that passed their gates; rows carry label, score and static_weight of their mask."""
     surface = weights.is_surface(F.col("label"))
-    c = c.where(height_gate(F.col("label"), F.col("height"), F.col("floor_limit"), F.col("ceiling_limit")))
     first = F.when(surface, -F.col("static_weight")).otherwise(-F.col("score") * F.col("static_weight"))
     second = F.when(surface, -F.col("score")).otherwise(F.lit(0.0))
     weight = F.col("score") * F.col("static_weight") * F.col("coverage") * F.col("visibility_weight")
@@ -173,6 +183,24 @@ def first_claim(coverage: DataFrame, masks: DataFrame, points: DataFrame, limits
     return best.select("scan_id", "frame_index", "point_id", "c.mask_id", "c.label", "c.is_surface", "c.weight", "c.coverage")
 
 
+GATED = ("floor", "ceiling", "wall")
+
+
+def height_gates(points: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds ``gates``, a bit per label of ``GATED`` whose height band holds the point; null in scans without limits."""
+    passed = [F.coalesce(height_gate(F.lit(n), F.col("height"), F.col("floor_limit"), F.col("ceiling_limit")), F.lit(False)) for n in GATED]
+    bits = sum((F.when(ok, 1 << i).otherwise(0) for i, ok in enumerate(passed)), F.lit(0))
+    return points.join(limits.withColumn("_limits", F.lit(True)), "scan_id", "left").withColumn("gates", F.when(F.col("_limits"), bits)).drop("floor_limit", "ceiling_limit", "_limits")
+
+
+def passes_gates(label: Column, gates: Column) -> Column:
+    """:func:`height_gate` by the bits of :func:`height_gates`."""
+    out = F.when(gates.isNull(), F.lit(False))
+    for i, n in enumerate(GATED):
+        out = out.when(label == n, gates.bitwiseAND(F.lit(1 << i)) != 0)
+    return out.otherwise(F.lit(True))
+
+
 def vote_totals(votes: DataFrame) -> DataFrame:
     """Summed weight and distinct frames per (point, label); one vote per frame makes count exact."""
     return votes.groupBy(*POINT, "label").agg(F.sum("weight").alias("score"), F.count("*").alias("views"))

@@ -36,15 +36,22 @@ def label_points(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: D
                  depth: DataFrame | None = None, depth_size: tuple[int, int] | None = None) -> Labelling:
     """Plan the whole voting chain.  ``points`` carry ``radius``; ``masks`` carry label and score.
 
-    Tables that several later steps read (projection, depth surface, dilated masks, visible points)
-    are persisted, so that they are computed once; lost blocks are rebuilt from lineage.
+    Tables that several later steps read (projection, dilated masks, foreground) are persisted, so that they are
+    computed once; lost blocks are rebuilt from lineage.  All steps from the depth surface to the votes find the rows
+    of a frame in one partition.
     """
     def keep(df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
 
+    heights = vt.point_heights(points, vt.world_up(frames))
+    limits = vt.height_limits(heights)
+    placed = vt.height_gates(heights.select("scan_id", "point_id", "radius", "x", "y", "z", "height"), limits).drop("height")
     framed = frames.join(masks.select("scan_id", "frame_index").distinct(), ["scan_id", "frame_index"], "left_semi")
-    projected = keep(pj.project_points(points.select("scan_id", "point_id", "radius", "x", "y", "z"), framed).drop("x", "y", "z"))
-    nearest = keep(pj.zbuffer(projected))
+    # a projected point is shuffled once, to its frame, with all that its vote needs
+    seen = pj.project_points(placed, framed)
+    radius = camera.footprint_radius(F.col("radius"), F.col("depth"), F.col("fx"), F.col("fy"))
+    projected = keep(pj.by_frame(seen.withColumn("radius_px", radius).drop("x", "y", "z", "radius", "fx", "fy")))
+    nearest = pj.zbuffer(projected)
 
     r = runs.join(masks.select(*MASK, "label"), MASK).select(*MASK, "label", "y", "x0", "x1") if "label" not in runs.columns else runs
     grown = keep(ma.dilate(r, [*MASK, "label"], weights.mask_dilation(F.col("label")), width, height))
@@ -60,18 +67,16 @@ def label_points(points: DataFrame, frames: DataFrame, masks: DataFrame, runs: D
     structure = ma.subtract_runs(grown.where(surface_label), blocked, ["scan_id", "frame_index"], MASK)
     usable = objects.select(*MASK, "y", "x0", "x1").unionByName(structure)
 
-    seen = pj.zbuffer_visible(projected, pj.zbuffer(projected, cfg.ZBUFFER_RADIUS, occupied=True))
+    seen = pj.self_visible(pj.filtered_surface(projected, cfg.ZBUFFER_RADIUS))
     if depth is not None:
         seen = pj.depth_match(seen, depth, depth_size)
         visible = pj.visibility(seen, "hybrid")
     else:
         visible = pj.visibility(seen, "self_zbuffer")
-    radius = camera.footprint_radius(F.col("radius"), F.col("depth"), F.col("fx"), F.col("fy"))
-    visible = keep(visible.withColumn("radius_px", radius))
-    cover = pj.footprint_coverage(visible, usable, carry=("visibility_weight",))
-    heights = vt.point_heights(points, vt.world_up(frames))
-    limits = vt.height_limits(heights)
-    votes = vt.first_claim(cover, prepared, heights, limits)
+    named = ("label", "score", "static_weight")
+    claimed = usable.join(prepared.select(*MASK, *named), MASK)
+    cover = pj.frame_coverage(visible, pj.frame_rows(claimed, named), carry=("visibility_weight", "gates"), mask=named)
+    votes = vt.best_claim(cover.where((F.col("coverage") >= cfg.FOOTPRINT_MIN_COVERAGE) & vt.passes_gates(F.col("label"), F.col("gates"))))
     totals = vt.vote_totals(votes)
     labels = vt.final_labels(vt.structural_cleanup(vt.winner(totals), heights, limits))
     return Labelling(projected, pj.zbuffer(projected, cfg.ZBUFFER_RADIUS), prepared, foreground, usable, visible, cover, votes, limits, heights, totals, labels)

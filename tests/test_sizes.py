@@ -159,3 +159,18 @@ def test_views_of_a_cell_combine_before_the_shuffle(spark):
     out = su.grid_occupancy(cells, seen, seen.where("point_id = 0 AND frame_index < 3 OR point_id = 1 AND frame_index = 4"))
     assert {r.point_id: (r.projected, r.hits, r.occupied) for r in out.collect()} == {0: (6, 3, True), 1: (6, 1, False), 2: (0, 0, False)}
     assert "frame_index" not in "".join(x for x in plan_of(out).splitlines() if "Exchange" in x or "HashAggregate" in x)
+
+
+def test_votes_shuffle_a_projected_point_once(spark):
+    p = pj.by_frame(_pixels(spark).withColumn("point_id", F.monotonically_increasing_id()).withColumn("radius_px", F.lit(4.0)))
+    runs = spark.createDataFrame([("s", 0, m, y, x0, x1) for m, x0, x1 in ((1, 5, 20), (2, 12, 40), (2, 44, 60)) for y in range(3, 30)],
+                                 "scan_id string, frame_index int, mask_id int, y int, x0 int, x1 int")
+    seen = pj.filtered_surface(p, 2)
+    want = {(r.point_id, r.z_ref) for r in pj.zbuffer_visible(p, pj.zbuffer(p, 2, occupied=True)).collect()}
+    assert {(r.point_id, r.z_ref) for r in seen.collect()} == want and seen.columns == [*p.columns, "z_ref"]
+    found = pj.frame_coverage(seen, pj.frame_rows(runs))
+    rows = lambda d: {(r.point_id, r.mask_id): round(r.coverage, 9) for r in d.collect()}
+    assert rows(found) == rows(pj.footprint_coverage(p, runs)) and len(rows(found)) > 100
+    # points and runs go to their frame; neither the surface, the samples nor the claims are shuffled again
+    plan = plan_of(found).split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 2
